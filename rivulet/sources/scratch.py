@@ -38,7 +38,7 @@ def written(df: DataFrame, partitions: int | None = None) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: lineage ends there, and lost executors lose nothing."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/rivulet-{uuid.uuid4().hex}"
-    (df if partitions is None else df.coalesce(partitions)).write.parquet(path)
+    (df if partitions is None else df.coalesce(partitions)).write.option("compression", "zstd").parquet(path)
     (_stage if _in_stage else _tables).append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._rivulet_path = path  # type: ignore[attr-defined]
