@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,7 +62,7 @@ def rows_of(batches: Iterator[pa.RecordBatch], most_chars: int = 4_000_000) -> I
         size = np.zeros(n)
         for col in batch.columns:
             if pa.types.is_string(col.type) or pa.types.is_large_string(col.type):
-                size += np.asarray(pa.compute.fill_null(pa.compute.binary_length(col), 0), dtype=np.float64)
+                size += np.asarray(pc.fill_null(pc.binary_length(col), 0), dtype=np.float64)
         part = (np.cumsum(size) // most_chars).astype(np.int64)
         starts = np.r_[0, np.flatnonzero(np.diff(part)) + 1, n]
         for a, b in zip(starts[:-1], starts[1:], strict=True):

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import ngram_join, url_filter
+from . import ngram_join, packing, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op6_ngram_jaccard_join": ngram_join.op6_ngram_jaccard_join,
+    "op8_packing": packing.op8_packing,
 }
 
 SQL = {
