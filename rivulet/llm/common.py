@@ -68,3 +68,26 @@ def rows_of(batches: Iterator[pa.RecordBatch], most_chars: int = 4_000_000) -> I
         for a, b in zip(starts[:-1], starts[1:], strict=True):
             if b > a:
                 yield batch.slice(int(a), int(b - a))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label: str | Column, per_class: int) -> tuple[list[tuple[str, int]], dict[int, float]]:
+    """[(text, label)] of about ``per_class`` labelled documents of each class, chosen by hash of the id, and how many labelled documents one stands for.
+
+    ``label`` is an integer column or expression of ``labels``; of several labels of a document the highest counts.
+    Classes are few; the driver receives at most about ``per_class`` texts of each.
+    """
+    label = F.col(label) if isinstance(label, str) else label
+    graded = labels.select(F.col(id_col).alias("__id"), label.cast("int").alias("__label")).dropna().groupBy("__id").agg(F.max("__label").alias("__label"))
+    counts = {r[0]: r[1] for r in graded.groupBy("__label").count().collect()}
+    if not counts:
+        return [], {}
+    share = F.lit(0)
+    for k, n in counts.items():
+        share = F.when(F.col("__label") == k, int(min(1.0, per_class / n) * (1 << 20))).otherwise(share)
+    chosen = graded.where(bucket(F.col("__id"), 1 << 20) < share)
+    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(chosen), "__id").select("__id", "__text", "__label")
+    rows = sorted(((r[0], r[1] or "", r[2]) for r in rows.collect()), key=lambda r: (r[0], r[1]))
+    got: dict[int, int] = {}
+    for r in rows:
+        got[r[2]] = got.get(r[2], 0) + 1
+    return [(r[1], r[2]) for r in rows], {k: counts[k] / n for k, n in got.items()}

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import ngram_join, packing, url_filter
+from . import language, ngram_join, packing, quality, toxicity, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
+    "op3_toxicity": toxicity.op3_toxicity,
     "op6_ngram_jaccard_join": ngram_join.op6_ngram_jaccard_join,
+    "op7_language_id": language.op7_language_id,
     "op8_packing": packing.op8_packing,
+    "op10_quality_classifier": quality.op10_quality_classifier,
 }
 
 SQL = {
