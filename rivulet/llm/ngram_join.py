@@ -7,7 +7,7 @@ points are first dealt into cells by the same kind of hashing: sets whose sizes
 D + 1 token groups one holds the same tokens in both sets. The key of a cell is a group and the hash of its tokens. Links
 between different sets are found in two steps:
 
-1. Each cell's members are compared with its smallest member (one row a member, never all pairs of a cell).
+1. Each cell's members are compared with one of them, the one that shares most cells (one row a member, never all pairs of a cell).
 2. Cells whose other members are not yet all connected are joined by R-trees, in blocks of bounded size. Pairs that
    the links of step 1 connect are skipped, for they cannot change a component.
 
@@ -208,12 +208,16 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         raise ValueError("percent must lie between 50 and 99")
     pts = written(points(docs, id_col, text_col, k, percent))
     dealt = pts.where("sig is not null").select("sig", F.explode("keys").alias("key"))
-    first = dealt.groupBy("key").agg(F.min("sig").alias("pivot"), F.max("sig").alias("last")).where("pivot < last").select("key", "pivot")
-    cells = written(dealt.join(first, "key").where("sig <> pivot").select("key", "pivot", "sig").distinct())
+    several = dealt.groupBy("key").agg(F.min("sig").alias("low"), F.max("sig").alias("high")).where("low < high").select("key")
+    shared = written(dealt.join(several, "key").select("key", "sig").distinct())
+    degree = shared.groupBy("sig").agg(F.count("*").alias("cells"))
+    hub = shared.join(degree, "sig").groupBy("key").agg(F.max(F.struct("cells", "sig")).alias("hub")).select("key", F.col("hub.sig").alias("pivot"))
+    cells = written(shared.join(hub, "key").where("sig <> pivot").select("key", "pivot", "sig"))
+    drop(shared)
     release(spark)
     vec = pts.where("sig is not null").groupBy("sig").agg(F.first("n").alias("n"), F.first("vec").alias("vec"))
 
-    # Step 1: members against the smallest of their cell.
+    # Step 1: members against the hub of their cell.
     size = vec.select("sig", "n")
     star = cells.select(F.col("pivot").alias("a"), F.col("sig").alias("b")).distinct()
     star = star.join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b").where(f"least(na, nb) * 100 >= greatest(na, nb) * {percent}")
