@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from . import language, ngram_join, packing, quality, toxicity, url_filter
+from . import audio, chat_format, decontaminate, language, ngram_join, packing, quality, substring_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
+    "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op3_toxicity": toxicity.op3_toxicity,
+    "op4_benchmark_decontamination": decontaminate.op4_benchmark_decontamination,
+    "op5_media_fingerprints": audio.op5_media_fingerprints,
     "op6_ngram_jaccard_join": ngram_join.op6_ngram_jaccard_join,
     "op7_language_id": language.op7_language_id,
     "op8_packing": packing.op8_packing,
+    "op9_chat_format": chat_format.op9_chat_format,
     "op10_quality_classifier": quality.op10_quality_classifier,
 }
 
 SQL = {
     "op1_url_filter": url_filter.SQL,
     "op6_ngram_jaccard_join": ngram_join.SQL,
+    "op9_chat_format": chat_format.SQL,
 }
