@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Memo, rows_of, table, written
+from .common import rows_of, table, written
 
 #: Rows of one length and salt, which are ranked in one task.
 RANKED = 20_000
@@ -33,25 +34,64 @@ DEPTH = 8
 SWEEPS = 60
 
 _odd_space = re.compile(r"[\x1c-\x1f\x85\u180e\u200b\ufeff]")
+#: Runs of signs, which the tokenizer takes as one piece. With apostrophes its rule is another, so such texts take the way by white space.
+_signs = re.compile(r"(?:[^\w\s]|_)+")
+#: Pieces that are remembered; the memory starts anew when they are more.
+REMEMBERED = 700_000
+
+
+class Encoder:
+    """Texts to ids as little-endian uint32. The tokenizer never joins letters, digits and signs, so each piece is encoded once and remembered."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.known: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that end a word
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def one(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def pieces(self, text: str) -> list[str] | None:
+        """Pieces that can be encoded apart, or None if only the whole text is sure."""
+        if _odd_space.search(text) or "\u03a3" in text or "\u0130" in text or "<|" in text:
+            return None  # white space, lower case or special tokens might differ
+        if "'" in text:
+            return text.split()
+        return _signs.sub(r" \g<0> ", unicodedata.normalize("NFC", text).lower()).split()
+
+    def learn(self, new: list[str]) -> None:
+        if len(self.known) + len(new) > REMEMBERED:
+            self.known.clear()
+        words = [w for w in new if w.isalpha()]
+        if words:  # in one call: the ends tell the words apart
+            ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+            cut = np.flatnonzero(self.ends[ids]) + 1
+            if len(cut) == len(words) and cut[-1] == len(ids):
+                data, at = ids.tobytes(), 0
+                for w, c in zip(words, (cut * 4).tolist(), strict=True):
+                    self.known[w] = data[at:c]
+                    at = c
+        for w in new:
+            if w not in self.known:
+                self.known[w] = self.one(w)
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        parts = [self.pieces(t) if t else [] for t in texts]
+        new = set().union(*filter(None, parts)) - self.known.keys()
+        if new:
+            if len(self.known) + len(new) > REMEMBERED:
+                new = set().union(*filter(None, parts))
+            self.learn(sorted(new))
+        return [self.one(t) if p is None else b"".join(map(self.known.__getitem__, p)) for t, p in zip(texts, parts, strict=True)]
 
 
 @lru_cache(4)
-def _encoder(path: str):
-    """(text -> ids as little-endian uint32). Tokens never span white space, so words are encoded once and remembered."""
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    one = lambda s: np.array(tokenizer.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
-    words = Memo(one)
-
-    def encode(text: str | None) -> bytes:
-        if not text:
-            return b""
-        if _odd_space.search(text):  # not white space in the same way for str.split() and for the tokenizer
-            return one(text)
-        return b"".join(map(words.__getitem__, text.split()))
-
-    return encode
+def _encoder(path: str) -> Encoder:
+    return Encoder(path)
 
 
 def combinations(hist: np.ndarray, window: int) -> list[dict[int, int]]:
@@ -141,11 +181,11 @@ def tokenised(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, windo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, end, seen = _encoder(tokenizer), np.array([eos], "<u4").tobytes(), TaskContext.get().partitionId() << 32
+        encoder, end, seen = _encoder(tokenizer), np.array([eos], "<u4").tobytes(), TaskContext.get().partitionId() << 32
         for batch in rows_of(batches, 2_000_000):
             n, base, whole, rest = [], [], [], []
-            for text in batch.column(1):
-                ids = encode(text.as_py()) + end
+            for ids in encoder.encode(batch.column(1).to_pylist()):
+                ids += end
                 cut = len(ids) // 4 // window
                 n.append(len(ids) // 4)
                 base.append(seen)
