@@ -85,9 +85,13 @@ def candidate_score(expected: bool = True) -> tuple[Column, Column]:
             ("name begins so", (F.size(qc) > 0) & (F.slice(nc, F.lit(1), F.greatest(F.size(qc), F.lit(1))) == qc), F.lit(1.5)),
         ]
     )
+
+    def met(known: Column):
+        """Points of a supplied name: 2 if it is known, 1 if its words belong to a known name."""
+        return lambda total, x: total + F.when(F.array_contains(normal(known), tx.normalize(x)), 2.0).when(tx.subset_of_any(x, known), 1.0).otherwise(0.0)
+
     for asked, known in (("teachers", lists("narrates_from_narrators", "narrates_from_imams")), ("students", lists("narrated_from_by"))):
-        one = lambda x, known=known: F.when(F.array_contains(normal(known), tx.normalize(x)), 2.0).when(tx.subset_of_any(x, known), 1.0).otherwise(0.0)
-        score = score + F.aggregate(F.coalesce(F.col(asked), empty), F.lit(0.0), lambda s, x, one=one: s + one(x))
+        score = score + F.aggregate(F.coalesce(F.col(asked), empty), F.lit(0.0), met(known))
     book = tx.normalize(F.col("book"))
     in_book = (book != "") & F.exists(normal(lists("books")), lambda b: F.contains(b, book) | F.contains(book, b))
     score = score + F.when(in_book, 1.0).otherwise(0.0)

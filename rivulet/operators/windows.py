@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def neighbours(df: DataFrame, by: list[str], order: list[str], value: str) -> DataFrame:
@@ -58,7 +59,7 @@ def repair_numbers(df: DataFrame, by: str, order: str, number: str, highest: int
 
     With both neighbours it is previous + 1, or previous itself where the next is just that; with one neighbour it is one step from it.
     """
-    schema = df.schema.add("repaired", "long")
+    schema = T.StructType([*df.schema.fields, T.StructField("repaired", T.LongType())])
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(order, kind="stable")

@@ -38,23 +38,28 @@ def grade_into(chains: DataFrame, index: DataFrame, out: str, checkpoint: str, d
     return graded(chains, index).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def timed(stream: DataFrame, late: str, ts: str = "ts") -> DataFrame:
+    """With a watermark; times without a zone are taken in the session's."""
+    return stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
+
+
 def counts(events: DataFrame, window: str, slide: str | None = None, late: str = "10 minutes", by: str = "event_type") -> DataFrame:
     """Tumbling or sliding counts with a watermark."""
     w = F.window("ts", window, slide) if slide else F.window("ts", window)
-    return events.withWatermark("ts", late).groupBy(w.alias("w"), by).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), by, "n")
+    return timed(events, late).groupBy(w.alias("w"), by).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), by, "n")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes", by: str = "user_id") -> DataFrame:
-    return events.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), by).agg(F.count("*").alias("n")).select(by, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+    return timed(events, late).groupBy(F.session_window("ts", gap).alias("w"), by).agg(F.count("*").alias("n")).select(by, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
 def deduplicated(stream: DataFrame, key: str = "chain_id", late: str = "1 hour") -> DataFrame:
     """Each key once; state goes when the watermark passes."""
-    return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
+    return timed(stream, late).dropDuplicatesWithinWatermark([key])
 
 
-def running_totals(events: DataFrame, key: str = "user_id", value: str = "value", idle_ms: int = 3_600_000) -> DataFrame:
-    """(key, n, total) as it stands after each micro-batch; a key's state goes after an idle time."""
+def running_totals(events: DataFrame, key: str = "user_id", value: str = "value", late: str = "10 minutes", idle_ms: int = 3_600_000) -> DataFrame:
+    """(key, n, total) as it stands after each micro-batch; a key's state goes when the watermark is an idle time past its last batch."""
     kind = events.schema[key].dataType.simpleString()
 
     def update(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -65,7 +70,7 @@ def running_totals(events: DataFrame, key: str = "user_id", value: str = "value"
         for f in frames:
             n, total = n + len(f), total + float(f[value].sum())
         state.update((n, total))
-        state.setTimeoutDuration(idle_ms)
+        state.setTimeoutTimestamp(max(0, state.getCurrentWatermarkMs()) + idle_ms)
         yield pd.DataFrame({key: [k[0]], "n": [n], "total": [total]})
 
-    return events.groupBy(key).applyInPandasWithState(update, f"{key} {kind}, n long, total double", "n long, total double", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return timed(events, late).groupBy(key).applyInPandasWithState(update, f"{key} {kind}, n long, total double", "n long, total double", "update", GroupStateTimeout.EventTimeTimeout)
