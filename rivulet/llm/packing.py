@@ -27,6 +27,8 @@ from .common import rows_of, table, written
 
 #: Rows of one length and salt, which are ranked in one task.
 RANKED = 20_000
+#: Rows whose tokens a worker holds at a time when it places them.
+PLACED = 500
 #: Lengths that triples are made of; all pairs are taken.
 TRIPLE_LENGTHS = 48
 #: Copies of one length in a combination.
@@ -37,7 +39,7 @@ _odd_space = re.compile(r"[\x1c-\x1f\x85\u180e\u200b\ufeff]")
 #: Runs of signs, which the tokenizer takes as one piece. With apostrophes its rule is another, so such texts take the way by white space.
 _signs = re.compile(r"(?:[^\w\s]|_)+")
 #: Pieces that are remembered; the memory starts anew when they are more.
-REMEMBERED = 700_000
+REMEMBERED = 400_000
 
 
 class Encoder:
@@ -182,7 +184,7 @@ def tokenised(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, windo
         from pyspark import TaskContext
 
         encoder, end, seen = _encoder(tokenizer), np.array([eos], "<u4").tobytes(), TaskContext.get().partitionId() << 32
-        for batch in rows_of(batches, 2_000_000):
+        for batch in rows_of(batches, 1_000_000):
             n, base, whole, rest = [], [], [], []
             for ids in encoder.encode(batch.column(1).to_pylist()):
                 ids += end
@@ -216,7 +218,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, eos: int = 1, id_c
     schema = f"id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, PLACED) for b in batches for i in range(0, b.num_rows, PLACED)):
             ids, out = batch.column(0).to_pylist(), []
             for i, n, data, size, rank in zip(ids, *(batch.column(c).to_pylist() for c in ("n", "rest", "len", "rank")), strict=True):
                 if rank < first[size]:
