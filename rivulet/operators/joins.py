@@ -48,12 +48,13 @@ def containment_join(queries: DataFrame, forms: DataFrame, query_id: str, query_
     Only a query's rarest token is joined, so frequent tokens fan out no pairs.
     """
     f = forms.select(F.col(form_id).alias("__f"), F.array_distinct(form_tokens).alias("__ft"))
-    posting = f.select("__f", "__ft", F.explode("__ft").alias("__t"))
-    count = posting.groupBy("__t").agg(F.count("*").alias("__n"))
+    posting = f.select("__f", F.explode("__ft").alias("__t"))
     q = queries.select(F.col(query_id).alias("__q"), F.array_distinct(query_tokens).alias("__qt")).where(F.size("__qt") > 0)
-    rare = q.select("__q", "__qt", F.explode("__qt").alias("__t")).join(count, "__t").groupBy("__q", "__qt").agg(F.min(F.struct("__n", "__t")).alias("r"), F.count("*").alias("known"))
+    asked = q.select("__q", "__qt", F.explode("__qt").alias("__t"))
+    count = posting.join(asked.select("__t").distinct(), "__t", "left_semi").groupBy("__t").agg(F.count("*").alias("__n"))
+    rare = asked.join(count, "__t").groupBy("__q", "__qt").agg(F.min(F.struct("__n", "__t")).alias("r"), F.count("*").alias("known"))
     rare = rare.where(F.col("known") == F.size("__qt")).select("__q", "__qt", F.col("r.__t").alias("__t"))
-    met = rare.join(posting, "__t").where(F.size(F.array_except("__qt", "__ft")) == 0)
+    met = rare.join(posting, "__t").select("__q", "__qt", "__f").join(f, "__f").where(F.size(F.array_except("__qt", "__ft")) == 0)
     return met.select(F.col("__q").alias(query_id), F.col("__f").alias(form_id))
 
 
