@@ -18,7 +18,7 @@ _in_stage = False
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``; set here only where it is unset."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not found:
         spark.sparkContext.setCheckpointDir(LOCAL_CHECKPOINTS)
         found = LOCAL_CHECKPOINTS
