@@ -151,17 +151,56 @@ def _tree_join(percent: int):
     return run
 
 
-def _needed(ids: DataFrame) -> np.ndarray:
-    """A filter of fixed size over the 64-bit column sig, made by Spark: at most 2^20 words of 64 bits come to the driver."""
-    bits = min(FILTER_BITS, max(1 << 12, 1 << int(ids.count() * 8).bit_length()))
-    at = F.pmod(F.col("sig"), F.lit(bits))
-    words = ids.select(F.shiftright(at, 6).alias("w"), (at % 64).cast("int").alias("i")).groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, i)")).alias("bits")).collect()
+def _needed(ids: DataFrame, column: str = "sig") -> np.ndarray:
+    """A filter of fixed size over a 64-bit column, made by Spark: at most 2^20 words of 64 bits come to the driver. It lets all wanted values pass, and more the fuller it is."""
+    bits = min(FILTER_BITS, max(1 << 12, 1 << int(ids.count() * 16).bit_length()))
+    at = F.pmod(F.col(column), F.lit(bits))
+    words = ids.select(F.shiftright(at, 6).alias("w"), (at % 64).cast("int").alias("i")).groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, i)")).alias("bits")).toArrow()
     out = np.zeros(bits // 64, np.int64)
-    for w, x in words:
-        out[w] = x
+    out[words.column("w").to_numpy()] = words.column("bits").to_numpy()
     return out.view(np.uint64)
 
 
+def _passes(mask: np.ndarray, values: np.ndarray) -> np.ndarray:
+    at = values.astype(np.int64).view(np.uint64) & np.uint64(len(mask) * 64 - 1)
+    return (mask[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def shared_cells(pts: DataFrame) -> DataFrame:
+    """(key, sig): the members of all cells that hold several sets. Keys of one set are left behind by a filter before anything is joined."""
+    several = written(pts.where("sig is not null").select("sig", F.explode("keys").alias("key")).groupBy("key").agg(F.min("sig").alias("low"), F.max("sig").alias("high")).where("low < high").select("key"))
+    release(pts.sparkSession)
+    sent = pts.sparkSession.sparkContext.broadcast(_needed(several, "key"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mask = sent.value
+        for batch in batches:
+            lists = batch.column(1)
+            keys, owner = lists.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+            hit = _passes(mask, keys)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[hit], pa.int64()), batch.column(0).take(pa.array(owner[hit]))], names=["key", "sig"])
+
+    likely = pts.where("sig is not null").select("sig", "keys").mapInArrow(run, "key long, sig long")
+    out = written(likely.join(several, "key").distinct())
+    drop(several)
+    return out
+
+
+def bounded(pairs: DataFrame, vec: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose count vectors allow a link: the summed minima bound the overlap."""
+    both = pairs.join(vec.toDF("a", "na", "va"), "a").join(vec.toDF("b", "nb", "vb"), "b").where(f"least(na, nb) * 100 >= greatest(na, nb) * {percent}").select("a", "b", "na", "nb", "va", "vb")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in (whole.slice(i, 2000) for i in range(0, whole.num_rows, 2000)):
+                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, GROUPS) for c in ("va", "vb"))
+                least = np.minimum(x, y).sum(axis=1, dtype=np.int64)
+                sizes = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
+                yield batch.select([0, 1]).filter(pa.array(least * (100 + percent) >= percent * sizes))
+
+    return both.mapInArrow(run, "a long, b long")
+
+
 def verified(docs: DataFrame, text_col: str, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) of set signatures whose sets link; the sets of no other texts are moved."""
     spark = docs.sparkSession
@@ -169,15 +208,14 @@ def verified(docs: DataFrame, text_col: str, pairs: DataFrame, k: int, percent:
     words = spark.sparkContext.broadcast(_needed(ids))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mask, size = words.value, np.uint64(len(words.value) * 64)
+        mask = words.value
         for batch in rows_of(batches):
             sig, data = [], []
             for text in batch.column(0):
                 h = shingles(text.as_py(), k)
                 if len(h):
                     s = signature(h)
-                    at = np.uint64(s % int(size))
-                    if mask[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1):
+                    if _passes(mask, np.array([s]))[0]:
                         sig.append(s)
                         data.append(h.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(sig, pa.int64()), pa.array(data, pa.binary())], names=["sig", "h"])
@@ -207,9 +245,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if not 50 <= percent <= 99:
         raise ValueError("percent must lie between 50 and 99")
     pts = written(points(docs, id_col, text_col, k, percent))
-    dealt = pts.where("sig is not null").select("sig", F.explode("keys").alias("key"))
-    several = dealt.groupBy("key").agg(F.min("sig").alias("low"), F.max("sig").alias("high")).where("low < high").select("key")
-    shared = written(dealt.join(several, "key").select("key", "sig").distinct())
+    shared = shared_cells(pts)
     degree = shared.groupBy("sig").agg(F.count("*").alias("cells"))
     hub = shared.join(degree, "sig").groupBy("key").agg(F.max(F.struct("cells", "sig")).alias("hub")).select("key", F.col("hub.sig").alias("pivot"))
     cells = written(shared.join(hub, "key").where("sig <> pivot").select("key", "pivot", "sig"))
@@ -218,10 +254,8 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     vec = pts.where("sig is not null").groupBy("sig").agg(F.first("n").alias("n"), F.first("vec").alias("vec"))
 
     # Step 1: members against the hub of their cell.
-    size = vec.select("sig", "n")
-    star = cells.select(F.col("pivot").alias("a"), F.col("sig").alias("b")).distinct()
-    star = star.join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b").where(f"least(na, nb) * 100 >= greatest(na, nb) * {percent}")
-    links = verified(docs, text_col, written(star.select("a", "b")), k, percent)
+    star = bounded(cells.select(F.col("pivot").alias("a"), F.col("sig").alias("b")).distinct(), vec.select("sig", "n", "vec"), percent)
+    links = verified(docs, text_col, written(star), k, percent)
     release(spark)
     root = components(links)
 
@@ -229,7 +263,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     member = cells.select("key", "sig").join(root.toDF("sig", "to"), "sig", "left").select("key", "sig", F.coalesce("to", "sig").alias("root"))
     mixed = member.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("m"), F.sum(F.xxhash64("sig").cast("decimal(38,0)")).alias("all")).where("r0 < r1")
     mixed = mixed.groupBy("m", "all").agg(F.min("key").alias("key")).select("key", "m")  # cells with the same members are one
-    member = written(member.join(mixed, "key").join(size, "sig"))
+    member = written(member.join(mixed, "key"))
     part = member.groupBy("key", "root").agg(F.count("*").alias("c"))
     block = F.when(F.col("c") >= BLOCK, F.struct(F.col("root").alias("r"), F.expr(f"pmod(xxhash64(sig), ceil(c / {BLOCK}))").alias("i"))).otherwise(F.struct(F.lit(None).cast("long").alias("r"), F.expr(f"pmod(xxhash64(root), ceil(m / {BLOCK}))").alias("i")))
     member = written(member.join(part, ["key", "root"]).select("key", "sig", "root", block.alias("blk")))
