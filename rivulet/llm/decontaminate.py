@@ -152,10 +152,12 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     hits = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text")).mapInArrow(scan, f"id {kind}, th long, hash long, size int, p int, own array<string>").distinct()
     met = hits.join(bench, ["hash", "size"]).where("size(own) = size(values)")
     pairs = F.transform(F.arrays_zip("values", "own"), lambda x: F.struct(x["values"].alias("item"), x["own"].alias("doc")))
-    line = met.withColumn("pairs", pairs).groupBy("id", "th", "item", "windows", "size", (F.col("p") - F.col("at")).alias("line")).agg(F.count("*").alias("n"), F.min("p").alias("p"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
+    line = met.withColumn("pairs", pairs).groupBy("id", "th", "item", "windows", "size", (F.col("p") - F.col("at")).alias("line")).agg(F.collect_set("at").alias("ats"), F.min("p").alias("p"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
     line = line.where("size(pairs) = size(array_distinct(transform(pairs, x -> x.item)))").withColumn("same", F.expr("forall(pairs, x -> x.item = x.doc)"))
-    item = line.groupBy("id", "th", "item", "windows", "size").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.min("p").alias("first_token"), F.min("same").alias("same"))
-    share = F.least(F.lit(1.0), F.col("n") / F.col("windows"))
+    # A window of the item counts once, however many alignments show it.
+    each = line.select("id", "th", "item", "windows", "size", "p", "same", F.size("ats").alias("most"), F.explode("ats").alias("at"))
+    item = each.groupBy("id", "th", "item", "windows", "size").agg(F.count_distinct("at").alias("n"), F.max("most").alias("most"), F.min("p").alias("first_token"), F.min("same").alias("same"))
+    share = F.col("n") / F.col("windows")
     bad = item.where((share >= coverage) | (F.col("most") + F.col("size") - 1 >= run))
     return bad.select("id", "th", "item", F.when(F.col("same"), "verbatim").otherwise("reparameterised").alias("kind"), share.alias("coverage"), (F.col("most") + F.col("size") - 1).cast("int").alias("longest"), "first_token")
 

@@ -77,6 +77,14 @@ def test_slots_must_be_consistent(spark):
     assert out == {1: "reparameterised"}
 
 
+def test_repeated_lines_cover_an_item_window_once(spark):
+    bench = spark.createDataFrame([(1, "the quick river ran past the old mill while nobody had seen any miller near those stones")], "item_id long, text string")
+    line = "the quick river ran past the old mill.\n"
+    rows = [(1, line * 30), (2, line + "nobody had seen any"), (3, "the quick river ran past the old mill while nobody had seen any")]
+    out = {r.id: r.coverage for r in decontaminate.matches(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert out == {3: 0.6}
+
+
 def brute_force_groups(rows, k, percent):
     sets = []
     for i, t in rows:
