@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -42,12 +43,27 @@ def _hashed(token: str) -> int:
     return xxhash.xxh3_64_intdigest(kind.lower().encode("utf-8", "surrogatepass")) % DIMENSIONS
 
 
+@cache
+def _capitals() -> np.ndarray:
+    """Whether each code point is an upper-case letter."""
+    return np.fromiter((chr(i).isupper() for i in range(0x110000)), bool, 0x110000)
+
+
+def capitals(text: str) -> int:
+    """How many characters of the whole text are upper-case letters."""
+    if text.isascii():
+        codes = np.frombuffer(text.encode(), np.uint8)
+        return int(np.count_nonzero((codes - np.uint8(65)) < 26))
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return int(np.count_nonzero(_capitals()[codes]))
+
+
 def shape(text: str, tokens: np.ndarray) -> list[int]:
     """Indices of the shape buckets of a text, above the hashed tokens."""
     n = len(tokens)
     signs = sum(map(text.count, "!#$%&*|"))
     letters = max(1, len(text) - text.count(" "))
-    upper = sum(map(str.isupper, text)) if len(text) < 2000 else sum(map(str.isupper, text[:: len(text) // 2000 + 1])) * (len(text) // 2000 + 1)
+    upper = capitals(text)
     same = float((tokens[1:] == tokens[:-1]).mean()) if n > 1 else 0.0
     step = lambda x, k: min(k - 1, int(x * k))
     return [DIMENSIONS + x for x in (step(same, 8), 8 + step(upper / letters, 8), 16 + step(signs / letters * 4, 8))]

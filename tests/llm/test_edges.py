@@ -1,5 +1,6 @@
 """Nulls, empty and very long texts, ties and repeated rows, empty tables and clashing columns, for every operator."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -181,6 +182,14 @@ def test_quality(spark, docs):
     assert quality.select(docs.limit(0), labels).count() == 0
 
 
+def test_upper_case_is_counted_over_the_whole_text():
+    for line in ("A line of just thirty letters.", "Ä line öf jüst thirty Ǆ ǅ 𝐀 Ω."):
+        text = line * 1000
+        assert quality.capitals(text) == sum(map(str.isupper, text))
+        assert quality.shape(text, np.arange(9))[1] == quality.shape(line, np.arange(9))[1]
+    assert quality.capitals("") == 0
+
+
 def test_quality_on_rated_documents(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
