@@ -2,7 +2,8 @@
 
 Numbers, names and units of texts become typed placeholders. Windows of the templates are hash-joined with those of the benchmark; the
 values in the slots of matching windows must map each value of an item to one value of the document, along one alignment. Windows that
-match with equal values are verbatim copies, with other values re-parameterised questions.
+match with equal values are verbatim copies, with other values re-parameterised questions. A window with more than SLOTS placeholders
+(half of its tokens, if it is shorter) is joined on its raw tokens, and its template on a longer window that has as many fixed tokens as others.
 
 A document is contaminated by an item if its consistent windows are at least ``coverage`` of the item's, or one alignment covers
 ``run`` tokens. Items of at least SHORTEST tokens but fewer than a window has are one window.
@@ -29,7 +30,7 @@ WINDOW = 8
 SHORTEST = 4
 COVERAGE = 0.5
 RUN = 20
-#: Placeholders that a window may have at most.
+#: Placeholders that a window joined on its template alone may have at most.
 SLOTS = 4
 #: Bits of the filter over benchmark windows: 16 MB at most, whatever the benchmark's size.
 FILTER_BITS = 1 << 27
@@ -40,6 +41,10 @@ UNITS = frozenset("% $ € £ ¥ ° mm cm km kg mg ml kb mb gb tb hz khz mhz ghz
 
 _token = re.compile(r"\d+(?:[.,:/]\d+)*|[^\W\d_]+|[%$€£¥°]|[.!?\n]")
 END, WORD, CAPITAL, NUMBER, UNIT = range(5)
+#: The multiplier of window hashes and its inverse modulo 2^64; what tells windows over raw tokens apart.
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+RAW = 1 << 40
 _MARK = {NUMBER: 0x6E756D62, CAPITAL: 0x6E616D65, UNIT: 0x756E6974}
 
 
@@ -60,19 +65,25 @@ def _code(token: str) -> int:
 _codes = Memo(_code)
 
 
-def template(text: str | None) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """(codes with placeholders, kind of placeholder or 0, the tokens) without sentence ends. A capital at a sentence's start is a word."""
+def parsed(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+    """(codes with placeholders, kind of placeholder or 0, codes of the raw tokens, the tokens) without sentence ends. A capital at a sentence's start is a word."""
     found = _token.findall(text or "")
     raw = np.fromiter(map(_codes.__getitem__, found), np.int64, len(found))
     kind = raw & 7
     opens = np.r_[True, kind[:-1] == END] if len(kind) else np.empty(0, bool)
     kind = np.where((kind == CAPITAL) & opens, WORD, kind)
-    code = raw >> 3
+    code = raw = raw >> 3
     for k, mark in _MARK.items():
         code = np.where(kind == k, mark, code)
     keep = kind != END
     tokens = [t for t, k in zip(found, keep.tolist(), strict=True) if k] if not keep.all() else found
-    return code[keep].astype(np.uint64), np.where(kind[keep] >= CAPITAL, kind[keep], 0), tokens
+    return code[keep].astype(np.uint64), np.where(kind[keep] >= CAPITAL, kind[keep], 0), raw[keep].astype(np.uint64), tokens
+
+
+def template(text: str | None) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """(codes with placeholders, kind of placeholder or 0, the tokens) without sentence ends."""
+    code, slot, _, tokens = parsed(text)
+    return code, slot, tokens
 
 
 def windows(code: np.ndarray, slot: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -82,18 +93,50 @@ def windows(code: np.ndarray, slot: np.ndarray, size: int) -> tuple[np.ndarray,
         return np.empty(0, np.int64), np.empty(0, np.uint64)
     h = np.full(n, size, np.uint64)
     for i in range(size):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + code[i : i + n]
+        h = h * _STEP + code[i : i + n]
     count = np.cumsum(np.r_[0, slot > 0])
     at = np.flatnonzero(count[size:] - count[:-size] <= min(SLOTS, size // 2))
     return at, mix64(h[at])
 
 
+def dense_windows(code: np.ndarray, slot: np.ndarray, raw: np.ndarray, size: int, longest: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places, hashes and lengths of the windows that ``windows`` leaves out: each over its raw tokens and, of the usual size, each prolonged until it has as many fixed tokens as other windows.
+
+    ``longest`` is the greatest length that can match.
+    """
+    n, most = len(code) - size + 1, min(SLOTS, size // 2)
+    count = np.cumsum(np.r_[0, slot > 0])
+    at = np.flatnonzero(count[size:] - count[:-size] > most) if n > 0 else np.empty(0, np.int64)
+    if not len(at):
+        return at, np.empty(0, np.uint64), at
+    h = np.full(len(at), RAW + size, np.uint64)
+    for i in range(size):
+        h = h * _STEP + raw[at + i]
+    if size < WINDOW:
+        return at, mix64(h), np.full(len(at), size)
+    fixed = np.arange(len(count)) - count
+    end = np.searchsorted(fixed, fixed[at] + size - most)
+    fits = (end <= len(code)) & (end - at <= (longest or len(code)))
+    long, end = at[fits], end[fits]
+    # Hashes of windows of any length come from sums over the text, so long runs of placeholders cost no more than others.
+    power = np.cumprod(np.r_[np.uint64(1), np.full(len(code), _STEP)])
+    total = np.r_[np.uint64(0), np.cumsum(code * np.cumprod(np.r_[np.uint64(1), np.full(len(code) - 1, _BACK)]))]
+    g = (total[end] - total[long]) * power[end - 1] + (end - long).astype(np.uint64) * power[end - long]
+    return np.r_[at, long], mix64(np.r_[h, g]), np.r_[np.full(len(at), size), end - long]
+
+
+def all_windows(code: np.ndarray, slot: np.ndarray, raw: np.ndarray, size: int, longest: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places, hashes and lengths of the windows at every place."""
+    (at, h), (dense, g, lengths) = windows(code, slot, size), dense_windows(code, slot, raw, size, longest)
+    return np.r_[at, dense], np.r_[h, g], np.r_[np.full(len(at), size), lengths]
+
+
 def _sizes(n: int) -> int:
     return WINDOW if n >= WINDOW else n if n >= SHORTEST else 0
 
 
 def benchmark_windows(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(item, hash, size, at, windows, values) of every item; items of equal text are one."""
+    """(item, hash, size, length, at, windows, values) of every item; items of equal text are one. ``length`` is that of the window, ``size`` the item's usual one."""
     kind = items.schema[id_col].dataType.simpleString()
     once = items.where(F.col(text_col).isNotNull()).groupBy(F.col(text_col).alias("text")).agg(F.min(id_col).alias("item")).select("item", "text")
 
@@ -101,15 +144,15 @@ def benchmark_windows(items: DataFrame, id_col: str, text_col: str) -> DataFrame
         for batch in rows_of(batches):
             out = []
             for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                code, slot, tokens = template(text)
+                code, slot, raw, tokens = parsed(text)
                 if size := _sizes(len(code)):
-                    places, hashes = windows(code, slot, size)
-                    out += [(item, h, size, p, len(places), [f"{slot[i]}{tokens[i].lower()}" for i in range(p, p + size) if slot[i]]) for p, h in zip(places.tolist(), hashes.view(np.int64).tolist(), strict=True)]
-            columns = list(zip(*out, strict=True)) if out else [[]] * 6
-            kinds = (batch.schema.field(0).type, pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["item", "hash", "size", "at", "windows", "values"])
+                    places, hashes, lengths = all_windows(code, slot, raw, size)
+                    out += [(item, h, size, n, p, len(code) - size + 1, [f"{slot[i]}{tokens[i].lower()}" for i in range(p, p + n) if slot[i]]) for p, h, n in zip(places.tolist(), hashes.view(np.int64).tolist(), lengths.tolist(), strict=True)]
+            columns = list(zip(*out, strict=True)) if out else [[]] * 7
+            kinds = (batch.schema.field(0).type, pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["item", "hash", "size", "length", "at", "windows", "values"])
 
-    return once.mapInArrow(run, f"item {kind}, hash long, size int, at int, windows int, values array<string>")
+    return once.mapInArrow(run, f"item {kind}, hash long, size int, length int, at int, windows int, values array<string>")
 
 
 def _filter(bench: DataFrame) -> np.ndarray:
@@ -128,7 +171,7 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     """(id, th, item, kind, coverage, longest, first_token) of every contaminated document and item."""
     kind = docs.schema[id_col].dataType.simpleString()
     bench = written(benchmark_windows(items, item_id, item_text))
-    sizes = sorted(r[0] for r in bench.select("size").distinct().collect())  # at most WINDOW of them
+    sizes = sorted((r[0], r[1]) for r in bench.groupBy("size").agg(F.max("length")).collect())  # at most WINDOW of them
     mask = docs.sparkSession.sparkContext.broadcast(_filter(bench))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,13 +181,13 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
         for batch in rows_of(batches):
             out = []
             for doc, th, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                code, slot, tokens = template(text.as_py())
-                for size in sizes:
-                    places, h = windows(code, slot, size)
+                code, slot, raw, tokens = parsed(text.as_py())
+                for size, longest in sizes:
+                    places, h, lengths = all_windows(code, slot, raw, size, longest)
                     hit = np.flatnonzero(has(h & last) & has(h >> np.uint64(32) & last)) if len(h) else ()
                     for i in hit:
                         p = int(places[i])
-                        out.append((doc, th, int(h[i].view(np.int64)), size, p, [f"{slot[j]}{tokens[j].lower()}" for j in range(p, p + size) if slot[j]]))
+                        out.append((doc, th, int(h[i].view(np.int64)), size, p, [f"{slot[j]}{tokens[j].lower()}" for j in range(p, p + int(lengths[i])) if slot[j]]))
             columns = list(zip(*out, strict=True)) if out else [[]] * 6
             kinds = (batch.schema.field(0).type, pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["id", "th", "hash", "size", "p", "own"])

@@ -86,6 +86,14 @@ def test_repeated_lines_cover_an_item_window_once(spark):
     assert out == {3: 0.6}
 
 
+def test_items_dense_in_placeholders(spark):
+    items = [(1, "1 2 3 4 5 6 7 8 9 10 11 12"), (2, "10 20 30 40"), (3, "then add 12 14 16 18 20 22 24 to get their whole sum")]
+    rows = [(1, f"see {items[0][1]} here"), (2, "so 10 20 30 40 it is"), (3, f"well {items[2][1]} now"), (4, "well then add 31 33 35 37 39 41 43 to get their whole sum now")]
+    rows += [(5, "see 2 3 4 5 6 7 8 9 1 1 1 1 here"), (6, "so 10 20 30 41 it is"), (7, "so 20 10 30 40 it is")]
+    out = {(r.id, r.item): (r.kind, r.coverage) for r in decontaminate.matches(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert out == {(1, 1): ("verbatim", 1.0), (2, 2): ("verbatim", 1.0), (3, 3): ("verbatim", 1.0), (4, 3): ("reparameterised", 1.0)}
+
+
 def brute_force_groups(rows, k, percent):
     sets = []
     for i, t in rows:
