@@ -1,7 +1,8 @@
 """Substring deduplication by sliding sentence spans.
 
-A text is cut into sentences; a sentence of more than LONG words is cut further after words that a hash picks, so equal long passages
-are cut alike wherever they stand. From every sentence a span runs over at least ``span`` sentences and ``min_words`` words; its hash is
+A text is cut into sentences; a sentence of more than LONG words is cut further after the words whose hash is the least of some GAP
+words in a row (winnowing). So no part is longer than GAP words, and equal passages are cut alike but for their first and last GAP - 1
+words, wherever they stand: each shared run of over 50 words inside such sentences holds a span. From every sentence a span runs over at least ``span`` sentences and ``min_words`` words; its hash is
 joined over all documents. The occurrence in the document with the smallest id (in it, the first one) stays; sentences that any
 other occurrence covers are removed.
 
@@ -28,25 +29,31 @@ from .common import rows_of, table, written
 SPAN = 3
 MIN_WORDS = 20
 LONG = 20
-CUT = 8
+GAP = 8
 
 _end = re.compile(r"[.!?]+[\"'”’)\]]*(?:\s+|$)|[。！？]+\s*|\s*\n\s*")
 _word = re.compile(r"\S+\s*")
 
 
+def picked(codes: list[int]) -> list[int]:
+    """Places of the least code of each GAP codes in a row (of equal ones the last), and the last place."""
+    back = np.lib.stride_tricks.sliding_window_view(np.array(codes[::-1], np.int64), GAP)
+    return np.unique(np.r_[len(codes) - 1, len(codes) - 1 - np.arange(len(back)) - back.argmin(axis=1)]).tolist()
+
+
 def sentences(text: str) -> list[tuple[int, int]]:
     """(start, end) of consecutive sentences that cover the text; white space after a sentence is its own."""
     out, at = [], 0
     for stop in [*(m.end() for m in _end.finditer(text)), len(text)]:
         if stop <= at:
             continue
-        if text.count(" ", at, stop) <= LONG:
+        words = list(_word.finditer(text, at, stop))
+        if len(words) <= LONG:
             out.append((at, stop))
         else:
-            for m in _word.finditer(text, at, stop):
-                if zlib.crc32(m[0].strip().lower().encode("utf-8", "surrogatepass")) % CUT == 0 or m.end() == stop:
-                    out.append((at, m.end()))
-                    at = m.end()
+            for i in picked([zlib.crc32(m[0].strip().lower().encode("utf-8", "surrogatepass")) for m in words]):
+                out.append((at, words[i].end()))
+                at = words[i].end()
         at = stop
     return out
 

@@ -61,6 +61,19 @@ def test_long_passages_without_sentence_ends_are_cut(spark):
     assert got[1].removed == 0 and got[3].removed == 0 and len(got[2].text.split()) < 45
 
 
+def test_every_passage_of_51_words_in_long_sentences_holds_a_span():
+    rng = np.random.default_rng(5)
+    word = lambda: WORDS[rng.integers(20)] + str(rng.integers(50))
+    for space in (" ", "\t", "\u00a0"):
+        for k in range(100):
+            passage = [word() for _ in range(51)]
+            a, b = (space.join([word() for _ in range(rng.integers(1, 30))] + passage + [word() for _ in range(rng.integers(1, 30))]) for _ in range(2))
+            assert set(substring_dedup.spans(a, 3, 20)[0]) & set(substring_dedup.spans(b, 3, 20)[0])
+            assert set(substring_dedup.spans(a, 3, 20)[0]) & set(substring_dedup.spans(f"It ends. {space.join(passage)}. More", 3, 20)[0])
+    text = "one" + " " * 40 + "\n" + " " * 30
+    assert "".join(text[i:j] for i, j in substring_dedup.sentences(text)) == text
+
+
 def test_decontamination(spark, docs):
     bench = spark.createDataFrame([(1, "Tom Baker bought 12 kg of apples for 30 dollars and then sold half of them to Ann Smith."), (2, None), (3, "two words"), (4, "a short item here now"), (5, TEXT), (6, TEXT)], "item_id long, text string").withColumn("size", F.lit("clash"))
     more = spark.createDataFrame([(100, "Intro. Tom Baker bought 12 kg of apples for 30 dollars and then sold half of them to Ann Smith. End."), (101, "Then Bob Miller bought 7 kg of apples for 99 dollars and then sold half of them to Eve Stone."), (102, "He bought apples for dollars."), (103, "well a short item here now ok")], "doc_id long, text string")
