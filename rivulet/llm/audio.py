@@ -2,8 +2,9 @@
 
 Audio is raw unsigned 8-bit mono PCM. Frames give twelve pitch-class energies; sixteen filters over the integral image of these
 (differences of rectangle sums, in logarithms) give two bits each, in Gray code, so a frame's fingerprint is a 32-bit integer.
-Recordings with equal fingerprints are one class. A query's integers are hash-joined with those of all classes, each integer at
-its first place in a recording; votes for one offset are counted, and the bit errors along the best offsets decide.
+Recordings with equal fingerprints are one class. A query's integers are hash-joined with those of all classes; pairs that share enough
+of them for some offset get the votes of every offset, over all places, and the bit errors of each offset with enough votes decide.
+Of the offsets that fit, the one with most votes is the match. Recordings shorter than OVERLAP or VOTES need as much as they are long.
 
 Defined results: null and empty audio have no fingerprint and no class; audio shorter than a filter is padded with silence; equal votes
 go to the smaller offset; rows of one id are recordings of their own; an empty table gives an empty result; other columns are not read.
@@ -109,17 +110,77 @@ def fingerprints(media: DataFrame, id_col: str, audio_col: str) -> DataFrame:
     return media.select(F.col(id_col).alias("id"), F.col(audio_col).cast("binary").alias("audio")).mapInArrow(run, f"id {kind}, cls long, fp array<int>")
 
 
+def runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, lengths and values of the runs of equal integers."""
+    start = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
+    return start, np.diff(np.r_[start, len(x)]), x[start]
+
+
+def histogram(q: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Votes of the offsets 1 - len(q) .. len(d) - 1: equal integers at all pairs of places. Two runs add a trapezoid, kept as its second differences."""
+    (a, m, x), (b, n, y) = runs(q), runs(d)
+    order = np.argsort(y, kind="stable")
+    b, n, y = b[order], n[order], y[order]
+    low, high = np.searchsorted(y, x), np.searchsorted(y, x, "right")
+    steps = np.zeros(len(q) + len(d) + 1, np.int64)
+    ends = np.cumsum(high - low)
+    for part in np.split(np.arange(len(x)), np.flatnonzero(np.diff(ends >> 20)) + 1):  # bounded memory where few integers alternate
+        count = (high - low)[part]
+        i = np.repeat(part, count)
+        j = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + low[i]
+        at = b[j] - a[i] - m[i] + len(q)
+        for move, sign in ((0, 1), (m[i], -1), (n[j], -1), (m[i] + n[j], 1)):
+            steps += sign * np.bincount(at + move, minlength=len(steps))
+    return steps.cumsum().cumsum()[: len(q) + len(d) - 1]
+
+
+def bit_errors(q: np.ndarray, d: np.ndarray, offsets: np.ndarray, overlap: np.ndarray) -> np.ndarray:
+    """Differing bits at each offset: one by one, or where that is more work by exact correlation of all offsets."""
+    if overlap.sum() <= 64 * (len(q) + len(d)):
+        return np.array([int(np.bitwise_count(q[max(0, -o) : max(0, -o) + n] ^ d[max(0, o) : max(0, o) + n]).sum()) for o, n in zip(offsets.tolist(), overlap.tolist(), strict=True)], np.int64)
+    size = 1 << (len(q) + len(d)).bit_length()
+    both = np.zeros(size // 2 + 1, complex)
+    for k in range(32):
+        sign = lambda x: (x >> np.uint32(k) & np.uint32(1)) * 2.0 - 1  # noqa: E731, B023
+        both += np.fft.rfft(sign(d), size) * np.conj(np.fft.rfft(sign(q), size))
+    same = np.rint(np.fft.irfft(both, size)).astype(np.int64)[offsets % size]
+    return (32 * overlap - same) // 2
+
+
+def aligned(q: np.ndarray, d: np.ndarray) -> tuple[int, int, int, float] | None:
+    """(offset, votes, overlap, bit error) of the offset with most votes among those that fit."""
+    votes = histogram(q, d)
+    offsets = np.flatnonzero(votes >= min(VOTES, len(q), len(d))) + 1 - len(q)
+    start = np.maximum(offsets, 0)
+    overlap = np.minimum(len(q) + offsets, len(d)) - start
+    fits = overlap >= min(OVERLAP, len(q), len(d))
+    offsets, overlap = offsets[fits], overlap[fits]
+    errors = bit_errors(q, d, offsets, overlap) / (overlap * 32)
+    good = np.flatnonzero(errors <= ERRORS)
+    if not len(good):
+        return None
+    best = good[votes[offsets[good] + len(q) - 1].argmax()]
+    return int(offsets[best]), int(votes[offsets[best] + len(q) - 1]), int(overlap[best]), float(errors[best])
+
+
 def align(queries: DataFrame, classes: DataFrame) -> DataFrame:
     """Both (cls, fp) with distinct cls: (query, match, offset, votes, overlap, bit_error); offset is the match's frame at the query's frame 0."""
-    first = lambda df: df.select("cls", F.posexplode("fp").alias("at", "x")).groupBy("cls", "x").agg(F.min("at").alias("at"))
-    q, d = first(queries).toDF("query", "x", "qa"), first(classes).toDF("match", "x", "da")
-    votes = q.join(d, "x").where("query <> match").groupBy("query", "match", (F.col("da") - F.col("qa")).alias("offset")).agg(F.count("*").alias("votes")).where(F.col("votes") >= VOTES)
-    best = votes.groupBy("query", "match").agg(F.max(F.struct("votes", (-F.col("offset")).alias("o"))).alias("b")).select("query", "match", F.col("b.votes").alias("votes"), (-F.col("b.o")).alias("offset"))
-    both = best.join(queries.toDF("query", "qf"), "query").join(classes.toDF("match", "df"), "match")
-    qs, ds = F.greatest(F.lit(0), -F.col("offset")), F.greatest(F.lit(0), F.col("offset"))
-    both = both.withColumn("overlap", F.least(F.size("qf") - qs, F.size("df") - ds)).where(F.col("overlap") >= OVERLAP)
-    bits = F.aggregate(F.zip_with(F.slice("qf", qs + 1, F.col("overlap")), F.slice("df", ds + 1, F.col("overlap")), lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, x: s + x)
-    return both.select("query", "match", "offset", "votes", "overlap", (bits / (F.col("overlap") * 32)).alias("bit_error")).where(F.col("bit_error") <= ERRORS)
+    counts = lambda df: df.select("cls", F.size("fp").alias("n"), F.explode("fp").alias("x")).groupBy("cls", "n", "x").agg(F.count("*").alias("c"))
+    q, d = counts(queries).toDF("query", "qn", "x", "qc"), counts(classes).toDF("match", "dn", "x", "dc")
+    # No offset has more votes than the smaller counts of the shared integers sum up to.
+    pairs = q.join(d, "x").where("query <> match").groupBy("query", "match").agg(F.sum(F.least("qc", "dc")).alias("most"), F.min(F.least("qn", "dn")).alias("n")).where(F.col("most") >= F.least(F.lit(VOTES), "n"))
+    both = pairs.select("query", "match").join(queries.toDF("query", "qf"), "query").join(classes.toDF("match", "df"), "match").select("query", "match", "qf", "df")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = lambda x: np.asarray(x.values).view(np.uint32)
+        for batch in batches:
+            found = [aligned(of(q), of(d)) for q, d in zip(batch.column(2), batch.column(3), strict=True)]
+            hit = pa.array([x is not None for x in found])
+            columns = list(zip(*[x for x in found if x], strict=True)) or [[]] * 4
+            kinds = (pa.int32(), pa.int64(), pa.int32(), pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(hit), batch.column(1).filter(hit), *(pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True))], names=["query", "match", "offset", "votes", "overlap", "bit_error"])
+
+    return both.mapInArrow(run, "query long, match long, offset int, votes long, overlap int, bit_error double")
 
 
 def search(media: DataFrame, wanted, id_col: str = "id", audio_col: str = "audio") -> tuple[DataFrame, DataFrame]:

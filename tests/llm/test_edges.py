@@ -275,6 +275,27 @@ def test_audio(spark):
     assert [x.count() for x in audio.search(frame.limit(0), lambda i: i % 100 == 0)] == [0, 0]
 
 
+def test_alignment_tries_every_offset_and_place(spark):
+    rng = np.random.default_rng(9)
+    noise = lambda n: rng.integers(0, 1 << 32, n, np.uint32)
+    a, b, c = noise(12), noise(10), noise(10)
+    short, one = noise(3), noise(1)
+    prints = {1: np.r_[a, c], 2: np.r_[a, b, a, c], 3: short, 4: np.r_[short[:2], short[2:] ^ np.uint32(5)], 5: one, 6: np.r_[noise(6), one, noise(6)]}
+    frame = spark.createDataFrame([(k, v.view(np.int32).tolist()) for k, v in prints.items()], "cls long, fp array<int>")
+    out = {(r.query, r.match): (r.offset, r.votes, r.overlap) for r in audio.align(frame.where("cls % 2 = 1"), frame).collect()}
+    assert out == {(1, 2): (22, 22, 22), (3, 4): (0, 2, 3), (5, 6): (6, 1, 1)}
+
+
+def test_votes_and_bit_errors_against_brute_force():
+    rng = np.random.default_rng(4)
+    for k in range(60):
+        q, d = (np.repeat(rng.integers(0, 4, n).astype(np.uint32) * np.uint32(0x91234567), rng.integers(1, 4, n)) for n in rng.integers(1, 200 if k % 9 == 0 else 20, 2))
+        offsets = np.arange(1 - len(q), len(d))
+        pairs = [(q[max(0, -o) :][:n], d[max(0, o) :][:n]) for o in offsets for n in [min(len(q) - max(0, -o), len(d) - max(0, o))]]
+        assert audio.histogram(q, d).tolist() == [int((x == y).sum()) for x, y in pairs]
+        assert audio.bit_errors(q, d, offsets, np.array([len(x) for x, _ in pairs])).tolist() == [int(np.bitwise_count(x ^ y).sum()) for x, y in pairs]
+
+
 def test_chat_format(spark):
     call = lambda i, name, args: f'<tool_call>{{"id": "{i}", "name": "{name}", "arguments": {args}}}</tool_call>'
     rows = [
