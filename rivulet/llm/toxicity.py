@@ -110,14 +110,14 @@ def scorer(model: Model):
 
     memo = Memo(weight)
 
-    def score(text: str | None) -> tuple[float, int, int, float]:
-        """(document score, sentences, number of the worst sentence or -1, its score)."""
+    def score(text: str | None) -> tuple[float, int, np.ndarray]:
+        """(document score, number of the worst sentence or -1, score of each sentence)."""
         found = _token.findall((text or "").lower())
         x = np.fromiter(map(memo.__getitem__, found), float, len(found))
         ends = np.isnan(x)
         number, x = np.cumsum(ends)[~ends], x[~ends]
         if not len(x):
-            return 0.0, 0, -1, 0.0
+            return 0.0, -1, x
         if (some := np.flatnonzero(x)).size > 1:  # a word counts once in its sentence
             names, seen = [w for w in found if w not in ".!?\n"], set()
             for i, at in zip(some.tolist(), number[some].tolist(), strict=True):
@@ -125,25 +125,26 @@ def scorer(model: Model):
                     x[i] = 0.0
                 seen.add(key)
         z = model.bias + np.add.reduceat(x, np.r_[0, np.flatnonzero(np.diff(number)) + 1])
-        worst = int(z.argmax())
-        return float(-math.expm1(-np.logaddexp(0, z).sum())), len(z), worst, float(1 / (1 + math.exp(-min(500, max(-500, z[worst])))))
+        return float(-math.expm1(-np.logaddexp(0, z).sum())), int(z.argmax()), 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
     return score
 
 
-def offending(text: str, number: int) -> tuple[int, int]:
-    """Start and end of the numbered sentence in the text."""
-    n, start, end, inside = -1, 0, 0, False
+def located(text: str, numbers: set[int]) -> dict[int, tuple[int, int]]:
+    """Start and end of the numbered sentences in the text."""
+    out, n, start, end, inside = {}, -1, 0, 0, False
     for found in _token.finditer(text):
         if found[0] in ".!?\n":
-            if inside and n == number:
-                return start, found.end()
+            if inside and n in numbers:
+                out[n] = start, found.end()
             inside = False
         else:
             if not inside:
                 n, start, inside = n + 1, found.start(), True
             end = found.end()
-    return start, end
+    if inside and n in numbers:
+        out[n] = start, end
+    return out
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS) -> Model:
@@ -153,7 +154,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", locate: float = 0.5) -> DataFrame:
-    """(id, score, sentences, worst_start, worst_end, worst_score); the span is located where the document's score reaches ``locate``."""
+    """(id, score, sentences, worst_start, worst_end, worst_score, offending).
+
+    ``offending`` has (start, end, score) of every sentence whose own score reaches ``locate``, in text order; the worst sentence's span is
+    located where the document's score does, for which several sentences below it may be enough.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -163,14 +168,16 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             out = []
             for text in batch.column(1):
                 text = text.as_py()
-                p, n, worst, q = one(text)
-                span = offending(text, worst) if text and n and p >= locate else (None, None)
-                out.append((p, n, *span, q))
+                p, worst, each = one(text)
+                bad = np.flatnonzero(each >= locate).tolist()
+                places = located(text, {worst, *bad}) if len(each) and (bad or p >= locate) else {}
+                listed = [{"start": places[i][0], "end": places[i][1], "score": float(each[i])} for i in bad]
+                out.append((p, len(each), *(places[worst] if places and p >= locate else (None, None)), float(each[worst]) if len(each) else 0.0, listed))
             columns = list(zip(*out, strict=True))
-            kinds = (pa.float64(), pa.int32(), pa.int32(), pa.int32(), pa.float64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["id", "score", "sentences", "worst_start", "worst_end", "worst_score"])
+            kinds = (pa.float64(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["id", "score", "sentences", "worst_start", "worst_end", "worst_score", "offending"])
 
-    schema = f"{id_col} {kind}, score double, sentences int, worst_start int, worst_end int, worst_score double"
+    schema = f"{id_col} {kind}, score double, sentences int, worst_start int, worst_end int, worst_score double, offending array<struct<start: int, end: int, score: double>>"
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
@@ -179,4 +186,4 @@ def op3_toxicity(spark, sf_dir: str) -> DataFrame:
     held = crc_mod(F.col("doc_id"), 3) == 1
     model = train(docs, table(spark, "labels", sf_dir).where(~held))
     out = score(docs, model)
-    return out.select("doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"), "sentences", "worst_start", "worst_end", "worst_score")
+    return out.select("doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"), "sentences", "worst_start", "worst_end", "worst_score", "offending")

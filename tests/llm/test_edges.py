@@ -183,6 +183,15 @@ def test_toxicity(spark, docs):
     assert toxicity.score(docs.limit(0), toxicity.Model()).count() == 0
 
 
+def test_every_offending_sentence_is_listed(spark):
+    text = "You are a clown! Fine words here.\nWhat a stupid clown. All is well. So stupid"
+    rows = [(1, text), (2, "Fine words here."), (3, None), (4, "İ. A CLOWN")]
+    out = {r.doc_id: r for r in toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), toxicity.Model(-4.0, {"clown": 6.0, "stupid": 5.0})).collect()}
+    assert [text[x.start : x.end] for x in out[1].offending] == ["You are a clown!", "What a stupid clown.", "So stupid"]
+    assert [round(x.score, 3) for x in out[1].offending] == [0.881, 0.999, 0.731] and text[out[1].worst_start : out[1].worst_end] == "What a stupid clown."
+    assert out[2].offending == out[3].offending == [] and [(x.start, x.end) for x in out[4].offending] == [(3, 10)]
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.1"
     from rivulet.llm.common import crc_mod
