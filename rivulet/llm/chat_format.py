@@ -9,7 +9,7 @@ messages and results, JSON for calls).
 
 Defined results: of calls with one identifier the first counts, the others are ``duplicate``; a result without a call is ``orphan``, a
 call without a result ``unanswered``; arguments that are no JSON object or break the schema make a call ``invalid``; calls that wait
-for each other after MAX_DEPTH rounds are ``cycle``; null texts are JSON null; null conversations are one conversation each;
+for each other, and those that wait for such calls, are ``cycle``; null texts are JSON null; null conversations are one conversation each;
 repeated rows stay; an empty table gives an empty result.
 """
 
@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 
 from .common import table, written
 
-MAX_DEPTH = 16
 CALL = r"(?s)<tool_call>(.*?)</tool_call>"
 COLUMNS = ("conv", "turn", "seq", "kind", "role", "call_id", "name", "payload")
 
@@ -75,22 +74,32 @@ def link(evs: DataFrame, schemas: dict[str, dict[str, str]]) -> DataFrame:
     same = lambda a, b: a["conv"].eqNullSafe(b["conv"]) & (a["call_id"] == b["call_id"])
     linked = first.join(answer, same(first, answer), "left").select(first["conv"], first["call_id"], "at", "answer", F.col("at.turn").alias("t"), F.lit(0).alias("d"))
 
-    # A call that names results waits for them: its place is raised until nothing moves.
+    # A call that names results waits for them: each round places the calls whose last open result was placed in the round before,
+    # until none is; what is then open waits for itself. There are as many rounds as calls in the longest chain.
     named = calls.select("conv", "call_id", F.explode(F.regexp_extract_all("payload", F.lit(r'"\$result:([^"]+)"'), F.lit(1))).alias("needs")).distinct()
     stuck = None
     if named.limit(1).count():
-        linked, named = written(linked), written(named)
-        for _ in range(MAX_DEPTH):
-            done = linked.select(F.col("conv").alias("c"), F.col("call_id").alias("needs"), F.greatest(F.struct("t", (F.col("d") + 2).alias("d")), F.struct(F.coalesce("answer.turn", "t").alias("t"), F.lit(1).alias("d"))).alias("end"))
-            floor = named.join(done, named["conv"].eqNullSafe(done["c"]) & (named["needs"] == done["needs"])).groupBy("conv", "call_id").agg(F.max("end").alias("end"))
-            raised = linked.join(floor.withColumnsRenamed({"conv": "fc", "call_id": "fi"}), F.col("conv").eqNullSafe(F.col("fc")) & (F.col("call_id") == F.col("fi")), "left")
-            place = F.struct("t", "d")
-            raised = raised.withColumn("moved", F.coalesce(F.col("end") > place, F.lit(False))).withColumn("new", F.when(F.col("moved"), F.col("end")).otherwise(place))
-            step = written(raised.select("conv", "call_id", "at", "answer", F.col("new.t").alias("t"), F.col("new.d").alias("d"), "moved"))
-            linked, stuck = step.drop("moved"), step.where("moved").select(F.col("conv").alias("sc"), F.col("call_id").alias("si"))
-            if not stuck.limit(1).count():
-                stuck = None
-                break
+        asked = linked.select(F.col("conv").alias("c"), F.col("call_id").alias("i"))
+        named = written(named.join(asked, named["conv"].eqNullSafe(asked["c"]) & (named["needs"] == asked["i"]), "left_semi"))
+
+        def step(state: DataFrame, rest: DataFrame, floor: DataFrame) -> DataFrame:
+            """The next state: places raised to the floor; open are the calls that the rest still names, fresh those that no longer are."""
+            waits = rest.select(F.col("conv").alias("wc"), F.col("call_id").alias("wi"), F.lit(True).alias("waits")).distinct()
+            floor = floor.withColumnsRenamed({"conv": "fc", "call_id": "fi"})
+            out = state.join(waits, F.col("conv").eqNullSafe(F.col("wc")) & (F.col("call_id") == F.col("wi")), "left").join(floor, F.col("conv").eqNullSafe(F.col("fc")) & (F.col("call_id") == F.col("fi")), "left")
+            place, left = F.greatest(F.struct("t", "d"), "end"), F.coalesce("waits", F.lit(False))
+            return written(out.select("conv", "call_id", "at", "answer", place["t"].alias("t"), place["d"].alias("d"), left.alias("open"), (F.col("open") & ~left).alias("fresh")))
+
+        end = F.greatest(F.struct("t", (F.col("d") + 2).alias("d")), F.struct(F.coalesce("answer.turn", "t").alias("t"), F.lit(1).alias("d")))
+        meets = lambda df: named["conv"].eqNullSafe(df["c"]) & (named["needs"] == df["i"])
+        none = linked.select("conv", "call_id", F.struct("t", "d").alias("end")).limit(0)
+        linked = step(linked.withColumn("open", F.lit(True)), named, none)
+        while linked.where("fresh").limit(1).count():
+            done, shut = (linked.where(x).select(F.col("conv").alias("c"), F.col("call_id").alias("i"), end.alias("end")) for x in ("fresh", "not open"))
+            floor = named.join(done, meets(done)).groupBy("conv", "call_id").agg(F.max("end").alias("end"))
+            linked = step(linked.drop("fresh"), named.join(shut, meets(shut), "left_anti"), floor)
+        stuck = linked.where("open").select(F.col("conv").alias("sc"), F.col("call_id").alias("si"))
+        linked = linked.drop("open", "fresh")
     known = linked.withColumnsRenamed({"conv": "kc", "call_id": "ki"})
     if stuck is not None:
         known = known.join(stuck.withColumn("stuck", F.lit(True)), F.col("kc").eqNullSafe(F.col("sc")) & (F.col("ki") == F.col("si")), "left").drop("sc", "si")

@@ -334,3 +334,13 @@ def test_chat_format(spark):
     assert json["message", None, 0] == '{"content":"Say \\"hi\\"\\n","role":"user","type":"message"}'
     assert sum(r.conv == 3 for r in out) == 2 and next(r.json for r in out if r.conv == 2 and r.turn == 0) == '{"content":null,"role":null,"type":"message"}'
     assert chat_format.link(chat_format.events(frame.limit(0)), {}).count() == 0
+
+
+def test_long_chains_are_no_cycles(spark):
+    evs = [(1, 0, i, "call", "assistant", f"k{i}", "f", "{}" if i == 0 else f'{{"x": "$result:k{i - 1}"}}') for i in range(19)]
+    evs += [(2, 1, 0, "call", "assistant", "p", "f", '{"x": "$result:q"}'), (2, 5, 0, "call", "assistant", "q", "f", '{"x": "$result:p"}'), (2, 6, 0, "call", "assistant", "r", "f", '{"x": "$result:zz"}')]
+    evs += [(None, 1, 0, "call", "assistant", "s", "f", '{"x": "$result:s"}')]
+    frame = spark.createDataFrame(evs, "conv long, turn long, seq int, kind string, role string, call_id string, name string, payload string")
+    out = {r.call_id: (r.status, r.order_turn, r.order_depth) for r in chat_format.link(frame, {"f": {"x": "string?"}}).collect()}
+    assert [out[f"k{i}"] for i in range(19)] == [("unanswered", 0, 2 * i) for i in range(19)]
+    assert out["p"][0] == out["q"][0] == out["s"][0] == "cycle" and out["r"] == ("unanswered", 6, 0)
