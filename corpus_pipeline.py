@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rivulet.llm import decontaminate, ngram_join, packing, quality, substring_dedup
-from rivulet.llm.common import begin_stage, drop, end_stage, table, written
+from rivulet.llm.common import begin_stage, drop, table, written
 
 #: Five-word shingles and Jaccard of 0.8 or more make near duplicates.
 SHINGLE, PERCENT = 5, 80
@@ -60,12 +60,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces of all sequences."""
     docs = table(spark, "documents", sf_dir)
-    for i, (_, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        end_stage()
-        if i == len(STAGES) - 1:
-            return out
-        stored = written(out)
+    for _, stage in STAGES[:-1]:
+        stored = written(stage(spark, docs, sf_dir), of_stage=False)
         drop(docs)
         docs = stored
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)
