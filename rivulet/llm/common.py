@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.scratch import begin_stage, drop, end_stage, release, shared_folder, written  # noqa: F401
+from ..sources.scratch import begin_stage, drop, release, shared_folder, written  # noqa: F401
 
 def table(spark: SparkSession, name: str, sf_dir: str) -> DataFrame:
     """One of the parquet tables below ``sf_dir``; the path may be of any store that Spark reads."""
@@ -53,6 +56,21 @@ class Memo(dict):
         return value
 
 
+def released(run):
+    """``run`` for mapInArrow, with what a task leaves behind in a reused worker given back to the system at its end."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return wrapped
+
+
 def rows_of(batches: Iterator[pa.RecordBatch], most_chars: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut so that the strings of one slice stay near ``most_chars`` bytes (very long documents come alone)."""
     for batch in batches:

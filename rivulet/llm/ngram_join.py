@@ -3,9 +3,12 @@
 Tokens (shingle hashes) are hashed into groups. The counts of 256 groups are a set's point; the sum over groups of the smaller
 count bounds the overlap of two sets, and of a set with all that lies below a tree node by the node's largest counts.
 Global trees over such points do not separate unrelated texts of one size (their boxes overlap in every coordinate), so
-points are first dealt into cells by the same kind of hashing: sets whose sizes allow a link differ in at most D tokens, so of
-D + 1 token groups one holds the same tokens in both sets. The key of a cell is a group and the hash of its tokens. Links
-between different sets are found in two steps:
+points are first dealt into cells by the same kind of hashing. Sets whose sizes allow a link differ in at most D tokens, so of
+G token groups at least G - D hold the same tokens in both. By prefix filtering, any order of all possible group contents has then one
+that both sets have among their first D + 1; with the fullest groups first, the key of a cell is a group with the hash of its
+several tokens, which unrelated sets hardly share, however many there are. A set with fewer than D + 1 groups in use adds the keys of
+its first tokens (of which linked sets of that kind share one), so that an empty group is never a key. Links between different sets are
+found in two steps:
 
 1. Each cell's members are compared with one of them, the one that shares most cells (one row a member, never all pairs of a cell).
 2. Cells whose other members are not yet all connected are joined by R-trees, in blocks of bounded size. Pairs that
@@ -19,96 +22,149 @@ than a shingle has are one shingle of all words; rows with equal ids stay rows o
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from .common import Memo, drop, mix64, release, rows_of, table, written
+from .common import drop, mix64, released, rows_of, table, written
 
 GROUPS = 256
 FIRST, RATIO = 10, 1.5
+#: Cell groups of a set for each one whose content is a key.
+SPARE = 2
 BLOCK = 512
 LEAF = 16
+#: Rows of a task that joins blocks by trees.
+TREE_ROWS = 5000
 #: Bits of the filter that picks the texts whose sets are needed: 16 MB at most, whatever the input.
 FILTER_BITS = 1 << 26
-
-_word = Memo(xxhash.xxh3_64_intdigest)
-
-
-def shingles(text: str | None, k: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the k-word shingles; only A-Z are lower-cased, only ASCII white space separates."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(_word.__getitem__, words), np.uint64, len(words))
-    if len(words) < k:
-        return np.array([xxhash.xxh3_64_intdigest(b"\x00".join(words), seed=len(words))], np.uint64)
-    out = np.zeros(len(words) - k + 1, np.uint64)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_EMPTY = np.uint64(255 << 56)
+
+
+def _sums(values: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Sums modulo 2^64 of the values at each of n places (exact: both halves stay below 2^53)."""
+    low = np.bincount(at, (values & np.uint64(0xFFFFFFFF)).astype(np.float64), n).astype(np.uint64)
+    return low + (np.bincount(at, (values >> np.uint64(32)).astype(np.float64), n).astype(np.uint64) << np.uint64(32))
+
+
+def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct 64-bit hashes of the k-word shingles of all texts, and where each text's end; only A-Z are lower-cased, only ASCII white space separates."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), "")))
+    words = lists.flatten()
+    some = np.asarray(pc.not_equal(words, "").to_numpy(zero_copy_only=False), bool)  # the edges of a text may split off empty words
+    ends = np.cumsum(np.r_[0, some])[np.cumsum(np.r_[0, lists.value_lengths().to_numpy(zero_copy_only=False)])]
+    coded = words.filter(pa.array(some)).dictionary_encode()
+    codes = np.array([xxhash.xxh3_64_intdigest(w.as_buffer()) for w in coded.dictionary], np.uint64)
+    h = codes[coded.indices.to_numpy(zero_copy_only=False)] if len(codes) else np.empty(0, np.uint64)
+    n = np.diff(ends)
+    count = np.where(n >= k, n - k + 1, np.minimum(n, 1))
+    stop = np.cumsum(count)
+    out = np.zeros(max(0, len(h) - k + 1), np.uint64)
     for i in range(k):
-        out = mix64(out * np.uint64(0x9E3779B97F4A7C15) + h[i : i + len(out)] + np.uint64(i))
-    return np.unique(out)
-
-
-def bounds(percent: int, most: int = 1 << 31) -> list[tuple[int, int]]:
-    """(first size, number of cell groups) of each size band."""
+        out = mix64(out * _STEP + h[i : i + len(out)] + np.uint64(i))
+    flat = np.empty(int(stop[-1]) if len(stop) else 0, np.uint64)
+    for a, m, c, s in zip(ends[:-1].tolist(), n.tolist(), count.tolist(), stop.tolist(), strict=True):
+        if m >= k:
+            flat[s - c : s] = out[a : a + c]
+            flat[s - c : s].sort()
+        elif m:
+            flat[s - 1] = xxhash.xxh3_64_intdigest(h[a : a + m].tobytes(), seed=m)
+    first = np.ones(len(flat), bool)
+    first[1:] = flat[1:] != flat[:-1]
+    first[(stop - count)[count > 0]] = True
+    return flat[first], np.cumsum(np.r_[0, first])[stop]
+
+
+def signatures(h: np.ndarray, owner: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each set."""
+    return mix64(_sums(mix64(h), owner, len(n)) + n.astype(np.uint64) * _STEP).view(np.int64)
+
+
+def bands(percent: int, most: int = 1 << 31) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First size, last size, and the most tokens D in which two linked sets differ whose smaller one has a size of the band."""
     edges = [1, FIRST]
     while edges[-1] < most:
         edges.append(max(edges[-1] + 1, int(edges[-1] * RATIO)))
-    return [(a, (100 - percent) * 2 * (b - 1) // (100 + percent) + 1) for a, b in zip(edges, edges[1:], strict=False)]
-
-
-def cell_keys(h: np.ndarray, percent: int, bands: list[tuple[int, int]]) -> np.ndarray:
-    """Keys of the cells of a set: of its own size band, and of the next one if a partner may lie there."""
-    n, out = len(h), []
-    starts = [a for a, _ in bands]
-    own = int(np.searchsorted(starts, n, side="right")) - 1
-    for b in (own, own + 1) if n * 100 // percent >= starts[own + 1] else (own,):
-        k = bands[b][1]
-        if k == 1:  # only equal sets can link
+    low, top = np.array(edges[:-1]), np.array(edges[1:]) - 1
+    return low, top, (100 - percent) * (top + top * 100 // percent) // (100 + percent)
+
+
+def cell_keys(h: np.ndarray, ends: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, owners) of the cells of all sets: in the band of a set's size, and in those where a smaller partner may lie."""
+    low, top, differ = bands(percent)
+    start = np.r_[0, ends[:-1]]
+    n = ends - start
+    own = np.searchsorted(low, n, side="right") - 1
+    keys, owners = [], []
+    for back in range(len(low)):
+        at = np.flatnonzero((n > 0) & (own - back >= 0))
+        at = at[top[own[at] - back] * 100 >= n[at] * percent]
+        if not len(at):
+            break
+        band = own[at] - back
+        at, band = at[differ[band] > 0], band[differ[band] > 0]  # else only equal sets link
+        if not len(at):
             continue
-        group = ((h >> np.uint64(17)) % np.uint64(k)).astype(np.int64)
-        total = np.zeros(k, np.uint64)
-        np.add.at(total, group, mix64(h))
-        out.append(mix64(total + np.arange(b << 32, (b << 32) + k, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)))
-    return np.concatenate(out).view(np.int64) if out else np.empty(0, np.int64)
-
-
-def signature(h: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(h.tobytes()) - (1 << 63)
+        groups = SPARE * (differ[band] + 1)
+        base = np.cumsum(np.r_[0, groups])
+        tokens = np.concatenate([h[a:b] for a, b in zip(start[at].tolist(), ends[at].tolist(), strict=True)])
+        of = np.repeat(np.arange(len(at)), n[at])
+        place = base[of] + ((tokens >> np.uint64(17)) % groups[of].astype(np.uint64)).astype(np.int64)
+        number = np.arange(base[-1]) - np.repeat(base[:-1], groups)
+        content = mix64(_sums(mix64(tokens), place, base[-1]) + (np.repeat(band, groups).astype(np.uint64) << np.uint64(32) | number.astype(np.uint64)) * _STEP)
+        held = np.bincount(place, minlength=base[-1])
+        order = (255 - np.minimum(held, 255)).astype(np.uint64) << np.uint64(56) | content >> np.uint64(8)  # fullest groups first
+        for i, (a, b, need) in enumerate(zip(base[:-1].tolist(), base[1:].tolist(), (differ[band] + 1).tolist(), strict=True)):
+            order[a:b].sort()
+            used = order[a : a + need]
+            if used[-1] >= _EMPTY:
+                used = used[used < _EMPTY]
+                size, tokens_at = int(n[at[i]]), start[at[i]]
+                first = h[tokens_at : tokens_at + size - -(-percent * size // 100) + 1]
+                used = np.r_[used, mix64(first + np.uint64(int(band[i]) + 1) * np.uint64(0xA24BAED4963EE407))]
+            keys.append(used)
+            owners.append(np.full(len(used), at[i]))
+    if not keys:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    return np.concatenate(keys).view(np.int64), np.concatenate(owners)
 
 
 def points(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
-    """(id, n, sig, vec, keys) of every row."""
+    """(id, th, n, sig, vec, keys) of every row; th is the hash of the text."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands = bounds(percent)
-        for batch in rows_of(batches):
-            n, sig, vec, keys, ends = [], [], [], [], [0]
-            for text in batch.column(1):
-                h = shingles(text.as_py(), k)
-                n.append(len(h))
-                sig.append(signature(h) if len(h) else None)
-                vec.append(np.minimum(np.bincount((h & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS), 65535).astype("<u2").tobytes() if len(h) else None)
-                keys.append(cell_keys(h, percent, bands) if len(h) else np.empty(0, np.int64))
-                ends.append(ends[-1] + len(keys[-1]))
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys), pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.int64()), pa.array(vec, pa.binary()), lists], names=["id", "n", "sig", "vec", "keys"])
-
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n long, sig long, vec binary, keys array<long>")
+        for batch in rows_of(batches, 2_000_000):
+            h, ends = shingle_sets(batch.column(2), k)
+            n, rows = np.diff(np.r_[0, ends]), batch.num_rows
+            owner = np.repeat(np.arange(rows), n)
+            none = n == 0
+            vec = np.bincount(owner * GROUPS + (h & np.uint64(GROUPS - 1)).astype(np.int64), minlength=rows * GROUPS)
+            vec = np.minimum(vec, 65535).astype("<u2").reshape(rows, GROUPS)
+            keys, of = cell_keys(h, ends, percent)
+            order = np.argsort(of, kind="stable")
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum(np.r_[0, np.bincount(of, minlength=rows)]), pa.int32()), pa.array(keys[order], pa.int64()))
+            columns = [pa.array(n, pa.int64()), pa.array(signatures(h, owner, n), pa.int64(), mask=none), pa.array([None if x else v.tobytes() for x, v in zip(none.tolist(), vec, strict=True)], pa.binary()), lists]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["id", "th", "n", "sig", "vec", "keys"])
+
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(released(run), f"id {kind}, th long, n long, sig long, vec binary, keys array<long>")
 
 
 class CountTree:
-    """A bulk-loaded R-tree over count vectors: leaves of LEAF points in order of size and of the widest coordinates, with the largest counts of each node."""
+    """A bulk-loaded R-tree over count vectors: leaves of LEAF points in order of size and of the two coordinates that vary most, with the largest counts of each node."""
 
     def __init__(self, vec: np.ndarray, n: np.ndarray):
-        self.order = np.lexsort((vec[:, 1], vec[:, 0], n)) if len(n) else np.empty(0, np.int64)
+        wide = np.argsort(-vec.var(axis=0), kind="stable")[:2] if len(n) else (0, 1)
+        self.order = np.lexsort((vec[:, wide[1]], vec[:, wide[0]], n)) if len(n) else np.empty(0, np.int64)
         self.vec, self.n = vec[self.order], n[self.order]
         self.levels = []  # from leaves to the root: largest counts, smallest and largest size
         top, low, high = self.vec, self.n, self.n
@@ -134,28 +190,53 @@ class CountTree:
         return self.order[at]
 
 
-def _tree_join(percent: int):
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        left, right = rows[rows.side == 0], rows[rows.side == 1]
-        if left.empty or right.empty:
-            return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
-        vec = np.stack([np.frombuffer(x, "<u2") for x in left.vec]).astype(np.int64)
-        tree, sig, root = CountTree(vec, left.n.to_numpy()), left.sig.to_numpy(), left.root.to_numpy()
-        for s, r, n, v in zip(right.sig, right.root, right.n, right.vec, strict=True):
-            hit = tree.search(np.frombuffer(v, "<u2").astype(np.int64), int(n), percent)
-            hit = hit[root[hit] != r]
-            found += [(min(s, x), max(s, x)) for x in sig[hit]]
-        return pd.DataFrame(sorted(set(found)), columns=["a", "b"], dtype="int64")
+def _vectors(col: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(col.to_pylist()), "<u2").reshape(-1, GROUPS).astype(np.int64)
+
 
-    return run
+def tree_pairs(rows: DataFrame, percent: int, tasks: int) -> DataFrame:
+    """Pairs (a, b) between both sides of each (key, blk, blk2) that the trees' bound allows, but for rows of one root."""
+    group = ["key", "blk", "blk2"]
+    rows = rows.select(F.xxhash64(*group).alias("g"), "side", "sig", "root", "n", "vec").repartition(tasks, "g").sortWithinPartitions("g", "side")
 
+    def join(part: pa.RecordBatch) -> list[tuple[int, int]]:
+        cut = int(np.count_nonzero(part.column(1).to_numpy() == 0))
+        sig, root, n = (part.column(c).to_numpy() for c in (2, 3, 4))
+        if not 0 < cut < len(sig):
+            return []
+        vec = _vectors(part.column(5))
+        tree, found = CountTree(vec[:cut], n[:cut]), set()
+        for i in range(cut, len(sig)):
+            hit = tree.search(vec[i], int(n[i]), percent)
+            found.update((min(int(sig[i]), x), max(int(sig[i]), x)) for x in sig[hit[root[hit] != root[i]]].tolist())
+        return sorted(found)
 
-def _needed(ids: DataFrame, column: str = "sig") -> np.ndarray:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # of the group that may go on in the next batch
+        pairs = lambda found: pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+        whole = lambda: pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            g = batch.column(0).to_numpy()
+            start = np.r_[0, np.flatnonzero(g[1:] != g[:-1]) + 1, len(g)].tolist()
+            for a, b in zip(start, start[1:], strict=False):
+                if a or (held and held[0].column(0)[0].as_py() != int(g[0])):
+                    if held:
+                        yield pairs(join(whole()))
+                    held = []
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield pairs(join(whole()))
+
+    return rows.mapInArrow(released(run), "a long, b long")
+
+
+def _needed(values: DataFrame, column: str) -> np.ndarray:
     """A filter of fixed size over a 64-bit column, made by Spark: at most 2^20 words of 64 bits come to the driver. It lets all wanted values pass, and more the fuller it is."""
-    bits = min(FILTER_BITS, max(1 << 12, 1 << int(ids.count() * 16).bit_length()))
+    bits = min(FILTER_BITS, max(1 << 12, 1 << int(values.count() * 16).bit_length()))
     at = F.pmod(F.col(column), F.lit(bits))
-    words = ids.select(F.shiftright(at, 6).alias("w"), (at % 64).cast("int").alias("i")).groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, i)")).alias("bits")).toArrow()
+    words = values.select(F.shiftright(at, 6).alias("w"), (at % 64).cast("int").alias("i")).groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, i)")).alias("bits")).toArrow()
     out = np.zeros(bits // 64, np.int64)
     out[words.column("w").to_numpy()] = words.column("bits").to_numpy()
     return out.view(np.uint64)
@@ -169,7 +250,6 @@ def _passes(mask: np.ndarray, values: np.ndarray) -> np.ndarray:
 def shared_cells(pts: DataFrame) -> DataFrame:
     """(key, sig): the members of all cells that hold several sets. Keys of one set are left behind by a filter before anything is joined."""
     several = written(pts.where("sig is not null").select("sig", F.explode("keys").alias("key")).groupBy("key").agg(F.min("sig").alias("low"), F.max("sig").alias("high")).where("low < high").select("key"))
-    release(pts.sparkSession)
     sent = pts.sparkSession.sparkContext.broadcast(_needed(several, "key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,8 +260,8 @@ def shared_cells(pts: DataFrame) -> DataFrame:
             hit = _passes(mask, keys)
             yield pa.RecordBatch.from_arrays([pa.array(keys[hit], pa.int64()), batch.column(0).take(pa.array(owner[hit]))], names=["key", "sig"])
 
-    likely = pts.where("sig is not null").select("sig", "keys").mapInArrow(run, "key long, sig long")
-    out = written(likely.join(several, "key").distinct())
+    likely = pts.where("sig is not null").select("sig", "keys").mapInArrow(released(run), "key long, sig long").distinct()
+    out = written(likely.join(several, "key"))
     drop(several)
     return out
 
@@ -193,35 +273,34 @@ def bounded(pairs: DataFrame, vec: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in (whole.slice(i, 2000) for i in range(0, whole.num_rows, 2000)):
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, GROUPS) for c in ("va", "vb"))
-                least = np.minimum(x, y).sum(axis=1, dtype=np.int64)
-                sizes = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
+                least = np.minimum(_vectors(batch.column(4)), _vectors(batch.column(5))).sum(axis=1)
+                sizes = batch.column(2).to_numpy() + batch.column(3).to_numpy()
                 yield batch.select([0, 1]).filter(pa.array(least * (100 + percent) >= percent * sizes))
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(released(run), "a long, b long")
 
 
-def verified(docs: DataFrame, text_col: str, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of set signatures whose sets link; the sets of no other texts are moved."""
+def verified(docs: DataFrame, text_col: str, pts: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of set signatures whose sets link; the sets of no other texts are made or moved."""
     spark = docs.sparkSession
-    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct())
-    words = spark.sparkContext.broadcast(_needed(ids))
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
+    texts = written(pts.select("sig", "th").join(ids, "sig").groupBy("sig").agg(F.min("th").alias("th")).select("th"))
+    sent = spark.sparkContext.broadcast(_needed(texts, "th"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mask = words.value
-        for batch in rows_of(batches):
-            sig, data = [], []
-            for text in batch.column(0):
-                h = shingles(text.as_py(), k)
-                if len(h):
-                    s = signature(h)
-                    if _passes(mask, np.array([s]))[0]:
-                        sig.append(s)
-                        data.append(h.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(sig, pa.int64()), pa.array(data, pa.binary())], names=["sig", "h"])
-
-    made = docs.select(F.col(text_col).alias("text")).mapInArrow(sets, "sig long, h binary")
-    held = written(made.join(ids, "sig", "left_semi").dropDuplicates(["sig"]))
+        mask, seen = sent.value, set()
+        for whole in batches:
+            th = whole.column(0).to_numpy()
+            hit = [i for i in np.flatnonzero(_passes(mask, th)).tolist() if not (int(th[i]) in seen or seen.add(int(th[i])))]  # copies once a task
+            for batch in rows_of([whole.take(pa.array(hit, pa.int64()))], 2_000_000):
+                h, ends = shingle_sets(batch.column(1), k)
+                n = np.diff(np.r_[0, ends])
+                sig = signatures(h, np.repeat(np.arange(len(n)), n), n)
+                data = [h[e - m : e].tobytes() for e, m in zip(ends.tolist(), n.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(sig, pa.int64()), pa.array(data, pa.binary())], names=["sig", "h"]).filter(pa.array(n > 0))
+
+    made = docs.select(F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text")).mapInArrow(released(sets), "sig long, h binary")
+    held = written(made.dropDuplicates(["sig"]))
     both = pairs.join(held.select(F.col("sig").alias("b"), F.col("h").alias("hb")), "b").join(held.select(F.col("sig").alias("a"), F.col("h").alias("ha")), "a").select("a", "b", "ha", "hb")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,30 +312,34 @@ def verified(docs: DataFrame, text_col: str, pairs: DataFrame, k: int, percent:
                 keep.append(100 * both >= percent * (x.size + y.size - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    links = written(both.mapInArrow(check, "a long, b long"))
-    drop(ids, held)
-    words.unpersist()
+    links = written(both.mapInArrow(released(check), "a long, b long"))
+    drop(texts, held)
+    sent.unpersist()
     return links
 
 
+def cells_of(pts: DataFrame) -> DataFrame:
+    """(key, pivot, sig): the members of shared cells with the one of them that shares most cells, and that one left out."""
+    shared = shared_cells(pts)
+    degree = shared.groupBy("sig").agg(F.count("*").alias("cells"))
+    hub = shared.join(degree, "sig").groupBy("key").agg(F.max(F.struct("cells", "sig")).alias("hub")).select("key", F.col("hub.sig").alias("pivot"))
+    cells = written(shared.join(hub, "key").where("sig <> pivot").select("key", "pivot", "sig"))
+    drop(shared)
+    return cells
+
+
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """(id, n_shingles, component_id) of every row; component_id is the smallest id that links of Jaccard >= percent/100 reach."""
     spark = docs.sparkSession
     if not 50 <= percent <= 99:
         raise ValueError("percent must lie between 50 and 99")
     pts = written(points(docs, id_col, text_col, k, percent))
-    shared = shared_cells(pts)
-    degree = shared.groupBy("sig").agg(F.count("*").alias("cells"))
-    hub = shared.join(degree, "sig").groupBy("key").agg(F.max(F.struct("cells", "sig")).alias("hub")).select("key", F.col("hub.sig").alias("pivot"))
-    cells = written(shared.join(hub, "key").where("sig <> pivot").select("key", "pivot", "sig"))
-    drop(shared)
-    release(spark)
+    cells = cells_of(pts)
     vec = pts.where("sig is not null").groupBy("sig").agg(F.first("n").alias("n"), F.first("vec").alias("vec"))
 
     # Step 1: members against the hub of their cell.
-    star = bounded(cells.select(F.col("pivot").alias("a"), F.col("sig").alias("b")).distinct(), vec.select("sig", "n", "vec"), percent)
-    links = verified(docs, text_col, written(star), k, percent)
-    release(spark)
+    star = written(bounded(cells.select(F.col("pivot").alias("a"), F.col("sig").alias("b")).distinct(), vec.select("sig", "n", "vec"), percent))
+    links = verified(docs, text_col, pts, star, k, percent)
     root = components(links)
 
     # Step 2: cells with members of several components.
@@ -271,19 +354,22 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     tasks = blocks.join(blocks.withColumnRenamed("blk", "blk2"), "key").where("blk <= blk2 and not (blk.r is not null and blk2.r is not null and blk.r = blk2.r)")
     sides = tasks.select("key", "blk", "blk2", F.explode(F.array(F.lit(0), F.lit(1))).alias("side")).withColumn("own", F.when(F.col("side") == 0, F.col("blk")).otherwise(F.col("blk2")))
     rows = sides.join(member.withColumnRenamed("blk", "own"), ["key", "own"]).join(vec, "sig")
-    more = rows.select("key", "blk", "blk2", "side", "sig", "root", "n", "vec").groupBy("key", "blk", "blk2").applyInPandas(_tree_join(percent), "a long, b long")
-    late = written(more.where("a <> b").distinct())
-    every = links
+    late = written(tree_pairs(rows, percent, max(spark.sparkContext.defaultParallelism, math.ceil(member.count() * 2 / TREE_ROWS))).where("a <> b").distinct())
+    drop(cells, member)
     if late.limit(1).count():
-        every = links.union(verified(docs, text_col, late, k, percent))
-        final = components(every)
-        drop(root)
+        more = verified(docs, text_col, pts, late, k, percent)
+        final = components(links.union(more))
+        drop(root, more)
         root = final
-    drop(cells, member, late)
-
-    linked = pts.select("id", "n", "sig").join(root.toDF("sig", "to"), "sig", "left").select("id", "n", F.coalesce("to", "sig").alias("root"))
-    least = linked.where("root is not null").groupBy("root").agg(F.min("id").alias("component_id"))
-    return linked.join(least, "root", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    drop(star, late)
+
+    # Rows are joined to roots and these to their least ids on tables, so that Spark can split the rows of a large group.
+    linked = written(pts.select("id", "n", "sig").join(root.toDF("sig", "to"), "sig", "left").select("id", "n", F.coalesce("to", "sig").alias("root")))
+    least = written(linked.where("root is not null").groupBy("root").agg(F.min("id").alias("component_id")))
+    drop(pts, root, links)
+    own = linked.where("root is null").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
+    found = linked.where("root is not null").join(least, "root").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    return found.union(own)
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
