@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import begin_stage, drop, release, shared_folder, written  # noqa: F401
 
+#: Bits of the filters over 64-bit keys: 8 MB at most, whatever the input.
+FILTER_BITS = 1 << 26
+
+
 def table(spark: SparkSession, name: str, sf_dir: str) -> DataFrame:
     """One of the parquet tables below ``sf_dir``; the path may be of any store that Spark reads."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -56,17 +60,37 @@ class Memo(dict):
         return value
 
 
+def key_filter(values: DataFrame, column: str, spare: int = 16) -> np.ndarray:
+    """A filter of fixed size over a 64-bit column, made by Spark: at most 2^20 words of 64 bits come to the driver. It lets all wanted values pass, and more the fuller it is."""
+    bits = min(FILTER_BITS, max(1 << 12, 1 << int(values.count() * spare).bit_length()))
+    at = F.pmod(F.col(column), F.lit(bits))
+    words = values.select(F.shiftright(at, 6).alias("w"), (at % 64).cast("int").alias("i")).groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, i)")).alias("bits")).toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[words.column("w").to_numpy()] = words.column("bits").to_numpy()
+    return out.view(np.uint64)
+
+
+def passes(mask: np.ndarray, values: np.ndarray) -> np.ndarray:
+    at = values.astype(np.int64).view(np.uint64) & np.uint64(len(mask) * 64 - 1)
+    return (mask[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def tidy() -> None:
+    """Gives what a task left behind in a reused worker back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def released(run):
-    """``run`` for mapInArrow, with what a task leaves behind in a reused worker given back to the system at its end."""
+    """``run`` for mapInArrow, with ``tidy`` at the end of each task."""
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
             yield from run(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):  # not every C library has it
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            tidy()
 
     return wrapped
 

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from .common import drop, mix64, released, rows_of, table, written
+from .common import drop, key_filter, mix64, passes, released, rows_of, table, written
 
 GROUPS = 256
 FIRST, RATIO = 10, 1.5
@@ -43,8 +43,6 @@ BLOCK = 512
 LEAF = 16
 #: Rows of a task that joins blocks by trees.
 TREE_ROWS = 5000
-#: Bits of the filter that picks the texts whose sets are needed: 16 MB at most, whatever the input.
-FILTER_BITS = 1 << 26
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _EMPTY = np.uint64(255 << 56)
 
@@ -129,7 +127,7 @@ def cell_keys(h: np.ndarray, ends: np.ndarray, percent: int) -> tuple[np.ndarray
                 used = used[used < _EMPTY]
                 size, tokens_at = int(n[at[i]]), start[at[i]]
                 first = h[tokens_at : tokens_at + size - -(-percent * size // 100) + 1]
-                used = np.r_[used, mix64(first + np.uint64(int(band[i]) + 1) * np.uint64(0xA24BAED4963EE407))]
+                used = np.r_[used, mix64(first + np.uint64((int(band[i]) + 1) * 0xA24BAED4963EE407 & (1 << 64) - 1))]
             keys.append(used)
             owners.append(np.full(len(used), at[i]))
     if not keys:
@@ -232,32 +230,17 @@ def tree_pairs(rows: DataFrame, percent: int, tasks: int) -> DataFrame:
     return rows.mapInArrow(released(run), "a long, b long")
 
 
-def _needed(values: DataFrame, column: str) -> np.ndarray:
-    """A filter of fixed size over a 64-bit column, made by Spark: at most 2^20 words of 64 bits come to the driver. It lets all wanted values pass, and more the fuller it is."""
-    bits = min(FILTER_BITS, max(1 << 12, 1 << int(values.count() * 16).bit_length()))
-    at = F.pmod(F.col(column), F.lit(bits))
-    words = values.select(F.shiftright(at, 6).alias("w"), (at % 64).cast("int").alias("i")).groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, i)")).alias("bits")).toArrow()
-    out = np.zeros(bits // 64, np.int64)
-    out[words.column("w").to_numpy()] = words.column("bits").to_numpy()
-    return out.view(np.uint64)
-
-
-def _passes(mask: np.ndarray, values: np.ndarray) -> np.ndarray:
-    at = values.astype(np.int64).view(np.uint64) & np.uint64(len(mask) * 64 - 1)
-    return (mask[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
-
-
 def shared_cells(pts: DataFrame) -> DataFrame:
     """(key, sig): the members of all cells that hold several sets. Keys of one set are left behind by a filter before anything is joined."""
     several = written(pts.where("sig is not null").select("sig", F.explode("keys").alias("key")).groupBy("key").agg(F.min("sig").alias("low"), F.max("sig").alias("high")).where("low < high").select("key"))
-    sent = pts.sparkSession.sparkContext.broadcast(_needed(several, "key"))
+    sent = pts.sparkSession.sparkContext.broadcast(key_filter(several, "key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mask = sent.value
         for batch in batches:
             lists = batch.column(1)
             keys, owner = lists.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
-            hit = _passes(mask, keys)
+            hit = passes(mask, keys)
             yield pa.RecordBatch.from_arrays([pa.array(keys[hit], pa.int64()), batch.column(0).take(pa.array(owner[hit]))], names=["key", "sig"])
 
     likely = pts.where("sig is not null").select("sig", "keys").mapInArrow(released(run), "key long, sig long").distinct()
@@ -285,13 +268,13 @@ def verified(docs: DataFrame, text_col: str, pts: DataFrame, pairs: DataFrame, k
     spark = docs.sparkSession
     ids = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
     texts = written(pts.select("sig", "th").join(ids, "sig").groupBy("sig").agg(F.min("th").alias("th")).select("th"))
-    sent = spark.sparkContext.broadcast(_needed(texts, "th"))
+    sent = spark.sparkContext.broadcast(key_filter(texts, "th"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mask, seen = sent.value, set()
         for whole in batches:
             th = whole.column(0).to_numpy()
-            hit = [i for i in np.flatnonzero(_passes(mask, th)).tolist() if not (int(th[i]) in seen or seen.add(int(th[i])))]  # copies once a task
+            hit = [i for i in np.flatnonzero(passes(mask, th)).tolist() if not (int(th[i]) in seen or seen.add(int(th[i])))]  # copies once a task
             for batch in rows_of([whole.take(pa.array(hit, pa.int64()))], 2_000_000):
                 h, ends = shingle_sets(batch.column(1), k)
                 n = np.diff(np.r_[0, ends])
