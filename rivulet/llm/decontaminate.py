@@ -4,8 +4,9 @@ Numbers, names and units of texts become typed placeholders. Windows of the temp
 values in the slots of matching windows must map each value of an item to one value of the document, along one alignment. Windows that
 match with equal values are verbatim copies, with other values re-parameterised questions. A window with more than SLOTS placeholders
 (half of its tokens, if it is shorter) is joined on its raw tokens, and its template on a longer window that has as many fixed tokens as others.
+An alignment whose slots disagree is split where they do; of its parts, those with equal values and those of at least ``run`` tokens count.
 
-A document is contaminated by an item if its consistent windows are at least ``coverage`` of the item's, or one alignment covers
+A document is contaminated by an item if its consistent windows are at least ``coverage`` of the item's, or one part of an alignment covers
 ``run`` tokens. Items of at least SHORTEST tokens but fewer than a window has are one window.
 
 Defined results: null text has no tokens; items with fewer than SHORTEST tokens match nothing; items of equal text are reported
@@ -17,14 +18,16 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, mix64, rows_of, table, written
+from .common import key_filter, passes, released, rows_of, table, written
+from .lexical import LETTER, WORD, code_points, lowered, run_hashes
 
 WINDOW = 8
 SHORTEST = 4
@@ -32,103 +35,120 @@ COVERAGE = 0.5
 RUN = 20
 #: Placeholders that a window joined on its template alone may have at most.
 SLOTS = 4
-#: Bits of the filter over benchmark windows: 16 MB at most, whatever the benchmark's size.
-FILTER_BITS = 1 << 27
+#: Bits of the filter for each window of the benchmark.
+SPARSE = 1024
 
 # Number words and units of measure.
 NUMBER_WORDS = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen half third quarter".split())
 UNITS = frozenset("% $ € £ ¥ ° mm cm km kg mg ml kb mb gb tb hz khz mhz ghz kw kwh mph kph meter meters metre metres kilometer kilometers kilometre kilometres centimeter centimeters mile miles foot feet inch inches yard yards gram grams kilogram kilograms pound pounds ounce ounces ton tons liter liters litre litres gallon gallons second seconds minute minutes hour hours day days week weeks month months year years dollar dollars euro euros cent cents percent degree degrees celsius fahrenheit volt volts watt watts joule joules newton newtons".split())
 
-_token = re.compile(r"\d+(?:[.,:/]\d+)*|[^\W\d_]+|[%$€£¥°]|[.!?\n]")
-END, WORD, CAPITAL, NUMBER, UNIT = range(5)
-#: The multiplier of window hashes and its inverse modulo 2^64; what tells windows over raw tokens apart.
-_STEP = np.uint64(0x9E3779B97F4A7C15)
-_BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-RAW = 1 << 40
+#: Kinds of tokens; what is from CAPITAL on is a placeholder.
+END, OTHER, CAPITAL, NUMBER, UNIT = range(5)
 _MARK = {NUMBER: 0x6E756D62, CAPITAL: 0x6E616D65, UNIT: 0x756E6974}
-
-
-def _code(token: str) -> int:
-    """The kind in the low three bits, a hash of the lower-cased token above them."""
-    low = token.lower()
-    if token in ".!?\n":
-        kind = END
-    elif token[0].isdigit() or low in NUMBER_WORDS:
-        kind = NUMBER
-    elif low in UNITS:
-        kind = UNIT
-    else:
-        kind = CAPITAL if token[0].isupper() and not (len(token) > 1 and token.isupper()) else WORD
-    return xxhash.xxh3_64_intdigest(low.encode("utf-8", "surrogatepass")) >> 4 << 3 | kind
-
-
-_codes = Memo(_code)
-
-
-def parsed(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
-    """(codes with placeholders, kind of placeholder or 0, codes of the raw tokens, the tokens) without sentence ends. A capital at a sentence's start is a word."""
-    found = _token.findall(text or "")
-    raw = np.fromiter(map(_codes.__getitem__, found), np.int64, len(found))
-    kind = raw & 7
-    opens = np.r_[True, kind[:-1] == END] if len(kind) else np.empty(0, bool)
-    kind = np.where((kind == CAPITAL) & opens, WORD, kind)
-    code = raw = raw >> 3
+#: Tells windows over raw tokens apart.
+RAW = 0x7261772D77696E64
+_NONE, _ALPHA, _DIGIT, _SIGN, _STOP = range(5)
+
+
+@cache
+def _classes() -> tuple[np.ndarray, np.ndarray]:
+    """The class of each code point, and 1 for upper case, 2 for lower case."""
+    kind, case = np.zeros(0x110000, np.uint8), np.zeros(0x110000, np.uint8)
+    whole = "".join(chr(i) if not 0xD800 <= i < 0xE000 else " " for i in range(0x110000))
+    for found in re.finditer(r"[^\W\d_]+", whole):
+        kind[found.start() : found.end()] = _ALPHA
+    for found in re.finditer(r"\d+", whole):
+        kind[found.start() : found.end()] = _DIGIT
+    kind[list(map(ord, "%$€£¥°"))] = _SIGN
+    kind[list(map(ord, ".!?\n"))] = _STOP
+    for i in np.flatnonzero(kind == _ALPHA).tolist():
+        case[i] = 1 if whole[i].isupper() else 2 if whole[i].islower() or whole[i].istitle() else 0
+    return kind, case
+
+
+@cache
+def _known(words: frozenset[str]) -> np.ndarray:
+    """Sorted hashes of the words."""
+    return np.sort(np.concatenate([run_hashes(code_points(w).astype(np.uint64), np.array([0]), np.array([len(w)]), LETTER) for w in words]))
+
+
+def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
+@dataclass
+class Tokens:
+    """The tokens of several texts one behind the other, without sentence ends."""
+
+    text: str
+    code: np.ndarray  # hashes, with placeholders
+    slot: np.ndarray  # kind of the placeholder, or 0
+    raw: np.ndarray  # hashes of the lower-cased tokens
+    start: np.ndarray  # places in the joined text
+    end: np.ndarray
+    stop: np.ndarray  # of each token, where the tokens of its text end
+    first: np.ndarray  # of each text, its first token
+
+    def values(self, at: int, length: int) -> list[str]:
+        """Kind and lower-cased token of the placeholders of a window."""
+        return [f"{self.slot[i]}{self.text[self.start[i] : self.end[i]].lower()}" for i in range(at, at + length) if self.slot[i]]
+
+
+def parsed(texts: list[str | None]) -> Tokens:
+    """Letters, numbers (digits with single signs between them) and single signs are tokens. A capital at a sentence's start is a plain word."""
+    joined = "\n".join(t or "" for t in texts)
+    points = code_points(joined)
+    low = points if joined.islower() else code_points(lowered(joined))
+    classes, cases = _classes()
+    kind, case = classes[points], cases[points]
+    inner = np.zeros(len(kind), bool)  # signs between digits belong to the number
+    if len(kind) > 2:
+        digit = kind == _DIGIT
+        inner[1:-1] = digit[:-2] & digit[2:] & np.isin(points[1:-1], list(map(ord, ".,:/")))
+    kind = np.where(inner, _DIGIT, kind)
+    opens = (kind != _NONE) & (np.concatenate([[0], kind[:-1]]) != kind) | (kind == _SIGN) | (kind == _STOP)
+    start = np.flatnonzero(opens)
+    closes = (kind != _NONE) & (np.concatenate([kind[1:], [0]]) != kind) | (kind == _SIGN) | (kind == _STOP)
+    end = np.flatnonzero(closes) + 1
+    raw = run_hashes(low.astype(np.uint64), start, end, LETTER)
+    what = kind[start]
+    lower = np.concatenate([[0], np.cumsum(case == 2)])
+    capital = (what == _ALPHA) & (case[start] == 1) & ((lower[end] > lower[start]) | (end - start == 1))
+    token = np.full(len(start), OTHER, np.uint8)
+    behind = np.ones(len(start), bool)
+    behind[1:] = what[:-1] == _STOP
+    token[capital & ~behind] = CAPITAL
+    token[_among(raw, _known(UNITS))] = UNIT
+    token[(what == _DIGIT) | _among(raw, _known(NUMBER_WORDS))] = NUMBER
+    keep = np.flatnonzero(what != _STOP)
+    token, raw, start, end = token[keep], raw[keep], start[keep], end[keep]
+    code = raw.copy()
     for k, mark in _MARK.items():
-        code = np.where(kind == k, mark, code)
-    keep = kind != END
-    tokens = [t for t, k in zip(found, keep.tolist(), strict=True) if k] if not keep.all() else found
-    return code[keep].astype(np.uint64), np.where(kind[keep] >= CAPITAL, kind[keep], 0), raw[keep].astype(np.uint64), tokens
-
-
-def template(text: str | None) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """(codes with placeholders, kind of placeholder or 0, the tokens) without sentence ends."""
-    code, slot, _, tokens = parsed(text)
-    return code, slot, tokens
-
-
-def windows(code: np.ndarray, slot: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the windows with few enough placeholders."""
-    n = len(code) - size + 1
-    if n <= 0:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    h = np.full(n, size, np.uint64)
-    for i in range(size):
-        h = h * _STEP + code[i : i + n]
-    count = np.cumsum(np.r_[0, slot > 0])
-    at = np.flatnonzero(count[size:] - count[:-size] <= min(SLOTS, size // 2))
-    return at, mix64(h[at])
-
-
-def dense_windows(code: np.ndarray, slot: np.ndarray, raw: np.ndarray, size: int, longest: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places, hashes and lengths of the windows that ``windows`` leaves out: each over its raw tokens and, of the usual size, each prolonged until it has as many fixed tokens as other windows.
-
-    ``longest`` is the greatest length that can match.
-    """
-    n, most = len(code) - size + 1, min(SLOTS, size // 2)
-    count = np.cumsum(np.r_[0, slot > 0])
-    at = np.flatnonzero(count[size:] - count[:-size] > most) if n > 0 else np.empty(0, np.int64)
-    if not len(at):
-        return at, np.empty(0, np.uint64), at
-    h = np.full(len(at), RAW + size, np.uint64)
-    for i in range(size):
-        h = h * _STEP + raw[at + i]
-    if size < WINDOW:
-        return at, mix64(h), np.full(len(at), size)
-    fixed = np.arange(len(count)) - count
-    end = np.searchsorted(fixed, fixed[at] + size - most)
-    fits = (end <= len(code)) & (end - at <= (longest or len(code)))
-    long, end = at[fits], end[fits]
-    # Hashes of windows of any length come from sums over the text, so long runs of placeholders cost no more than others.
-    power = np.cumprod(np.r_[np.uint64(1), np.full(len(code), _STEP)])
-    total = np.r_[np.uint64(0), np.cumsum(code * np.cumprod(np.r_[np.uint64(1), np.full(len(code) - 1, _BACK)]))]
-    g = (total[end] - total[long]) * power[end - 1] + (end - long).astype(np.uint64) * power[end - long]
-    return np.r_[at, long], mix64(np.r_[h, g]), np.r_[np.full(len(at), size), end - long]
-
-
-def all_windows(code: np.ndarray, slot: np.ndarray, raw: np.ndarray, size: int, longest: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places, hashes and lengths of the windows at every place."""
-    (at, h), (dense, g, lengths) = windows(code, slot, size), dense_windows(code, slot, raw, size, longest)
-    return np.r_[at, dense], np.r_[h, g], np.r_[np.full(len(at), size), lengths]
+        code[token == k] = mark
+    border = np.cumsum([len(t or "") + 1 for t in texts])
+    first = np.searchsorted(start, border)  # of the next text
+    stop = np.repeat(first, np.diff(first, prepend=0))
+    return Tokens(joined, code, np.where(token >= CAPITAL, token, 0), raw, start, end, stop, np.concatenate([[0], first[:-1]]))
+
+
+def windows(t: Tokens, size: int, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places, hashes and lengths of the windows at every place, and whether they are over raw tokens: those with few placeholders over their template; each other one over its raw
+    tokens and, of the usual size, prolonged until it has as many fixed tokens as others (``longest`` is the greatest length that can match)."""
+    at = np.flatnonzero(t.stop - np.arange(len(t.code)) >= size)
+    most = min(SLOTS, size // 2)
+    count = np.concatenate([[0], np.cumsum(t.slot > 0)])
+    dense = count[at + size] - count[at] > most
+    plain, at = at[~dense], at[dense]
+    places, hashes, lengths = [plain, at], [run_hashes(t.code, plain, plain + size, WORD), run_hashes(t.raw, at, at + size, WORD) ^ np.uint64(RAW)], [np.full(len(plain) + len(at), size)]
+    if size == WINDOW and len(at):
+        fixed = np.arange(len(count)) - count
+        end = np.searchsorted(fixed, fixed[at] + size - most)
+        fits = (end <= t.stop[at]) & (end - at <= longest)
+        places.append(at[fits])
+        hashes.append(run_hashes(t.code, at[fits], end[fits], WORD))
+        lengths.append((end - at)[fits])
+    raw = np.arange(sum(map(len, places))) - len(plain)
+    return *map(np.concatenate, (places, hashes, lengths)), (raw >= 0) & (raw < len(at))
 
 
 def _sizes(n: int) -> int:
@@ -144,65 +164,79 @@ def benchmark_windows(items: DataFrame, id_col: str, text_col: str) -> DataFrame
         for batch in rows_of(batches):
             out = []
             for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                code, slot, raw, tokens = parsed(text)
-                if size := _sizes(len(code)):
-                    places, hashes, lengths = all_windows(code, slot, raw, size)
-                    out += [(item, h, size, n, p, len(code) - size + 1, [f"{slot[i]}{tokens[i].lower()}" for i in range(p, p + n) if slot[i]]) for p, h, n in zip(places.tolist(), hashes.view(np.int64).tolist(), lengths.tolist(), strict=True)]
+                t = parsed([text])
+                if size := _sizes(len(t.code)):
+                    places, hashes, lengths, _ = windows(t, size, len(t.code))
+                    out += [(item, h, size, n, p, len(t.code) - size + 1, t.values(p, n)) for p, h, n in zip(places.tolist(), hashes.view(np.int64).tolist(), lengths.tolist(), strict=True)]
             columns = list(zip(*out, strict=True)) if out else [[]] * 7
             kinds = (batch.schema.field(0).type, pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["item", "hash", "size", "length", "at", "windows", "values"])
 
-    return once.mapInArrow(run, f"item {kind}, hash long, size int, length int, at int, windows int, values array<string>")
+    return once.mapInArrow(released(run), f"item {kind}, hash long, size int, length int, at int, windows int, values array<string>")
 
 
-def _filter(bench: DataFrame) -> np.ndarray:
-    """Two bits of each window hash in a filter of fixed size, made by Spark."""
-    n = bench.count()
-    bits = min(FILTER_BITS, max(1 << 12, 1 << int(n * 128).bit_length()))
-    at = bench.select(F.explode(F.array(F.col("hash").bitwiseAND(bits - 1), F.shiftrightunsigned("hash", 32).bitwiseAND(bits - 1))).alias("b"))
-    words = at.groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("x")).collect()
-    out = np.zeros(bits // 64, np.int64)
-    for w, x in words:
-        out[w] = x
-    return out.view(np.uint64)
+def parts(line: list[dict], run: int) -> list[tuple[list[dict], bool]]:
+    """The consistent parts of one alignment that count, each with whether all its values are equal. ``line`` has (at, length, values, own) of each window."""
+    out, part, known = [], [], {}
+    for window in sorted(line, key=lambda w: (w["at"], w["length"])):
+        pairs = dict(zip(window["values"], window["own"], strict=True))
+        if any(pairs[a] != b for a, b in zip(window["values"], window["own"], strict=True)):
+            pairs = None  # the window contradicts itself
+        if part and (pairs is None or any(known.get(a, b) != b for a, b in pairs.items())):
+            out.append((part, known))
+            part, known = [], {}
+        if pairs is not None:
+            part, known = [*part, window], known | pairs
+    if part:
+        out.append((part, known))
+    whole = len(out) == 1 and len(out[0][0]) == len(line)
+    judged = [(p, all(a == b for a, b in k.items()), max(w["at"] + w["length"] for w in p) - p[0]["at"]) for p, k in out]
+    return [(p, same) for p, same, tokens in judged if whole or same or tokens >= run]
 
 
 def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", coverage: float = COVERAGE, run: int = RUN) -> DataFrame:
     """(id, th, item, kind, coverage, longest, first_token) of every contaminated document and item."""
     kind = docs.schema[id_col].dataType.simpleString()
     bench = written(benchmark_windows(items, item_id, item_text))
+    item_kind = bench.schema["item"].dataType.simpleString()
     sizes = sorted((r[0], r[1]) for r in bench.groupBy("size").agg(F.max("length")).collect())  # at most WINDOW of them
-    mask = docs.sparkSession.sparkContext.broadcast(_filter(bench))
+    mask = docs.sparkSession.sparkContext.broadcast(key_filter(bench.select("hash").distinct(), "hash", SPARSE))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = mask.value
-        last, low = np.uint64(len(bits) * 64 - 1), np.uint64(63)
-        has = lambda b: bits[b >> np.uint64(6)] >> (b & low) & np.uint64(1)
-        for batch in rows_of(batches):
-            out = []
-            for doc, th, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                code, slot, raw, tokens = parsed(text.as_py())
-                for size, longest in sizes:
-                    places, h, lengths = all_windows(code, slot, raw, size, longest)
-                    hit = np.flatnonzero(has(h & last) & has(h >> np.uint64(32) & last)) if len(h) else ()
-                    for i in hit:
-                        p = int(places[i])
-                        out.append((doc, th, int(h[i].view(np.int64)), size, p, [f"{slot[j]}{tokens[j].lower()}" for j in range(p, p + int(lengths[i])) if slot[j]]))
+        for batch in rows_of(batches, 1_000_000):
+            t, out = parsed(batch.column(2).to_pylist()), []
+            ids, th = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for size, longest in sizes:
+                places, h, lengths, raw = windows(t, size, longest)
+                hit = np.flatnonzero(passes(bits, h.view(np.int64)))
+                rows = np.searchsorted(t.first, places[hit], side="right") - 1
+                for d, p, x, n, same in zip(rows.tolist(), *(c[hit].tolist() for c in (places, h.view(np.int64), lengths, raw)), strict=True):
+                    out.append((ids[d], th[d], x, size, p - int(t.first[d]), None if same else t.values(p, n)))
             columns = list(zip(*out, strict=True)) if out else [[]] * 6
             kinds = (batch.schema.field(0).type, pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["id", "th", "hash", "size", "p", "own"])
 
-    hits = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text")).mapInArrow(scan, f"id {kind}, th long, hash long, size int, p int, own array<string>").distinct()
-    met = hits.join(bench, ["hash", "size"]).where("size(own) = size(values)")
-    pairs = F.transform(F.arrays_zip("values", "own"), lambda x: F.struct(x["values"].alias("item"), x["own"].alias("doc")))
-    line = met.withColumn("pairs", pairs).groupBy("id", "th", "item", "windows", "size", (F.col("p") - F.col("at")).alias("line")).agg(F.collect_set("at").alias("ats"), F.min("p").alias("p"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
-    line = line.where("size(pairs) = size(array_distinct(transform(pairs, x -> x.item)))").withColumn("same", F.expr("forall(pairs, x -> x.item = x.doc)"))
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                for part, same in parts(row["line"], run):
+                    most = max(w["at"] + w["length"] for w in part) - part[0]["at"]
+                    out += [(row["id"], row["th"], row["item"], row["windows"], row["size"], part[0]["p"], same, most, at) for at in {w["at"] for w in part}]
+            columns = list(zip(*out, strict=True)) if out else [[]] * 9
+            kinds = (batch.schema.field(0).type, pa.int64(), batch.schema.field(2).type, pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["id", "th", "item", "windows", "size", "p", "same", "most", "at"])
+
+    hits = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text")).mapInArrow(released(scan), f"id {kind}, th long, hash long, size int, p int, own array<string>").distinct()
+    met = hits.join(bench, ["hash", "size"]).where("own is null or size(own) = size(values)").withColumn("own", F.coalesce("own", "values"))
+    line = met.groupBy("id", "th", "item", "windows", "size", (F.col("p") - F.col("at")).alias("off")).agg(F.collect_list(F.struct("at", "p", "length", "values", "own")).alias("line"))
+    each = line.select("id", "th", "item", "windows", "size", "line").mapInArrow(released(split), f"id {kind}, th long, item {item_kind}, windows int, size int, p int, same boolean, most int, at int")
     # A window of the item counts once, however many alignments show it.
-    each = line.select("id", "th", "item", "windows", "size", "p", "same", F.size("ats").alias("most"), F.explode("ats").alias("at"))
     item = each.groupBy("id", "th", "item", "windows", "size").agg(F.count_distinct("at").alias("n"), F.max("most").alias("most"), F.min("p").alias("first_token"), F.min("same").alias("same"))
     share = F.col("n") / F.col("windows")
-    bad = item.where((share >= coverage) | (F.col("most") + F.col("size") - 1 >= run))
-    return bad.select("id", "th", "item", F.when(F.col("same"), "verbatim").otherwise("reparameterised").alias("kind"), share.alias("coverage"), (F.col("most") + F.col("size") - 1).cast("int").alias("longest"), "first_token")
+    bad = item.where((share >= coverage) | (F.col("most") >= run))
+    return bad.select("id", "th", "item", F.when(F.col("same"), "verbatim").otherwise("reparameterised").alias("kind"), share.alias("coverage"), F.col("most").alias("longest"), "first_token")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
