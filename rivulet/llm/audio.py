@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, rows_of, table, written
+from .common import release, released, rows_of, table, written
 
 RATE = 8000
 FRAME = 512
@@ -107,7 +107,7 @@ def fingerprints(media: DataFrame, id_col: str, audio_col: str) -> DataFrame:
             classes = [xxhash.xxh3_64_intdigest(x.tobytes()) - (1 << 63) if len(x) else None for x in fps]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(classes, pa.int64()), pa.array(fps, pa.list_(pa.int32()))], names=["id", "cls", "fp"])
 
-    return media.select(F.col(id_col).alias("id"), F.col(audio_col).cast("binary").alias("audio")).mapInArrow(run, f"id {kind}, cls long, fp array<int>")
+    return media.select(F.col(id_col).alias("id"), F.col(audio_col).cast("binary").alias("audio")).mapInArrow(released(run), f"id {kind}, cls long, fp array<int>")
 
 
 def runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -180,7 +180,7 @@ def align(queries: DataFrame, classes: DataFrame) -> DataFrame:
             kinds = (pa.int32(), pa.int64(), pa.int32(), pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(hit), batch.column(1).filter(hit), *(pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True))], names=["query", "match", "offset", "votes", "overlap", "bit_error"])
 
-    return both.mapInArrow(run, "query long, match long, offset int, votes long, overlap int, bit_error double")
+    return both.mapInArrow(released(run), "query long, match long, offset int, votes long, overlap int, bit_error double")
 
 
 def search(media: DataFrame, wanted, id_col: str = "id", audio_col: str = "audio") -> tuple[DataFrame, DataFrame]:

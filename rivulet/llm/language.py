@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket, crc_mod, rows_of, table
+from .common import bucket, crc_mod, released, rows_of, table
 
 ORDER = 4
 BITS = 12
@@ -215,7 +215,7 @@ def predict(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: s
             kinds = (pa.string(), pa.float64(), pa.float64(), pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x if k != pa.bool_() else bool(x) for x in c], k) for c, k in zip(columns, kinds, strict=True))], names=["id", "lang_pred", "score", "cross_entropy", "accepted"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"{id_col} {kind}, lang_pred string, score double, cross_entropy double, accepted boolean")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(released(run), f"{id_col} {kind}, lang_pred string, score double, cross_entropy double, accepted boolean")
 
 
 def op7_language_id(spark, sf_dir: str) -> DataFrame:

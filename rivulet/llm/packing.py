@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import rows_of, table, written
+from .common import released, rows_of, table, written
 
 #: Rows of one length and salt, which are ranked in one task.
 RANKED = 20_000
@@ -196,7 +196,7 @@ def tokenised(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, windo
                 seen += cut
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(base, pa.int64()), pa.array(whole, pa.binary()), pa.array(rest, pa.binary())], names=["id", "n", "base", "whole", "rest"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n long, base long, whole binary, rest binary")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(released(run), f"id {kind}, n long, base long, whole binary, rest binary")
 
 
 def pack(docs: DataFrame, tokenizer: str, window: int = 2048, eos: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -244,7 +244,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, eos: int = 1, id_c
     cuts = F.expr(f"transform(sequence(0, cast(n div {window} as int) - 1), k -> substring(whole, k * {window * 4} + 1, {window * 4}))")
     whole = tokens.where("whole is not null").select("id", "n", "base", F.posexplode(cuts).alias("k", "ids"))
     whole = whole.select("id", (F.col("k") * F.lit(window).cast("long")).alias("start"), F.lit(window).cast("long").alias("length"), "ids", F.col("n").alias("doc_tokens"), (F.col("base") + F.col("k") + F.lit(1 << 60)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    out = whole.union(ranked.mapInArrow(place, schema))
+    out = whole.union(ranked.mapInArrow(released(place), schema))
     return out.withColumnRenamed("id", id_col)
 
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, labelled_sample, table
+from .common import Memo, labelled_sample, table, tidy
 
 _token = re.compile(r"\w+|[^\w\s]+")
 DIMENSIONS = 1 << 16
@@ -147,9 +147,12 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", grade_col: str
     @F.pandas_udf("grade double, tail double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         memo, model = Memo(_hashed), sent.value
-        for texts in batches:
-            tails = model.tails(np.array([model.score(t, memo) for t in texts], float))
-            yield pd.DataFrame({"grade": tails.sum(axis=1), "tail": tails[:, 0]})
+        try:
+            for texts in batches:
+                tails = model.tails(np.array([model.score(t, memo) for t in texts], float))
+                yield pd.DataFrame({"grade": tails.sum(axis=1), "tail": tails[:, 0]})
+        finally:
+            tidy()
 
     return docs.withColumn("__graded", run(text_col)).withColumns({grade_col: F.col("__graded.grade"), tail_col: F.col("__graded.tail")}).drop("__graded")
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, crc_mod, labelled_sample, rows_of, table
+from .common import Memo, crc_mod, labelled_sample, released, rows_of, table
 
 _token = re.compile(r"[.!?\n]|\w+")
 #: Labelled documents of each class that training takes at most (all, where there are fewer).
@@ -178,7 +178,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["id", "score", "sentences", "worst_start", "worst_end", "worst_score", "offending"])
 
     schema = f"{id_col} {kind}, score double, sentences int, worst_start int, worst_end int, worst_score double, offending array<struct<start: int, end: int, score: double>>"
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(released(run), schema)
 
 
 def op3_toxicity(spark, sf_dir: str) -> DataFrame:
