@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from rivulet.llm import audio, chat_format, decontaminate, language, ngram_join, quality, substring_dedup, toxicity, url_filter
 
+from . import brute
+
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
 LONG = " ".join(f"{WORDS[i % 20]}{i % 977}" for i in range(40_000)) + "."
 TEXT = "The river ran past the old mill. Nobody had seen the miller for years. Children still told stories about him at night. He was never found again."
@@ -42,15 +44,8 @@ def test_substring_dedup(docs):
 def test_substring_dedup_against_brute_force(spark):
     a = "Water boils at sea level when heated enough. Steam then leaves the open kettle quickly. A lid keeps most of the heat inside it."
     rows = [(3, f"Intro of three. {a} Something else ends this one."), (1, f"{a} First has more."), (2, "Nothing is shared here. It is a text of its own. Truly so, as one can see."), (4, f"Own start. {a.upper()}"), (5, f"{a} {a}")]
-    got = {r.doc_id: r.text for r in substring_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    owner = {}
-    for i, t in rows:
-        for h in substring_dedup.spans(t, 3, 20)[0]:
-            owner[h] = min(owner.get(h, i), i)
-    for i, t in rows:
-        hashes, lengths, again = substring_dedup.spans(t, 3, 20)
-        cuts = [(k, n) for k, (h, n, x) in enumerate(zip(hashes, lengths, again, strict=True)) if owner[h] < i or x]
-        assert got[i] == substring_dedup.without(t, cuts)[0]
+    got = {r.doc_id: r.text for r in substring_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), min_words=20).collect()}
+    assert [got[i] for i, _ in rows] == brute.deduplicated(rows, 3, 20)
     assert got[1] == rows[1][1] and got[2] == rows[2][1] and got[3].strip() == "Intro of three. Something else ends this one." and "KETTLE" not in got[4] and got[5] == ""
 
 
@@ -68,10 +63,26 @@ def test_every_passage_of_51_words_in_long_sentences_holds_a_span():
         for k in range(100):
             passage = [word() for _ in range(51)]
             a, b = (space.join([word() for _ in range(rng.integers(1, 30))] + passage + [word() for _ in range(rng.integers(1, 30))]) for _ in range(2))
-            assert set(substring_dedup.spans(a, 3, 20)[0]) & set(substring_dedup.spans(b, 3, 20)[0])
-            assert set(substring_dedup.spans(a, 3, 20)[0]) & set(substring_dedup.spans(f"It ends. {space.join(passage)}. More", 3, 20)[0])
+            spans = lambda t: set(substring_dedup.spans(t, substring_dedup.SPAN, substring_dedup.MIN_WORDS)[0].tolist())
+            assert spans(a) & spans(b) and spans(a) & spans(f"It ends. {space.join(passage)}. More")
     text = "one" + " " * 40 + "\n" + " " * 30
-    assert "".join(text[i:j] for i, j in substring_dedup.sentences(text)) == text
+    assert substring_dedup.cut(text)[2].tolist() == [0, len(text)]
+
+
+def test_substring_dedup_on_random_texts(spark):
+    import random
+
+    rng = random.Random(11)
+    word = lambda: rng.choice(WORDS) + str(rng.randrange(9))
+    shared = [" ".join(" ".join(word() for _ in range(rng.choice([3, 9, 30]))) + rng.choice([". ", "! ", "\n", '." ', "。 "]) for _ in range(5)) for _ in range(6)]
+    rows = [(rng.choice([None, i, i // 2]), None if i == 5 else "".join(rng.choice([rng.choice(shared), f"{word()} {word()}. "]) for _ in range(rng.randrange(6)))) for i in range(60)]
+    out = substring_dedup.dedup(spark.createDataFrame([(i, n, t) for n, (i, t) in enumerate(rows)], "doc_id long, n int, text string"))
+    assert [r.text for r in out.orderBy("n").collect()] == brute.deduplicated(rows, substring_dedup.SPAN, substring_dedup.MIN_WORDS)
+
+
+def test_stops_inside_words_and_length_changing_letters():
+    assert substring_dedup.cut("f g。h İ")[1].tolist() == [0, 2, 4] and brute.sentences("f g。h İ")[0][1] == 4
+    assert len(substring_dedup.cut("A.b c.\"\nd")[1]) == 3
 
 
 def test_decontamination(spark, docs):
@@ -91,6 +102,31 @@ def test_slots_must_be_consistent(spark):
     assert out == {1: "reparameterised"}
 
 
+def test_an_alignment_is_split_where_its_slots_disagree(spark):
+    item = "On day 12 the crew of the old ship saw 12 whales near the quiet bay and then the whole crew sang all through the night until the sun rose"
+    rows = [(1, item.replace("saw 12", "saw 13")), (2, item.replace("day 12", "day 5"))]
+    items = [(1, item), (2, " ".join(["What is"] + [f"{i} plus" for i in range(3, 14)] + ["14 equal to now"])), (3, "Compute " + " ".join(str(3 * i) for i in range(4, 15)))]
+    rows += [(3, f"So: {items[1][1]}? Well."), (4, items[2][1])]
+    out = {(r.id, r.item): (r.kind, r.coverage) for r in decontaminate.matches(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert out == brute.contaminated(rows, items) and set(out) == {(1, 1), (2, 1), (3, 2), (4, 3)}
+
+
+def test_decontamination_against_brute_force(spark):
+    import random
+
+    rng = random.Random(2)
+    fill = lambda: rng.choice([rng.choice(WORDS), str(rng.randrange(30)), rng.choice(["Ann", "Bob"]), "kg", rng.choice("seven two".split())])
+    items = [(i, " ".join(fill() for _ in range(rng.choice([3, 5, 9, 14, 30])))) for i in range(25)]
+    rows = []
+    for i in range(70):
+        own = rng.choice(items)[1].split()
+        if rng.random() < 0.6:
+            own = [fill() if rng.random() < 0.04 else str(rng.randrange(30)) if w.isdigit() and rng.random() < 0.3 else w for w in own]
+        rows.append((i, " ".join([fill() for _ in range(rng.randrange(9))] + own + [fill() for _ in range(rng.randrange(9))])))
+    out = {(r.id, r.item): (r.kind, r.coverage) for r in decontaminate.matches(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert out == brute.contaminated(rows, items) and len(out) > 30
+
+
 def test_repeated_lines_cover_an_item_window_once(spark):
     bench = spark.createDataFrame([(1, "the quick river ran past the old mill while nobody had seen any miller near those stones")], "item_id long, text string")
     line = "the quick river ran past the old mill.\n"
@@ -151,6 +187,43 @@ def test_jaccard_against_brute_force(spark, k, percent):
     assert out == brute_force_groups(rows, k, percent)
 
 
+@pytest.mark.parametrize(("k", "percent"), [(5, 80), (3, 90)])
+def test_cells_of_unrelated_texts_do_not_grow(k, percent):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(7)
+    shared = []
+    for n in (400, 1600):
+        texts = pa.array([" ".join(map(str, rng.integers(0, 1 << 40, rng.integers(10, 400)))) for _ in range(n)])
+        h, ends = ngram_join.shingle_sets(texts, k)
+        keys, owners = ngram_join.cell_keys(h, ends, percent)
+        members = np.unique(np.stack([keys, owners], 1), axis=0)[:, 0]
+        shared.append(len(members) - len(np.unique(members)))
+        size = np.diff(np.r_[0, ends])
+        assert np.bincount(owners, minlength=n).max() <= size.max() * 0.75 + 8
+    assert shared == [0, 0]
+
+
+@pytest.mark.parametrize("percent", [50, 66, 80, 90, 99])
+def test_linked_sets_share_a_cell(percent):
+    rng = np.random.default_rng(percent)
+    sets = []
+    for _ in range(600):
+        n = int(rng.integers(1, 60))
+        a = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        b = np.r_[a[int(rng.integers(0, n // 3 + 1)) :], rng.integers(0, 1 << 63, int(rng.integers(0, n // 3 + 2))).astype(np.uint64)]
+        sets += [np.unique(a), np.unique(b)]
+    keys, owners = ngram_join.cell_keys(np.concatenate(sets), np.cumsum([len(s) for s in sets]), percent)
+    held = {i: set(keys[owners == i].tolist()) for i in range(len(sets))}
+    linked = 0
+    for i in range(0, len(sets), 2):
+        a, b = set(sets[i].tolist()), set(sets[i + 1].tolist())
+        if a != b and 100 * len(a & b) >= percent * len(a | b):
+            linked += 1
+            assert held[i] & held[i + 1]
+    assert linked > 5 or percent == 99
+
+
 def test_trees_find_all_that_the_bound_allows():
     import numpy as np
 

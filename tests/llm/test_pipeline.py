@@ -1,13 +1,12 @@
 """The pipeline on the smallest tables against brute force, stage by stage."""
 
-from collections import defaultdict
-
 import corpus_pipeline
 import pytest
 
-from rivulet.llm import decontaminate, quality, substring_dedup
+from rivulet.llm import quality, substring_dedup
 from rivulet.llm.common import Memo
 
+from . import brute
 from .test_edges import brute_force_groups
 from .test_packing import check
 
@@ -47,51 +46,18 @@ def test_near_duplicates(stages):
 
 
 def test_substrings(stages):
-    before, owner = rows(stages["ngram_jaccard_join"]), {}
-    for i, t in before:
-        for h in substring_dedup.spans(t, 3, 20)[0]:
-            owner[h] = min(owner.get(h, i), i)
-    want = []
-    for i, t in before:
-        hashes, lengths, again = substring_dedup.spans(t, 3, 20)
-        text, gone = substring_dedup.without(t, [(k, n) for k, (h, n, x) in enumerate(zip(hashes, lengths, again, strict=True)) if owner[h] < i or x])
-        if not gone or text.strip():
-            want.append((i, text))
-    assert rows(stages["substring_dedup"]) == want
+    before = rows(stages["ngram_jaccard_join"])
+    texts = brute.deduplicated(before, substring_dedup.SPAN, substring_dedup.MIN_WORDS)
+    want = [(i, new) for (i, old), new in zip(before, texts, strict=True) if new == old or new.strip()]
+    assert rows(stages["substring_dedup"]) == want and any(new != old for (_, old), new in zip(before, texts, strict=True))
     assert all(r.n_chars == len(r.text) for r in stages["substring_dedup"].collect())
 
 
-def leaks(text, items):
-    """Whether some item's template windows line up in the text with consistent slots, tried at every pair of places."""
-    code, slot, tokens = decontaminate.template(text)
-    for item in items:
-        c, s, t = decontaminate.template(item)
-        size = decontaminate._sizes(len(c))
-        if not size:
-            continue
-        own, all_windows = dict(zip(*(x.tolist() for x in decontaminate.windows(c, s, size)), strict=True)), 0
-        all_windows = len(own)
-        places = defaultdict(list)
-        for p, h in zip(*(x.tolist() for x in decontaminate.windows(code, slot, size)), strict=True):
-            places[h].append(p)
-        lines = defaultdict(list)
-        for at, h in own.items():
-            for p in places.get(h, ()):
-                lines[p - at].append((at, p))
-        total, most = 0, 0
-        for met in lines.values():
-            pairs = {(t[a + j].lower(), tokens[p + j].lower()) for a, p in met for j in range(size) if s[a + j]}
-            if len({a for a, _ in pairs}) == len(pairs):
-                total, most = total + len(met), max(most, len(met))
-        if all_windows and (total / all_windows >= decontaminate.COVERAGE or (most and most + size - 1 >= decontaminate.RUN)):
-            return True
-    return False
-
-
 def test_decontamination(spark, stages):
-    items = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     before = rows(stages["substring_dedup"])
-    assert rows(stages["benchmark_decontamination"]) == [(i, t) for i, t in before if not leaks(t, items)]
+    bad = {i for i, _ in brute.contaminated(before, items)}
+    assert rows(stages["benchmark_decontamination"]) == [(i, t) for i, t in before if i not in bad] and bad
 
 
 def test_packing_and_run(spark, stages):
