@@ -317,17 +317,55 @@ def test_language(spark, docs):
     assert language.predict(docs.limit(0), models).count() == 0
 
 
-def test_language_probabilities_sum_to_one(spark):
-    import numpy as np
-
+def plain_kneser_ney(texts: list[str]):
+    """Log probability of a text by an interpolated model of order 4 over dictionaries; the alphabet is given with it."""
+    from collections import Counter
+
+    clean = lambda t: " " + " ".join("".join(c if c.isalpha() else " " for c in t.lower()).split()) + " "
+    padded = lambda t: "   " + clean(t)[1:]
+    counts = {4: Counter(p[i - 3 : i + 1] for p in map(padded, texts) for i in range(3, len(p)))}
+    for k in (3, 2, 1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    discount = {}
+    for k, c in counts.items():
+        once, twice = sum(v == 1 for v in c.values()), sum(v == 2 for v in c.values())
+        discount[k] = once / (once + 2 * twice) if once else 0.5
+
+    def p(gram: str, size: int) -> float:
+        if not gram:
+            return 1 / size
+        k, c = len(gram), counts[len(gram)]
+        of = {g: v for g, v in c.items() if g[:-1] == gram[:-1]}
+        if not of:
+            return p(gram[1:], size)
+        total = sum(of.values())
+        return max(c.get(gram, 0) - discount[k], 0) / total + discount[k] * len(of) / total * p(gram[1:], size)
+
+    return lambda t, size: sum(np.log(p(q[i - 3 : i + 1], size)) for q in [padded(t)] for i in range(3, len(q))), set("".join(map(padded, texts)))
+
+
+def test_language_against_dictionaries():
+    rows = [("abab abba, baab!", "a"), ("cdcd dccd äöü", "b"), ("Ba ab aba 12 b", "a"), ("ddc cd üä", "b"), ("漢字 かな", "b")]
+    models = language.fit(rows)
+    models_of = [plain_kneser_ney([t for t, lang in rows if lang == name]) for name in ("a", "b")]
+    size = len(models_of[0][1] | models_of[1][1]) + 1
+    assert models.size == size
+    for text in ("abba cd", "x", "漢 dä zz ab", "b"):
+        got, n = models.loglik([language.coded(text)[0]])
+        assert n[0] == len(text) + 1 and np.allclose(got[0], [m(text, size) for m, _ in models_of], atol=1e-3)
+
+
+def test_language_probabilities_sum_to_one():
     models = language.fit([("abab abba baab", "a"), ("cdcd dccd", "b")] * 3)
-    for j in range(2):
-        total = 0.0
-        for code in range(1 << language.BITS):
-            ll, _ = models.loglik([np.array([0, 2, 3, code])])
-            base, _ = models.loglik([np.array([0, 2, 3])])
-            total += float(np.exp(ll[0, j] - base[0, j]))
-        assert abs(total - 1) < 1e-3
+    base, _ = models.loglik([np.array([0, 97, 98], np.uint64)])
+    total = sum(np.exp(models.loglik([np.array([0, 97, 98, code], np.uint64)])[0][0] - base[0]) for code in [0, *map(ord, "abcdz")])
+    assert models.size == 6 and np.allclose(total, 1, atol=1e-3)
+
+
+def test_letters_of_many_scripts_stay_apart():
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 9000)]
+    models = language.fit([("".join(letters[i::3]), "xyz"[i]) for i in range(3) for _ in range(2)])
+    assert [models.predict(["".join(letters[7998 + i :: 3])])[0][0] for i in range(3)] == list("xyz") and models.size == 9002
 
 
 def test_language_held_out(spark):
