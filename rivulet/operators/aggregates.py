@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 def distribution(df: DataFrame, by: str) -> DataFrame:
     """Count and percentage of each value."""
     counts = df.groupBy(by).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
-    return counts.join(total).select(by, "n", F.round(F.col("n") * 100.0 / F.col("total"), 4).alias("pct"))
+    return counts.select(by, "n", F.round(F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy()), 4).alias("pct"))
 
 
 def non_empty(df: DataFrame, column: str) -> Column:

@@ -13,28 +13,75 @@ from .scoring import weakest_link
 from .windows import gap_severity
 
 # Words that hand a report on, words of speech that end a chain, words that close a name.
-CONNECTORS = ("عن", "حدثني", "حدثنا", "اخبرنا", "اخبرني", "سمعت", "انبانا")
+CONNECTORS = ("عن", "حدثني", "حدثنا", "اخبرنا", "اخبرني", "سمعت", "انبانا", "منهم")
 SPEECH = ("قال", "يقول", "قلت", "فقال")
 HONORIFICS = r"\((?:ع|ص|رض|عليه السلام|عليها السلام|عليهما السلام|عليهم السلام|صلى الله عليه واله)\)"
-OPENERS = ("باسناده عن", "بهذا الاسناد عن", "وبهذا الاسناد عن")
+
+# Rewrites of a chain's whole text, in order. Each is a pattern and what takes its place; "|" parts names.
+_END = r"(?![\p{L}\p{N}_])"
+REWRITES = (
+    (r"^[0-9٠-٩]+\s*[-\s]\s*", ""),
+    (HONORIFICS, " "),
+    (r"^(?:اخبرنا|حدثنا)\s+ابو جعفر محمد بن يعقوب\s*(?:الكليني\s*)?قال حدثني\s+", ""),
+    (rf"(?:^|\s)(?:و\s*)?(?:باسناده|بسنده|بهذا\s+الاسناد){_END}", " "),
+    (r"(?:^|\s)و?\s*عنه[ا]?(?:\s+عن)?\s+", " "),  # back to the one before, who is not named again
+    (r"\s(?:ورواه|وروى)\s+عن\s+", " عن "),
+    (r"قال\s*:", "قال "),
+    (rf"([ب-ي])بن{_END}", "$1 بن"),
+    (rf"\s[و]?(?:قال|يقول)\s+(?=(?:{'|'.join(CONNECTORS[1:7])}|سالت|قلت)\s)", " "),
+    (r"(?:^|\s)(?:سالت|قلت)\s+(?=اب[اي]\s)", " عن "),
+    (rf"\s*(?<![\p{{L}}\p{{N}}_])(?:{'|'.join(SPEECH)}){_END}.*$", ""),
+    (rf"(?<![\p{{L}}\p{{N}}_])و?(?:{'|'.join(CONNECTORS)}|روى){_END}", "|"),
+    (r"[،,؛;:.\n]+", "|"),
+)
+# Given names and by-names before which "and" begins another person.
+BESIDE = "محمد احمد علي حسن حسين الحسين عبد موسى يونس صفوان زرارة بريد حريز جعفر الفضل الفضيل الحسن العباس يحيى عمر عمرو سعد صالح عيسى سليمان داود ابراهيم هشام حنان اسماعيل الريان ابن علا جميل حماد بكير حميد سهل فضل نضر عبيد معاوية خالد زيد".split()
+BESIDE_ALONE = ("الحجال", "ابو علي الاشعري", "ابي علي الاشعري", "ابي ايوب", "ابو ايوب", "عبد الله", "ابو العباس", "ابي العباس", "حماد", "جميل", "الرزاز", "ابن محبوب", "ابن رئاب", "ابن فضال", "ابن سنان", "ابن عمار", "ابن مسلم", "ابن بكير", "ابن ابي عمير", "ابن المغيرة")
+GROUPS_OF = r"(?:عدة|جماعة|غير\s+واحد)\s+من\s+اصحابنا"
+# What is cut from a name's end and start, in order.
+TAILS = (
+    rf"\s*[(\[]?\s*(?:عليه|عليها|عليهما|عليهم)\s+(?:السلام|السلم){_END}.*$", rf"\s*[(\[]?\s*(?:صلى|صلوات)\s+الله\s+عليه{_END}.*$", r"\s+[(\[]?\s*[عصج]{1,3}\s*[)\]]?\s*$", r"\s+و\s*غيرهم?(?:\s+من\s+اصحابنا)?\s*$",
+    rf"\s+(?:انه|كتب|يساله|سئل|عند|ان|ابني|مثله|رفعه|اني|او|يرويان|يرويون|وهو|وكان|ويكنى|سالت){_END}.*$", rf"\s+في\s+(?:قول\s+الله|رجل){_END}.*$", r"\s+(?:قالوا|جميعا|معا)\s*$", r"[\[\]]|\s*[(]+\s*$",
+)
+STARTS = ((r"^لل", "ال"), (r"^(?:سالت|قلت|جده|اخيه)\s+(?=\S)", ""), (rf"^و(?!هب{_END})(?=[ا-ي])", ""), (r"^ل(?!ل)(?=[ا-ي])", ""))
+# Where one segment holds two links.
+TWO = ((r"\s+عمن\s+(?:رواه|ذكره).*$", "|عمن رواه"), (r"^(ابيه|ابوه)\s+و\s+", "$1|"), (r"^ابيه\s+(?=(?:محمد|احمد|علي|حسن|عيسى|يحيى|موسى)\s+بن\s)", "ابيه|"))
+# Words that no name holds, of reports that run on into their matter; and segments that are none.
+MATTER = "الحلال الحرام قيامة النار فاجاب فقلت اكان شهادتهم شهادتهن ايمانهم شمائلهم الفقاع يطلق تعتد تبيت الجفر ربك الجري المارماهي الطافي الطحال الهدهد الزمير الحرير البنفسج اريد الفهود".split()
+MATTER_PHRASES = ("الف مسال", "عز و?جل", "عز و جل", "رايك في", "قد علمه", "يقول من رايي", "توفى زوجها", "حيث شاء", "لا باس", "المراة تموت", "تزوج امراة", "قد روي فيه", "الحمام يفرخ", "يتزوج الطير", "يسال ابا", "يسلم في", "سباع الطير", "طيبة نفس", "يلتمس التجارة", "بعض موالي")
+NO_NAMES = ("ذلك", "بيتها", "بيته", "فقال", "نعم", "لا", "رجاله", "رجله", "ابائك", "اباءك")
+NO_STARTS = rf"^(?:مسال[ةه]|رجلا|رجل|ذلك|الرجل\s+(?:يسلم|يسال|يريد)){_END}"
 
 #: Ages in years that a listener must have, and years of contact that make a link certain.
 READY, SHORT, COMFORTABLE = 10, 5, 10
 
 
 def parse(c: Column) -> Column:
-    """Names of a chain's text, first to last (C5): rewrites in a fixed order, then one split. An empty text has none."""
+    """Names of a chain's text, first to last, each once (C5): rewrites in a fixed order, one split, and cleaning of each part. An empty text has none."""
     n = tx.normalize(c)
-    n = F.regexp_replace(n, r"^[0-9٠-٩]+\s*-\s*", "")
-    n = F.regexp_replace(n, HONORIFICS, " ")
-    for opener in OPENERS:
-        n = F.regexp_replace(n, tx.word(opener.replace(" ", r"\s+")), " ")
-    n = F.regexp_replace(n, rf"{tx.word('|'.join(SPEECH))}\s*[:：]?\s*(?={'|'.join(CONNECTORS[1:])})", " ")  # speech between two connectors
-    n = F.regexp_replace(n, rf"\s*{tx.word('|'.join(SPEECH))}.*$", "")
-    n = F.regexp_replace(n, tx.word("|".join(CONNECTORS)), "\u0001")
-    n = F.regexp_replace(n, r"[،,؛;:.]+", "\u0001")
-    names = F.transform(F.split(n, "\u0001"), lambda x: tx.one_space(F.regexp_replace(x, r"^\s*و(?=(?:عن|حدثن|اخبرن))", "")))
-    return F.filter(names, lambda x: F.length(x) > 1)
+    for pattern, to in REWRITES:
+        n = F.regexp_replace(n, pattern, to)
+    beside = rf"\s+و\s*(?=(?:{'|'.join(BESIDE)})\s+(?:بن|ابي|العجلي|الله\s+بن){_END}|(?:{'|'.join(BESIDE_ALONE)}){_END}|{GROUPS_OF})"
+    n = F.regexp_replace(n, beside, "|")
+
+    def clean(x: Column) -> Column:
+        for pattern, to in STARTS[:2]:
+            x = F.regexp_replace(tx.one_space(x), pattern, to)
+        for pattern, to in TWO:
+            x = F.regexp_replace(x, pattern, to)
+        return x
+
+    def trimmed(x: Column) -> Column:
+        for pattern in TAILS:
+            x = F.regexp_replace(x, pattern, "")
+        for pattern, to in STARTS[1:]:
+            x = F.regexp_replace(tx.one_space(x), pattern, to)
+        return tx.one_space(F.regexp_replace(x, r"\s+ابن\s+", " بن "))
+
+    parts = F.flatten(F.transform(F.transform(F.split(n, r"\|"), clean), lambda x: F.split(x, r"\|")))
+    matter = tx.word("|".join(MATTER)) + "|" + "|".join(p.replace(" ", r"\s+") for p in MATTER_PHRASES)
+    names = F.filter(F.transform(parts, trimmed), lambda x: (F.length(x) > 1) & ~x.rlike(r"^[0-9٠-٩\s]*$") & ~x.rlike(matter) & ~x.rlike(NO_STARTS) & ~x.isin(*NO_NAMES))
+    return F.array_distinct(names)
 
 
 def links(chains: DataFrame, chain_id: str, names: str) -> DataFrame:

@@ -141,4 +141,4 @@ def category(grade: Column) -> Column:
 def confusion(pairs: DataFrame, ours: str, theirs: str) -> DataFrame:
     """Counts and shares of pairs of categories."""
     n = pairs.groupBy(ours, theirs).agg(F.count("*").alias("n"))
-    return n.join(n.agg(F.sum("n").alias("total"))).withColumn("share", F.col("n") / F.col("total")).drop("total")
+    return n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
