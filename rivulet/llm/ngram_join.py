@@ -193,9 +193,8 @@ def _vectors(col: pa.Array) -> np.ndarray:
 
 
 def tree_pairs(rows: DataFrame, percent: int, tasks: int) -> DataFrame:
-    """Pairs (a, b) between both sides of each (key, blk, blk2) that the trees' bound allows, but for rows of one root."""
-    group = ["key", "blk", "blk2"]
-    rows = rows.select(F.xxhash64(*group).alias("g"), "side", "sig", "root", "n", "vec").repartition(tasks, "g").sortWithinPartitions("g", "side")
+    """Pairs (a, b) between both sides of each task g that the trees' bound allows, but for rows of one root."""
+    rows = rows.select("g", "side", "sig", "root", "n", "vec").repartition(tasks, "g").sortWithinPartitions("g", "side")
 
     def join(part: pa.RecordBatch) -> list[tuple[int, int]]:
         cut = int(np.count_nonzero(part.column(1).to_numpy() == 0))
@@ -230,23 +229,32 @@ def tree_pairs(rows: DataFrame, percent: int, tasks: int) -> DataFrame:
     return rows.mapInArrow(released(run), "a long, b long")
 
 
-def shared_cells(pts: DataFrame) -> DataFrame:
-    """(key, sig): the members of all cells that hold several sets. Keys of one set are left behind by a filter before anything is joined."""
+def cells_of(pts: DataFrame) -> DataFrame:
+    """(key, pivot, others, sig): the members of cells of several sets, but for the one that shares most cells, the pivot; ``others`` is their number.
+
+    Keys of one set are left behind by a filter before anything is joined.
+    """
     several = written(pts.where("sig is not null").select("sig", F.explode("keys").alias("key")).groupBy("key").agg(F.min("sig").alias("low"), F.max("sig").alias("high")).where("low < high").select("key"))
-    sent = pts.sparkSession.sparkContext.broadcast(key_filter(several, "key"))
+    sent = pts.sparkSession.sparkContext.broadcast(key_filter(several, "key", 64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mask = sent.value
+        mask, seen = sent.value, set()
         for batch in batches:
+            new = [i for i, s in enumerate(batch.column(0).to_pylist()) if not (s in seen or seen.add(s))]  # copies once a task
+            batch = batch.take(pa.array(new, pa.int64()))
             lists = batch.column(1)
             keys, owner = lists.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
             hit = passes(mask, keys)
-            yield pa.RecordBatch.from_arrays([pa.array(keys[hit], pa.int64()), batch.column(0).take(pa.array(owner[hit]))], names=["key", "sig"])
+            shared = np.bincount(owner[hit], minlength=batch.num_rows)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[hit], pa.int64()), batch.column(0).take(pa.array(owner[hit])), pa.array(shared[owner[hit]], pa.int32())], names=["key", "sig", "shared"])
 
-    likely = pts.where("sig is not null").select("sig", "keys").mapInArrow(released(run), "key long, sig long").distinct()
-    out = written(likely.join(several, "key"))
+    likely = written(pts.where("sig is not null").select("sig", "keys").mapInArrow(released(run), "key long, sig long, shared int"))
     drop(several)
-    return out
+    # The number of rows is that of members but for copies in several tasks: it may be too high, never too low.
+    hub = written(likely.groupBy("key").agg(F.max(F.struct("shared", "sig")).alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", F.col("hub.sig").alias("pivot"), (F.col("n") - 1).alias("others")))
+    cells = written(likely.join(hub, "key").where("sig <> pivot").select("key", "pivot", "others", "sig"))
+    drop(likely, hub)
+    return cells
 
 
 def bounded(pairs: DataFrame, vec: DataFrame, percent: int) -> DataFrame:
@@ -268,7 +276,7 @@ def verified(docs: DataFrame, text_col: str, pts: DataFrame, pairs: DataFrame, k
     spark = docs.sparkSession
     ids = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
     texts = written(pts.select("sig", "th").join(ids, "sig").groupBy("sig").agg(F.min("th").alias("th")).select("th"))
-    sent = spark.sparkContext.broadcast(key_filter(texts, "th"))
+    sent = spark.sparkContext.broadcast(key_filter(texts, "th", 256))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mask, seen = sent.value, set()
@@ -301,16 +309,6 @@ def verified(docs: DataFrame, text_col: str, pts: DataFrame, pairs: DataFrame, k
     return links
 
 
-def cells_of(pts: DataFrame) -> DataFrame:
-    """(key, pivot, sig): the members of shared cells with the one of them that shares most cells, and that one left out."""
-    shared = shared_cells(pts)
-    degree = shared.groupBy("sig").agg(F.count("*").alias("cells"))
-    hub = shared.join(degree, "sig").groupBy("key").agg(F.max(F.struct("cells", "sig")).alias("hub")).select("key", F.col("hub.sig").alias("pivot"))
-    cells = written(shared.join(hub, "key").where("sig <> pivot").select("key", "pivot", "sig"))
-    drop(shared)
-    return cells
-
-
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """(id, n_shingles, component_id) of every row; component_id is the smallest id that links of Jaccard >= percent/100 reach."""
     spark = docs.sparkSession
@@ -318,16 +316,19 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         raise ValueError("percent must lie between 50 and 99")
     pts = written(points(docs, id_col, text_col, k, percent))
     cells = cells_of(pts)
-    vec = pts.where("sig is not null").groupBy("sig").agg(F.first("n").alias("n"), F.first("vec").alias("vec"))
+    pairs = written(cells.select(F.col("pivot").alias("a"), F.col("sig").alias("b")).distinct())
+    used = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
+    vec = written(pts.select("sig", "n", "vec").join(used, "sig").groupBy("sig").agg(F.first("n").alias("n"), F.first("vec").alias("vec")))
 
     # Step 1: members against the hub of their cell.
-    star = written(bounded(cells.select(F.col("pivot").alias("a"), F.col("sig").alias("b")).distinct(), vec.select("sig", "n", "vec"), percent))
+    star = written(bounded(pairs, vec, percent))
+    drop(pairs)
     links = verified(docs, text_col, pts, star, k, percent)
     root = components(links)
 
     # Step 2: cells with members of several components.
-    member = cells.select("key", "sig").join(root.toDF("sig", "to"), "sig", "left").select("key", "sig", F.coalesce("to", "sig").alias("root"))
-    mixed = member.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("m"), F.sum(F.xxhash64("sig").cast("decimal(38,0)")).alias("all")).where("r0 < r1")
+    member = cells.where("others > 1").select("key", "sig").join(root.toDF("sig", "to"), "sig", "left").select("key", "sig", F.coalesce("to", "sig").alias("root")).distinct()
+    mixed = member.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("m"), F.bit_xor(F.xxhash64("sig")).alias("all")).where("r0 < r1")
     mixed = mixed.groupBy("m", "all").agg(F.min("key").alias("key")).select("key", "m")  # cells with the same members are one
     member = written(member.join(mixed, "key"))
     part = member.groupBy("key", "root").agg(F.count("*").alias("c"))
@@ -336,7 +337,8 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     blocks = member.groupBy("key", "blk").agg(F.count("*").alias("c")).select("key", "blk")
     tasks = blocks.join(blocks.withColumnRenamed("blk", "blk2"), "key").where("blk <= blk2 and not (blk.r is not null and blk2.r is not null and blk.r = blk2.r)")
     sides = tasks.select("key", "blk", "blk2", F.explode(F.array(F.lit(0), F.lit(1))).alias("side")).withColumn("own", F.when(F.col("side") == 0, F.col("blk")).otherwise(F.col("blk2")))
-    rows = sides.join(member.withColumnRenamed("blk", "own"), ["key", "own"]).join(vec, "sig")
+    sides = sides.select("key", "own", "side", F.xxhash64("key", "blk", "blk2").alias("g"))
+    rows = sides.join(member.withColumnRenamed("blk", "own"), ["key", "own"]).select("g", "side", "sig", "root").join(vec, "sig")
     late = written(tree_pairs(rows, percent, max(spark.sparkContext.defaultParallelism, math.ceil(member.count() * 2 / TREE_ROWS))).where("a <> b").distinct())
     drop(cells, member)
     if late.limit(1).count():
@@ -344,7 +346,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         final = components(links.union(more))
         drop(root, more)
         root = final
-    drop(star, late)
+    drop(star, late, vec)
 
     # Rows are joined to roots and these to their least ids on tables, so that Spark can split the rows of a large group.
     linked = written(pts.select("id", "n", "sig").join(root.toDF("sig", "to"), "sig", "left").select("id", "n", F.coalesce("to", "sig").alias("root")))

@@ -122,7 +122,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(id, th, cuts): the spans of each row that are not the first of their kind, as (first sentence, number of sentences)."""
     found = written(found_spans(docs, id_col, text_col, span, min_words))
     owner = written(found.select("id", F.explode("hashes").alias("hash")).groupBy("hash").agg(F.min("id").alias("owner"), F.max("id").alias("last")).where("owner < last").select("hash", "owner"))
-    sent = docs.sparkSession.sparkContext.broadcast(key_filter(owner, "hash"))
+    sent = docs.sparkSession.sparkContext.broadcast(key_filter(owner, "hash", 64))
 
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mask = sent.value
