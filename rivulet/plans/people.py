@@ -9,8 +9,10 @@ from ..functions import text as tx
 from ..operators import chain as ch
 from ..operators import evidence_rules as ev
 from ..operators import extract as ex
+from ..operators import layers as ly
 from ..operators import merge as mg
 from ..operators import resolver as rs
+from ..operators import windows as wn
 from .catalogue import query
 
 GIVEN = ["علي", "محمد", "احمد", "الحسين", "جعفر", "زرارة", "يونس", "حماد", "سهل", "ابان", "داود"]
@@ -544,3 +546,216 @@ def virtual_links(t):  # C7a
 SELECT chain_id, pos, coalesce(array_to_string(list_sort(list_intersect(a, b)), ','), '') AS repeated FROM y""")
 def skipped_eyes(t):  # W10 M9
     return ev.repeated_words(_lines(t)).select("chain_id", "pos", F.array_join(F.array_sort("repeated"), ",").alias("repeated"))
+
+
+# --- Records: overrides, identities, merges, layers
+
+
+ENTRY_SQL = f"SELECT *, 'k' || k AS key FROM (SELECT *, CAST(k AS INTEGER) AS idx FROM ({PEOPLE}))"
+
+
+def _entries(t) -> DataFrame:
+    """The people with the columns that the merge operators read; identity claims link each second key with the one before it."""
+    e, k = people(t), F.col("src_ord")
+    empty = F.array().cast("array<string>")
+    return e.withColumns(
+        {
+            "_entry_idx": k.cast("int"),
+            "tabaqah": F.when(k % 12 + 1 <= 6, (k % 12 + 1).cast("double")),
+            "tabaqah_source": F.lit(None).cast("string"),
+            "same_as_entry_nums": F.when(k % 2 == 1, F.array(F.concat(F.lit("k"), (k - 1).cast("string")))).otherwise(empty),
+            "grandfather": F.when(k % 10 == 0, given(k)),
+            "status_detail": F.when(k % 7 == 0, "x"),
+            "has_book": k % 6 == 0,
+            "canonical_entry": F.lit(None).cast("string"),
+        }
+    )
+
+
+@query(f"""WITH e AS ({ENTRY_SQL}), o AS (SELECT CASE WHEN s_suppkey % 2 = 0 THEN 'k' || s_suppkey WHEN s_suppkey % 3 = 0 THEN '_' || s_suppkey ELSE CAST(s_suppkey AS VARCHAR) END AS ok, CAST(s_suppkey % 14 AS INTEGER) AS layer FROM supplier)
+SELECT key AS entry_key, coalesce(CAST(coalesce(a.layer, b.layer) AS DOUBLE), CASE WHEN k % 12 + 1 <= 6 THEN CAST(k % 12 + 1 AS DOUBLE) END) AS tabaqah, CASE WHEN coalesce(a.layer, b.layer) IS NOT NULL THEN 'manual_override' END AS tabaqah_source
+FROM e LEFT JOIN (SELECT * FROM o WHERE layer BETWEEN 1 AND 12) a ON a.ok = e.key LEFT JOIN (SELECT * FROM o WHERE layer BETWEEN 1 AND 12) b ON b.ok = CAST(e.k AS VARCHAR)""")
+def overridden_layers(t):  # J6
+    s = F.col("s_suppkey")
+    text = s.cast("string")
+    by_hand = t.supplier.select(F.when(s % 2 == 0, F.concat(F.lit("k"), text)).when(s % 3 == 0, F.concat(F.lit("_"), text)).otherwise(text).alias("key"), (s % 14).cast("int").alias("tabaqah"))
+    return mg.override(_entries(t), by_hand).select("entry_key", "tabaqah", "tabaqah_source")
+
+
+LINK_SQL = f"""e AS MATERIALIZED (SELECT *, {_words_sql("name_ar || ' ' || array_to_string(aliases, ' ')")} AS w, {_content_sql("name_ar")}[1] AS g FROM ({ENTRY_SQL})),
+links AS (SELECT a.key AS a, b.key AS b FROM e a JOIN e b ON a.k % 2 = 1 AND b.k = a.k - 1 WHERE len(list_intersect(a.w, b.w)) >= 2 OR (len(list_intersect(a.w, b.w)) >= 1 AND a.g = b.g)
+UNION SELECT 'k' || s_suppkey, 'k' || (s_suppkey + 2) FROM supplier WHERE s_suppkey % 4 = 0 AND s_suppkey + 2 IN (SELECT k FROM e) AND s_suppkey IN (SELECT k FROM e)),
+u AS MATERIALIZED (SELECT a, b FROM links UNION SELECT b, a FROM links),
+c AS (WITH RECURSIVE r AS (SELECT a AS node, a AS o FROM u UNION SELECT r.node, u.b FROM r JOIN u ON u.a = r.o) SELECT node, min(o) AS root, count(*) AS n FROM r GROUP BY 1),
+member AS MATERIALIZED (SELECT e.key, CASE WHEN c.n IS NULL OR c.n > 6 THEN e.key ELSE c.root END AS root FROM e LEFT JOIN c ON c.node = e.key)"""
+
+
+def _links(t) -> DataFrame:
+    s = F.col("s_suppkey")
+    trusted = t.supplier.where(s % 4 == 0).select(F.concat(F.lit("k"), s.cast("string")).alias("a"), F.concat(F.lit("k"), (s + 2).cast("string")).alias("b"))
+    return mg.identity_links(_entries(t), trusted)
+
+
+def _members(t) -> DataFrame:
+    c = mg.clusters(_entries(t), _links(t))
+    return c.join(c.groupBy("root").agg(F.min("entry_key").alias("least")), "root").select("entry_key", F.col("least").alias("root"))
+
+
+@query(f"WITH {LINK_SQL} SELECT a, b FROM links")
+def identity_links(t):  # G2
+    return _links(t)
+
+
+@query(f"WITH {LINK_SQL} SELECT key AS entry_key, root FROM member")
+def identity_clusters(t):  # G1 G3
+    return _members(t)
+
+
+RICH_SQL = """(CASE WHEN name_ar <> '' THEN 1 ELSE 0 END) + 1 + (CASE WHEN k % 10 = 0 THEN 1 ELSE 0 END) + 1 + (CASE WHEN laqab <> '' THEN 1 ELSE 0 END) + 1 + (CASE WHEN k % 7 = 0 THEN 1 ELSE 0 END) + (CASE WHEN hadith_count IS NOT NULL THEN 1 ELSE 0 END)
++ len(imams) + len(books) + len(aliases) + len(teachers_of) + len(students_of) + (CASE WHEN k % 6 = 0 THEN 2 ELSE 0 END) + (CASE WHEN status <> 'unspecified' THEN 3 ELSE 0 END)"""
+
+
+@query(f"""WITH {LINK_SQL}, x AS (SELECT member.root, e.*, {RICH_SQL} AS rich FROM e JOIN member USING (key))
+SELECT root, arg_max(key, (rich, key)) AS canonical, count(*) AS n, CASE WHEN arg_max(status, (rich, key)) <> 'unspecified' THEN arg_max(status, (rich, key)) ELSE coalesce(arg_min(status, k) FILTER (status <> 'unspecified'), 'unspecified') END AS status,
+(bool_or(status = 'thiqah') AND (bool_or(status = 'daif') OR bool_or(status = 'majhul'))) OR (bool_or(status = 'muwaththaq') AND bool_or(status = 'daif')) AS status_conflict, FALSE AS era_conflict FROM x GROUP BY 1""")
+def identities(t):  # G5 A8 A13 A21 A22 W9
+    return mg.identities(_entries(t), _members(t), {"الباقر": 2})
+
+
+MERGE_RANK = _rank_sql(mg.MERGE_ORDER, "st")
+LISTS_SQL = {"narrates_from_imams": "imams", "narrates_from_narrators": "teachers_of", "narrated_from_by": "students_of", "books": "books"}
+
+
+@query(f"""WITH {LINK_SQL}, x AS (SELECT e.*, member.root, CASE WHEN s_suppkey % 4 = 1 THEN 'hasan' WHEN s_suppkey % 4 = 2 THEN 'unspecified' WHEN s_suppkey IS NOT NULL THEN 'daif' END AS said FROM e JOIN member USING (key) LEFT JOIN supplier ON s_suppkey = k),
+y AS (SELECT *, CASE WHEN said <> 'unspecified' THEN said ELSE status END AS st FROM x), z AS (SELECT *, {MERGE_RANK} AS r FROM y),
+b AS (SELECT root, min(r) AS r, arg_min(st, (r, k)) AS st, arg_min(key, (r, k)) AS owner, list_sort(list_distinct(list(name_ar))) AS names, {", ".join(f"list_sort(list_distinct(flatten(list({c})))) AS {n}" for n, c in LISTS_SQL.items())} FROM z GROUP BY 1)
+SELECT z.key AS entry_key, CASE WHEN b.r < z.r THEN b.st ELSE z.st END AS status, CASE WHEN b.r < z.r THEN b.owner END AS status_inherited_from, z.root AS canonical_entry,
+array_to_string(list_sort(list_distinct(z.aliases || list_filter(b.names, lambda n: n <> z.name_ar))), '|') AS aliases, {", ".join(f"array_to_string(b.{n}, '|') AS {n}" for n in LISTS_SQL)} FROM z JOIN b USING (root)""")
+def merged_entries(t):  # G4 U2
+    s = F.col("s_suppkey")
+    said = t.supplier.select(F.concat(F.lit("k"), s.cast("string")).alias("entry_key"), F.when(s % 4 == 1, "hasan").when(s % 4 == 2, "unspecified").otherwise("daif").alias("summary_status"))
+    out = mg.merge(_entries(t), said, _members(t))
+    return out.select("entry_key", "status", "status_inherited_from", "canonical_entry", F.array_join(F.array_sort("aliases"), "|").alias("aliases"), *[F.array_join(n, "|").alias(n) for n in LISTS_SQL])
+
+
+@query(f"""WITH s AS (SELECT key, imams FROM ({ENTRY_SQL})), r AS (SELECT key, unnest(CASE WHEN substr(key, length(key)) IN ('1', '2') THEN ['الصادق (ع)', 'الرضا'] WHEN substr(key, length(key)) = '3' THEN ['الحسن بن علي العسكري'] ELSE imams END) AS name FROM s),
+v AS (SELECT DISTINCT key, CASE WHEN contains(name, 'العسكري') THEN 11 WHEN contains(name, 'الباقر') THEN 4 WHEN contains(name, 'الصادق') THEN 5 ELSE 8 END AS v FROM r)
+SELECT key, CAST(list_sort(list(v))[CAST(floor(count(*) / 2) AS BIGINT) + 1] AS INTEGER) AS layer, CASE WHEN count(*) >= 2 THEN 'high' ELSE 'medium' END AS confidence FROM v GROUP BY 1""")
+def authority_layers(t):  # G7 A9
+    key = F.col("entry_key")
+    last = F.right(key, F.lit(1))
+    names = F.when(last.isin("1", "2"), F.array(F.lit("الصادق (ع)"), F.lit("الرضا"))).when(last == "3", F.array(F.lit("الحسن بن علي العسكري"))).otherwise(F.col("narrates_from_imams"))
+    refs = people(t).select(key.alias("key"), F.explode(names).alias("name")).withColumn("name", tx.strip_honorific(F.col("name")))
+    titles = t.customer.sparkSession.createDataFrame(list(TITLES.items()), "title string, layer int")
+    return ly.seeds_from_references(refs, titles)
+
+
+@query(f"SELECT bool_and(NOT regexp_matches(key, '^[0-9]+$')) AND FALSE AS old_format FROM ({ENTRY_SQL})")
+def key_format(t):  # V3
+    return mg.old_keys(people(t))
+
+
+# --- Rules and validation
+
+
+@query(f"""WITH e AS ({ENTRY_SQL}), q AS (SELECT s_suppkey AS query_id, CASE WHEN s_suppkey % 2 = 0 THEN 'ابو ' || {given_sql("s_suppkey")} ELSE {given_sql("s_suppkey")} END AS kunya FROM supplier)
+SELECT DISTINCT query_id, key AS entry_key FROM q JOIN e ON e.kunyah = q.kunya OR (len(e.aliases) > 0 AND string_split(e.aliases[1], ' ')[1] = q.kunya)""")
+def kunya_candidates(t):  # J19
+    s = F.col("s_suppkey")
+    asked_for = t.supplier.select(s.alias("query_id"), F.when(s % 2 == 0, F.concat(F.lit("ابو "), given(s))).otherwise(given(s)).alias("kunya"))
+    return ev.kunya_candidates(asked_for, people(t))
+
+
+@query("""WITH x AS (SELECT o_custkey AS query_id, l_suppkey AS s, any_value(l_suppkey % 12 + 1) AS layer, any_value(o_custkey % 10 + 1) AS low FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2),
+y AS (SELECT *, layer BETWEEN low - 1 AND low + 3 AS fits, s % 11 = 0 AS broken FROM x),
+z AS (SELECT query_id, s, CASE WHEN s % 3 = 0 THEN 5 ELSE 0 END + CASE WHEN s % 5 = 0 THEN 5 ELSE 0 END + CASE WHEN s % 7 = 0 THEN 3 ELSE 0 END + CASE WHEN fits THEN 2 ELSE 0 END + CASE WHEN s % 2 = 0 THEN 4 ELSE 0 END + CASE WHEN s % 4 = 0 THEN 1 ELSE 0 END AS score FROM y WHERE fits AND NOT broken),
+r AS (SELECT *, lead(score) OVER w AS runner_up, row_number() OVER w AS n FROM z WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, s))
+SELECT q.query_id, s AS entry_key, score, runner_up, CASE WHEN s IS NULL THEN 'none' WHEN runner_up IS NOT NULL AND score - runner_up < 2 THEN 'ambiguous' WHEN score >= 7 THEN 'high' WHEN score >= 4 THEN 'medium' ELSE 'low' END AS confidence FROM (SELECT DISTINCT query_id FROM x) q LEFT JOIN (SELECT * FROM r WHERE n = 1) USING (query_id)""")
+def kunya_scores(t):  # C11
+    met = t.orders.join(t.lineitem, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("query_id"), F.col("l_suppkey").alias("entry_key")).distinct()
+    s, low = F.col("entry_key"), F.col("query_id") % 10 + 1
+    verdicts = F.when(s % 11 == 0, F.array(F.lit("impossible"))).when(s % 2 == 0, F.array(F.lit("certain"), F.lit("tight"), F.lit("unknown"))).otherwise(F.array(F.lit("tight")))
+    return ev.kunya_score(met.withColumns({"knows_student": s % 3 == 0, "knows_teacher": s % 5 == 0, "imam": s % 7 == 0, "tabaqah": s % 12 + 1, "low": low, "high": low + 2, "verdicts": verdicts, "book_custom": s % 4 == 0}))
+
+
+@query(f"""WITH e AS ({ENTRY_SQL}) SELECT 'layer' AS evidence, key FROM e WHERE abs(tabaqah - 5) <= 1 UNION ALL SELECT 'teacher', key FROM e WHERE list_contains(teachers_of, 'علي بن محمد') UNION ALL SELECT 'part', key FROM e WHERE contains(name_ar, 'جعفر') OR contains(nisba, 'جعفر')
+UNION ALL SELECT 'period', key FROM e WHERE NOT (k % 300 + 60 < 100 OR coalesce(k % 300 > 200, FALSE)) UNION ALL SELECT 'count', key FROM e WHERE coalesce(hadith_count, 0) >= 100""")
+def identified_by(t):  # M1 M2 J21
+    e = people(t).withColumns({"birth": F.col("src_ord") % 300, "death": F.col("src_ord") % 300 + 60})
+    found = [("layer", ev.by_layer(e, F.lit(5))), ("teacher", ev.by_listed(e, "narrates_from_narrators", F.lit("علي بن محمد"))), ("part", ev.by_part(e, ["name_ar", "nisba"], "جعفر")), ("period", ev.by_period(e, 100, 200)), ("count", ev.by_count(e, 100))]
+    out = [df.select(F.lit(kind).alias("evidence"), F.col("entry_key").alias("key")) for kind, df in found]
+    return out[0].union(out[1]).union(out[2]).union(out[3]).union(out[4])
+
+
+SWAPS = [("زيد", "زبد", ""), ("جابر", "حابر", "0:ج:ح"), ("سعد", "شغد", "0:س:ش,1:ع:غ"), ("علي", "علي", ""), ("محمد", "محمد بن سعد", ""), ("طلحة", "ظلحه", "0:ط:ظ,3:ة:ه")]
+
+
+@query(f"SELECT s_suppkey, {_golden_sql('s_suppkey', '', [x[2] for x in SWAPS])} AS swaps FROM supplier")
+def letter_swaps(t):  # M4
+    s = F.col("s_suppkey")
+    found = ev.letter_swaps(one([x[0] for x in SWAPS], s), one([x[1] for x in SWAPS], s))
+    return t.supplier.select("s_suppkey", F.array_join(F.transform(found, lambda x: F.concat_ws(":", x["place"].cast("string"), x["from"], x["to"])), ",").alias("swaps"))
+
+
+@query(f"""WITH x AS (SELECT chain_id, pos, name, CASE WHEN s % 7 = 0 THEN 'رجل' ELSE name END AS other FROM ({LINK}))
+SELECT chain_id, coalesce(string_agg(pos || ':' || name || '>' || other, ',' ORDER BY pos) FILTER (name <> other), '') AS diffs FROM x GROUP BY 1""")
+def version_diffs(t):  # W10 M9
+    x = _lines(t).withColumn("other", F.when(F.col("s") % 7 == 0, "رجل").otherwise(F.col("name")))
+    both = x.groupBy("chain_id").agg(F.array_sort(F.collect_list(F.struct("pos", "name", "other"))).alias("l"))
+    pick = lambda c: F.transform("l", lambda y: y[c])
+    diff = ev.version_diff(pick("name"), pick("other"))
+    return both.select("chain_id", F.array_join(F.transform(diff, lambda d: F.concat(d["place"].cast("string"), F.lit(":"), d["first"], F.lit(">"), d["second"])), ",").alias("diffs"))
+
+
+@query(f"""WITH e AS ({ENTRY_SQL}), good AS (SELECT DISTINCT {_name_sql("s_suppkey", "s_suppkey + 1")} AS n FROM supplier WHERE s_suppkey % 3 > 0),
+v AS (SELECT key, 'imam' AS kind, 3.0 AS w FROM e WHERE k % 8 = 0 UNION ALL SELECT key, 'consensus', 2.5 FROM e WHERE k % 20 = 0 UNION ALL SELECT key, 'principle', 2.0 FROM e WHERE len(list_intersect(students_of, ['محمد بن احمد'])) > 0 UNION ALL SELECT key, 'count', 1.5 FROM e WHERE hadith_count >= 100
+UNION ALL SELECT key, 'teachers', 2.0 FROM e WHERE teachers_of[1] IN (SELECT n FROM good) UNION ALL SELECT key, 'students', 1.5 FROM e WHERE students_of[1] IN (SELECT n FROM good)), s AS (SELECT key, count(DISTINCT kind) AS kinds, CAST(sum(w) AS DOUBLE) AS total FROM v GROUP BY 1)
+SELECT key AS entry_key, kinds, total, CASE WHEN total >= 10 THEN 'very strong' WHEN total >= 6 THEN 'strong' WHEN total >= 3 THEN 'moderate' WHEN total >= 1 THEN 'weak' ELSE 'insufficient' END AS label FROM s""")
+def reliability(t):  # M6 A23 N39
+    e = people(t)
+    entries = e.select("entry_key", F.col("narrates_from_narrators").alias("teachers"), F.col("narrated_from_by").alias("students"), "hadith_count")
+    s = F.col("s_suppkey")
+    statuses = t.supplier.select(F.concat(given(s), F.lit(" بن "), given(s + 1)).alias("name"), F.when(s % 3 > 0, "thiqah").otherwise("daif").alias("status"))
+    witnesses = e.where("src_ord % 8 = 0").select("entry_key", F.lit("imam").alias("kind")).union(e.where("src_ord % 20 = 0").select("entry_key", F.lit("consensus")))
+    return ev.reliability(entries, statuses, witnesses, ["محمد بن احمد"])
+
+
+@query("""SELECT l.doc_id, CASE WHEN d.doc_id IS NULL THEN 'missing' WHEN (CASE WHEN d.n_chars >= 200 THEN 1 ELSE 0 END) IS NOT DISTINCT FROM l.quality THEN 'match' ELSE 'wrong' END AS verdict,
+CASE WHEN d.doc_id IS NOT NULL AND (CASE WHEN d.n_chars >= 200 THEN 1 ELSE 0 END) IS DISTINCT FROM l.quality THEN l.quality END AS correction FROM labels l LEFT JOIN documents d ON d.doc_id = l.doc_id""")
+def validated_statuses(t):  # V1 V2 A16
+    kind = t.labels.schema["quality"].dataType
+    ours = t.documents.select("doc_id", F.when(F.col("n_chars") >= 200, 1).otherwise(0).cast(kind).alias("ours"))
+    return ev.validate(ours, t.labels, "doc_id", "ours", "quality")
+
+
+@query("""SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY 1""")
+def last_events(t):  # W8
+    return wn.keep_last(t.events, ["user_id"], ["ts", "event_id"]).select("user_id", "event_id")
+
+
+@query("SELECT doc_id, i, coalesce(array_to_string(list_filter([lead(line, 1) OVER w, lead(line, 2) OVER w], lambda x: x IS NOT NULL), '|'), '') AS ahead FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS INTEGER) AS i FROM documents) WINDOW w AS (PARTITION BY doc_id ORDER BY i)")
+def lines_ahead(t):  # X6 W7
+    lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    return mg.look_ahead(lines, "doc_id", "i", "line", 2).select("doc_id", "i", F.array_join("ahead", "|").alias("ahead"))
+
+
+@query("""WITH x AS (SELECT conv_id, turn, text FROM conversations) SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS pos, trim(text, ' ' || chr(10) || chr(9) || chr(13)) AS text FROM x WHERE trim(text, ' ' || chr(10) || chr(9) || chr(13)) <> ''""")
+def unfolded_trees(t):  # S13
+    nodes = t.conversations.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: F.struct(x["text"].alias("text"))).alias("n"))
+    return mg.unfold(nodes.select("conv_id", F.to_json("n").alias("tree")), "conv_id", "tree")
+
+
+@query("""WITH w AS (SELECT o_custkey AS g, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS o, o_orderpriority AS k FROM orders) SELECT g, o, o * 10 AS place FROM w""")
+def monotone_matches(t):  # X25
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    rows = t.orders.select(F.col("o_custkey").alias("g"), F.row_number().over(w).cast("long").alias("o"), F.col("o_orderpriority").alias("k"))
+    return mg.monotone_match(rows, rows.select("g", (F.col("o") * 10).alias("place"), "k"), "g", "o", "k", "place")
+
+
+@query("""WITH x AS (SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders) SELECT o_custkey, i, 100 + i AS repaired FROM x""")
+def repaired_numbers(t):  # W5: each fourth number is lost, the ends of a customer's rows are whole
+    w = Window.partitionBy("o_custkey")
+    x = t.orders.select("o_custkey", F.row_number().over(w.orderBy("o_orderkey")).alias("i"), F.count("*").over(w).alias("n"))
+    broken = (F.col("i") % 4 == 0) & (F.col("i") < F.col("n"))
+    x = x.withColumn("number", F.when(broken, 0).otherwise(100 + F.col("i")).cast("int"))
+    return wn.repair_numbers(x, "o_custkey", "i", "number").select("o_custkey", "i", "repaired")
