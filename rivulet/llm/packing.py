@@ -36,14 +36,14 @@ DEPTH = 8
 SWEEPS = 60
 
 _odd_space = re.compile(r"[\x1c-\x1f\x85\u180e\u200b\ufeff]")
-#: Runs of signs, which the tokenizer takes as one piece. With apostrophes its rule is another, so such texts take the way by white space.
+#: Runs of signs, which the tokenizer takes as one piece.
 _signs = re.compile(r"(?:[^\w\s]|_)+")
-#: Pieces that are remembered; the memory starts anew when they are more.
+#: Words and pieces that are remembered; the memory starts anew when they are more.
 REMEMBERED = 400_000
 
 
 class Encoder:
-    """Texts to ids as little-endian uint32. The tokenizer never joins letters, digits and signs, so each piece is encoded once and remembered."""
+    """Texts to ids as little-endian uint32. The tokenizer never joins what white space parts, nor letters, digits and signs, so each word with its signs is put together once and remembered."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -57,38 +57,42 @@ class Encoder:
     def one(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def pieces(self, text: str) -> list[str] | None:
-        """Pieces that can be encoded apart, or None if only the whole text is sure."""
+    def words(self, text: str) -> list[str] | None:
+        """What white space parts, or None if only the whole text is sure."""
         if _odd_space.search(text) or "\u03a3" in text or "\u0130" in text or "<|" in text:
             return None  # white space, lower case or special tokens might differ
-        if "'" in text:
-            return text.split()
-        return _signs.sub(r" \g<0> ", unicodedata.normalize("NFC", text).lower()).split()
+        return unicodedata.normalize("NFC", text).lower().split()
 
-    def learn(self, new: list[str]) -> None:
+    def learn(self, new: set[str]) -> None:
         if len(self.known) + len(new) > REMEMBERED:
             self.known.clear()
-        words = [w for w in new if w.isalpha()]
-        if words:  # in one call: the ends tell the words apart
-            ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
-            cut = np.flatnonzero(self.ends[ids]) + 1
-            if len(cut) == len(words) and cut[-1] == len(ids):
+        # With apostrophes the tokenizer's rule is another, so such words are encoded whole.
+        cut = {w: [w] if w.isalpha() or "'" in w else _signs.sub(r" \g<0> ", w).split() for w in new}
+        parts = set().union(*cut.values()) - self.known.keys()
+        letters = sorted(p for p in parts if p.isalpha())
+        if letters:  # in one call: the ends tell them apart
+            ids = np.array(self.tokenizer.encode(" ".join(letters), add_special_tokens=False).ids, "<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(letters) and ends[-1] == len(ids):
                 data, at = ids.tobytes(), 0
-                for w, c in zip(words, (cut * 4).tolist(), strict=True):
+                for w, c in zip(letters, (ends * 4).tolist(), strict=True):
                     self.known[w] = data[at:c]
                     at = c
-        for w in new:
+        for p in parts:
+            if p not in self.known:
+                self.known[p] = self.one(p)
+        for w, own in cut.items():
             if w not in self.known:
-                self.known[w] = self.one(w)
+                self.known[w] = b"".join(map(self.known.__getitem__, own))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        parts = [self.pieces(t) if t else [] for t in texts]
-        new = set().union(*filter(None, parts)) - self.known.keys()
+        each = [self.words(t) if t else [] for t in texts]
+        new = set().union(*filter(None, each)) - self.known.keys()
         if new:
             if len(self.known) + len(new) > REMEMBERED:
-                new = set().union(*filter(None, parts))
-            self.learn(sorted(new))
-        return [self.one(t) if p is None else b"".join(map(self.known.__getitem__, p)) for t, p in zip(texts, parts, strict=True)]
+                new = set().union(*filter(None, each))
+            self.learn(new)
+        return [self.one(t) if p is None else b"".join(map(self.known.__getitem__, p)) for t, p in zip(texts, each, strict=True)]
 
 
 @lru_cache(4)
