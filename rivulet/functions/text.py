@@ -159,6 +159,21 @@ def given_name(c: Column) -> Column:
     return F.when(F.get(ws, 0) == "عبد", F.concat_ws(" ", F.get(ws, 0), F.get(ws, 1))).otherwise(F.get(ws, 0))
 
 
+# Words that hand a report on, and words that open a section's heading.
+HANDING = ("عن", "حدثنا", "حدثني", "أخبرنا", "أخبرني", "قال", "سمعت")
+HEADINGS = ("المعمرون", "المدلس", "الضعفاء", "أصحاب", "ذوي", "الأسناد", "الأسانيد")
+
+
+def by_name(c: Column) -> Column:
+    """A by-name in its strict form, without the word that hands the report on."""
+    return strip(F.regexp_replace(normalize_strict(c), rf"^(?:{'|'.join(HANDING)})\s+", ""))
+
+
+def is_heading(c: Column) -> Column:
+    """Whether a line is the heading of a section and no person."""
+    return c.rlike(rf"[:：]|^(?:{'|'.join(HEADINGS)})")
+
+
 def word_match(a: Column, b: Column) -> Column:
     """Equal, or one begins with the other and both have three letters."""
     return (a == b) | ((F.length(a) >= 3) & (F.length(b) >= 3) & (F.startswith(a, b) | F.startswith(b, a)))

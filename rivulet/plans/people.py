@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..operators import analysis as an
 from ..operators import chain as ch
 from ..operators import evidence_rules as ev
 from ..operators import extract as ex
@@ -759,3 +760,112 @@ def repaired_numbers(t):  # W5: each fourth number is lost, the ends of a custom
     broken = (F.col("i") % 4 == 0) & (F.col("i") < F.col("n"))
     x = x.withColumn("number", F.when(broken, 0).otherwise(100 + F.col("i")).cast("int"))
     return wn.repair_numbers(x, "o_custkey", "i", "number").select("o_custkey", "i", "repaired")
+
+
+# --- Whole chains and two books
+
+
+TOLD = ["عن ابو جعفر", "حدثني أبو عليّ", "أبو الحسين", "قال ابن ابي عمير"]
+TITLED = ["أصحاب الصادق", "زيد بن علي", "باب: الالف", "الضعفاء"]
+
+
+@query(f"SELECT s_suppkey, {_golden_sql('s_suppkey', '', ['ابو جعفر', 'ابو علي', 'ابو الحسين', 'ابن ابي عمير'])} AS by_name, s_suppkey % 4 <> 1 AS heading FROM supplier")
+def by_names(t):  # N17 N21
+    s = F.col("s_suppkey")
+    return t.supplier.select("s_suppkey", tx.by_name(one(TOLD, s)).alias("by_name"), tx.is_heading(one(TITLED, s)).alias("heading"))
+
+
+ESTIMATE_SQL = f"""{INDEX_SQL},
+first_of AS (SELECT form, arg_min(e.tabaqah, e.k) AS layer FROM i JOIN e USING (entry_key) GROUP BY 1),
+votes AS (SELECT entry_key, 5 AS v, 2.0 AS w FROM e WHERE len(imams) > 0 UNION ALL SELECT entry_key, layer + 1, 1.0 FROM (SELECT entry_key, unnest(teachers_of) AS form FROM e) JOIN first_of USING (form)),
+sums AS (SELECT entry_key, v, sum(w) AS w FROM votes GROUP BY 1, 2), upto AS (SELECT *, sum(w) OVER (PARTITION BY entry_key ORDER BY v) AS u, sum(w) OVER (PARTITION BY entry_key) AS total FROM sums),
+own AS MATERIALIZED (SELECT entry_key, min(v) AS layer FROM upto WHERE u * 2 >= total GROUP BY 1)"""
+
+
+@query(f"""WITH {ESTIMATE_SQL}, q AS (SELECT DISTINCT {_name_sql("s_suppkey", "s_suppkey // 3")} AS name FROM supplier), g AS (SELECT name, name AS form FROM q UNION ALL SELECT name, CASE WHEN starts_with(name, 'ال') THEN substr(name, 3) ELSE 'ال' || name END FROM q),
+c AS (SELECT DISTINCT name, i.entry_key FROM g JOIN i USING (form)), x AS (SELECT name, layer, sum(CASE WHEN coalesce(hadith_count, 0) = 0 THEN 1 ELSE hadith_count END) AS w FROM c JOIN own USING (entry_key) JOIN e USING (entry_key) GROUP BY 1, 2),
+y AS (SELECT *, sum(w) OVER (PARTITION BY name ORDER BY layer) AS u, sum(w) OVER (PARTITION BY name) AS total FROM x) SELECT name, CAST(min(layer) AS DOUBLE) AS layer FROM y WHERE u * 2 >= total GROUP BY 1""")
+def estimated_layers(t):  # C7d A11
+    s = F.col("s_suppkey")
+    names = t.supplier.select(F.concat(given(s), F.lit(" بن "), given(div(s, 3))).alias("name"))
+    return an.estimate_layers(names, _index(t), people(t), {"الباقر": 4})
+
+
+@query(f"""WITH x AS (SELECT chain_id, pos, CASE WHEN s % 9 = 0 THEN 'عمن رواه' ELSE name END AS name, s % 12 + 1 AS layer, lead(s % 12 + 1) OVER (PARTITION BY chain_id ORDER BY pos) AS nl FROM ({LINK}))
+SELECT chain_id, pos, CASE WHEN name = 'عمن رواه' THEN 'mursal' WHEN layer - nl >= 3 THEN 'mursal' WHEN layer - nl = 2 THEN 'munqati' WHEN layer - nl <= -2 THEN 'mudal' END AS irsal_type FROM x""")
+def gap_types(t):  # C7e
+    layer = F.col("s") % 12 + 1
+    w = Window.partitionBy("chain_id").orderBy("pos")
+    name = F.when(F.col("s") % 9 == 0, "عمن رواه").otherwise(F.col("name"))
+    return _lines(t).select("chain_id", "pos", an.gap_type(name, layer, F.lead(layer).over(w)).alias("irsal_type"))
+
+
+@query()
+def analysed_chains(t):  # C7 M5: the links of a chain depend on each other in order, so tests hold it against a plain loop
+    s = F.col("s_suppkey")
+    name = lambda a, b: F.concat(given(a), F.lit(" بن "), given(b))
+    chains = t.supplier.select(s.alias("chain_id"), F.array(name(s, div(s, 3)), F.when(s % 3 == 0, "ابيه").otherwise(name(s + 1, s + 2)), F.when(s % 2 == 0, "الباقر").otherwise(name(s + 2, s))).alias("names"))
+    fixed = t.supplier.sparkSession.createDataFrame([("الباقر", "IMAM_BAQIR", 4.0)], "name string, virtual_key string, layer double")
+    entries = people(t).withColumn("grandfather", given(F.col("src_ord")))
+    return an.analyse_chains(chains, _index(t), entries, fixed, {"الباقر": 4})
+
+
+@query(f"""WITH s AS (SELECT s_suppkey AS number, {_name_sql("s_suppkey", "s_suppkey // 11")} AS n FROM supplier), m AS (SELECT CAST(c_custkey AS VARCHAR) AS key, c_custkey AS ord, CASE WHEN c_custkey % 2 = 0 THEN c_custkey // 3 END AS number, coalesce(CASE WHEN c_custkey % 2 = 0 THEN c_custkey // 3 END, c_custkey + 1) AS spot, {_name_sql("c_custkey", "c_custkey // 7")} AS m FROM customer),
+a AS (SELECT s.number, arg_min(key, (abs(spot - s.number), ord)) AS key FROM s JOIN m ON n = m GROUP BY 1),
+b AS (SELECT s.number, arg_min(key, ord) AS key FROM s JOIN m ON m.number = s.number WHERE len(list_intersect(list_filter(string_split(n, ' '), lambda w: w <> 'بن'), list_filter(string_split(m, ' '), lambda w: w <> 'بن'))) > 0 GROUP BY 1)
+SELECT s.number, coalesce(a.key, b.key) AS key FROM s LEFT JOIN a USING (number) LEFT JOIN b USING (number) WHERE coalesce(a.key, b.key) IS NOT NULL""")
+def summary_map(t):  # J8
+    s, c = F.col("s_suppkey"), F.col("c_custkey")
+    name = lambda a, b: F.concat(given(a), F.lit(" بن "), given(b))
+    main = t.customer.select(c.cast("string").alias("key"), c.alias("ord"), F.when(c % 2 == 0, div(c, 3)).alias("number"), name(c, div(c, 7)).alias("name"))
+    return an.map_summary(t.supplier.select(s.alias("number"), name(s, div(s, 11)).alias("name")), main)
+
+
+@query(f"""WITH q AS (SELECT s_suppkey AS query_id, {_name_sql("s_suppkey", "s_suppkey + 1")} AS name, unnest([s_suppkey * 9, s_suppkey * 9 + 3]) AS number FROM supplier), e AS (SELECT 'k' || c_custkey AS entry_key, c_custkey AS n, {_name_sql("c_custkey + c_custkey // 9 * 3", "c_custkey")} AS en FROM customer),
+x AS (SELECT query_id, number, entry_key, {_content_sql("name")} AS qc, {_words_sql("name")} AS aw, {_content_sql("en")} AS ec, {_words_sql("en")} AS bw FROM q JOIN e ON abs(n - number) <= 2),
+y AS (SELECT query_id, number, entry_key, CASE WHEN qc[1] = ec[1] THEN len(list_filter(aw, lambda a: len(list_filter(bw, lambda b: {MATCH})) > 0)) / len(aw) ELSE 0 END AS score FROM x),
+z AS (SELECT *, row_number() OVER (PARTITION BY query_id, number ORDER BY score DESC, entry_key DESC) AS r FROM y WHERE score > 0), b AS (SELECT *, row_number() OVER (PARTITION BY query_id, entry_key ORDER BY number) AS f FROM z WHERE r = 1 AND score >= 0.75)
+SELECT query_id, number, entry_key, round(score, 6) AS score FROM b WHERE f = 1""")
+def matched_numbers(t):  # J9
+    s, c = F.col("s_suppkey"), F.col("c_custkey")
+    name = lambda a, b: F.concat(given(a), F.lit(" بن "), given(b))
+    q = t.supplier.select(s.alias("query_id"), name(s, s + 1).alias("name"), F.explode(F.array(s * 9, s * 9 + 3)).alias("number"))
+    e = t.customer.select(F.concat(F.lit("k"), c.cast("string")).alias("entry_key"), c.alias("e_number"), name(c + div(c, 9) * 3, c).alias("e_name"))
+    return an.match_numbers(q, e).withColumn("score", F.round("score", 6))
+
+
+@query(f"""WITH q AS (SELECT s_suppkey AS query_id, [{_name_sql("s_suppkey", "s_suppkey // 3")}, {given_sql("s_suppkey + 5")}] AS qn FROM supplier), e AS (SELECT entry_key, k, [name_ar] || aliases AS en FROM ({PEOPLE})),
+w AS (SELECT query_id, entry_key, k, qn, en, len(list_intersect(flatten(list_transform(qn, lambda x: string_split(x, ' '))), flatten(list_transform(en, lambda x: string_split(x, ' '))))) AS shared FROM q, e),
+s AS (SELECT query_id, entry_key, k, shared + 5 * len(list_filter(qn, lambda x: len(list_filter(en, lambda y: contains(y, x))) > 0)) AS score FROM w WHERE shared > 0)
+SELECT query_id, entry_key, score, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, k, entry_key) AS r FROM s) WHERE r <= 25""")
+def boosted_candidates(t):  # J11
+    s = F.col("s_suppkey")
+    q = t.supplier.select(s.alias("query_id"), F.array(F.concat(given(s), F.lit(" بن "), given(div(s, 3))), given(s + 5)).alias("names"))
+    e = people(t).select("entry_key", F.col("src_ord").alias("ord"), F.concat(F.array("name_ar"), F.coalesce("aliases", F.array().cast("array<string>"))).alias("names"))
+    return an.boosted_overlap(q, e)
+
+
+@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS INTEGER) AS i FROM documents),
+p AS (SELECT *, last_value(CASE WHEN regexp_matches(line, '[0-9]') THEN regexp_extract(line, '[0-9]+') END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS page FROM l),
+f AS (SELECT doc_id, i, line, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n FROM l WHERE trim(line, ' ' || chr(9) || chr(13)) <> '')
+SELECT p.doc_id, p.i, p.page, coalesce((SELECT string_agg(f.line, '|' ORDER BY f.i) FROM f WHERE f.doc_id = p.doc_id AND f.n BETWEEN (SELECT max(n) FROM f g WHERE g.doc_id = p.doc_id AND g.i < p.i) - 2 AND (SELECT max(n) FROM f g WHERE g.doc_id = p.doc_id AND g.i < p.i)), '') AS before
+FROM p WHERE regexp_matches(p.line, 'icense')""")
+def stated_opinions(t):  # W7 X24
+    lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    page = F.when(F.col("line").rlike("[0-9]"), F.regexp_extract("line", "[0-9]+", 0))
+    return an.opinions(lines, "doc_id", "i", "line", page, F.col("line").rlike("icense")).select("doc_id", "i", "page", F.array_join("before", "|").alias("before"))
+
+
+@query("""WITH k AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem), x AS (SELECT *, lead(p) OVER (PARTITION BY s ORDER BY p) AS nx FROM k)
+SELECT s, p + i AS number, 'text ' || i AS text FROM (SELECT s, p, nx, unnest([1, 2, 3]) AS i FROM x WHERE nx > p + 1) WHERE p + i < nx""")
+def filled_gaps(t):  # X23
+    gaps = wn.gap_ranges(t.lineitem.select(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("p")), ["s"], "p")
+    found = gaps.select("s", "low", F.posexplode(F.array(*[F.lit(f"text {i}") for i in (1, 2, 3)])).alias("ord", "text"))
+    return an.fill_gaps(gaps, found, "s")
+
+
+@query(f"SELECT count(*) FILTER (k % 3 = 0) AS cleared, (SELECT count(*) FROM customer WHERE c_custkey % 3 > 0) AS kept FROM ({PEOPLE})")
+def cleared_layers(t):  # A26 P1
+    e = people(t).withColumn("tabaqah_source", F.when(F.col("src_ord") % 3 == 0, "inferred_network").otherwise("alf_rajul"))
+    cleared, counted = an.clear_inferred(e)
+    return counted.withColumn("j", F.lit(1)).join(cleared.agg(F.count("tabaqah").alias("kept")).withColumn("j", F.lit(1)), "j").drop("j")
