@@ -8,8 +8,9 @@ Columns of events: conv, turn, seq (place within the turn), kind (message, call,
 messages and results, JSON for calls).
 
 Defined results: of calls with one identifier the first counts, the others are ``duplicate``; a result without a call is ``orphan``, a
-call without a result ``unanswered``; arguments that are no JSON object or break the schema make a call ``invalid``; calls that wait
-for each other, and those that wait for such calls, are ``cycle``; null texts are JSON null; null conversations are one conversation each;
+call without a result ``unanswered``; a call without an identifier is ``invalid``; arguments that are no JSON object or break the schema make a call ``invalid``; calls that wait
+for each other, and those that wait for such calls, are ``cycle``; null texts are JSON null; rows with a null conversation are
+one conversation together;
 repeated rows stay; an empty table gives an empty result.
 """
 
@@ -132,41 +133,61 @@ def link(evs: DataFrame, schemas: dict[str, dict[str, str]]) -> DataFrame:
 
 
 # The schema of the tool that user turns call in op9's reading of the conversations.
-REPLY = {"reply": {"prompt": "string", "turn": "integer"}}
+REPLY = {"reply": {"prompt": "string", "turn": "integer", "after": "string?"}}
 
 
 def op9_chat_format(spark, sf_dir: str) -> DataFrame:
-    """The table has no tool calls, so its turns are read as ones: a user's turn calls ``reply``, the assistant's next turn is the result."""
+    """The table has no tool calls, so its turns are read as ones: a user's turn calls ``reply``, the assistant's next turn is the result.
+
+    By conversation and turn, some calls name another tool, repeat an identifier, lack an argument, have one of a wrong type or one too many, or wait for a later result.
+    """
     turns = table(spark, "conversations", sf_dir)
-    call_id = lambda t: F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-"), t.cast("string"))
-    user, answer = F.col("role") == "user", F.col("role") == "assistant"
-    arguments = F.concat(F.lit('{"turn":'), F.col("turn").cast("string"), F.lit(',"prompt":'), quoted(F.col("text")), F.lit("}"))
+    text = lambda c: c.cast("string")
+    call_id = lambda t: F.concat(F.lit("c"), text(F.col("conv_id")), F.lit("-"), text(t))
+    user, answer, k, turn = F.col("role") == "user", F.col("role") == "assistant", F.col("conv_id") + F.col("turn"), F.col("turn")
+    number = F.concat(F.lit('{"turn":'), F.when(k % 7 == 1, F.concat(F.lit('"'), text(turn), F.lit('"'))).otherwise(text(turn)))
+    prompt = F.when(k % 7 == 2, "").otherwise(F.concat(F.lit(',"prompt":'), quoted(F.col("text"))))
+    more = F.when(k % 7 == 3, ',"mood":"x"}').when(k % 7 == 4, F.concat(F.lit(',"after":"$result:'), call_id(turn + 2), F.lit('"}'))).otherwise("}")
     evs = turns.select(
         F.col("conv_id").alias("conv"),
         "turn",
         F.lit(0).alias("seq"),
         F.when(user, "call").when(answer, "result").otherwise("message").alias("kind"),
         "role",
-        F.when(user, call_id(F.col("turn"))).when(answer, call_id(F.col("turn") - 1)).alias("call_id"),
-        F.when(user, "reply").alias("name"),
-        F.when(user, arguments).otherwise(F.col("text")).alias("payload"),
+        F.when(user, call_id(F.when((k % 13 == 12) & (turn >= 2), turn - 2).otherwise(turn))).when(answer, call_id(turn - 1)).alias("call_id"),
+        F.when(user, F.when(k % 11 == 10, "nope").otherwise("reply")).alias("name"),
+        F.when(user, F.concat(number, prompt, more)).otherwise(F.col("text")).alias("payload"),
     )
     out = link(evs, REPLY)
     return out.select(F.col("conv").alias("conv_id"), "turn", "kind", "call_id", "status", F.array_join("errors", ";").alias("problems"), "order_turn", "order_depth", "json")
 
 
+# A place is turn * 1000 + depth. No call that another one waits for waits itself here, so one round of waiting is enough.
 SQL = """
 WITH e AS (
-  SELECT conv_id, turn, role, text,
+  SELECT conv_id, turn, role, text, (conv_id + turn) % 7 AS k, CAST(to_json(text) AS VARCHAR) AS quoted,
          CASE role WHEN 'user' THEN 'call' WHEN 'assistant' THEN 'result' ELSE 'message' END AS kind,
-         CASE role WHEN 'user' THEN 'c' || conv_id || '-' || turn WHEN 'assistant' THEN 'c' || conv_id || '-' || (turn - 1) END AS call_id
+         CASE role WHEN 'user' THEN 'c' || conv_id || '-' || CASE WHEN (conv_id + turn) % 13 = 12 AND turn >= 2 THEN turn - 2 ELSE turn END
+                   WHEN 'assistant' THEN 'c' || conv_id || '-' || (turn - 1) END AS call_id,
+         CASE WHEN role = 'user' THEN CASE WHEN (conv_id + turn) % 11 = 10 THEN 'nope' ELSE 'reply' END END AS name
   FROM conversations),
-c AS (SELECT conv_id, call_id FROM e WHERE kind = 'call'),
-r AS (SELECT DISTINCT conv_id, call_id FROM e WHERE kind = 'result')
-SELECT e.conv_id, e.turn, e.kind, e.call_id,
-       CASE WHEN e.kind = 'call' AND r.call_id IS NULL THEN 'unanswered' WHEN e.kind = 'result' AND c.call_id IS NULL THEN 'orphan' ELSE 'ok' END AS status,
-       '' AS problems, e.turn AS order_turn, CAST(0 AS INTEGER) AS order_depth,
-       CASE e.kind WHEN 'call' THEN '{"arguments":{"prompt":' || CAST(to_json(e.text) AS VARCHAR) || ',"turn":' || e.turn || '},"id":"' || e.call_id || '","name":"reply","type":"call"}'
-                   WHEN 'result' THEN '{"content":' || CAST(to_json(e.text) AS VARCHAR) || ',"id":"' || e.call_id || '","type":"result"}'
-                   ELSE '{"content":' || CAST(to_json(e.text) AS VARCHAR) || ',"role":"' || e.role || '","type":"message"}' END AS json
-FROM e LEFT JOIN c USING (conv_id, call_id) LEFT JOIN r USING (conv_id, call_id)"""
+l AS (
+  SELECT conv_id, call_id, min(turn) FILTER (kind = 'call') AS first, min(turn) FILTER (kind = 'result') AS answer FROM e WHERE kind <> 'message' GROUP BY 1, 2),
+n AS (SELECT DISTINCT conv_id, call_id, 'c' || conv_id || '-' || (turn + 2) AS need FROM e WHERE kind = 'call' AND k = 4),
+p AS (
+  SELECT l.conv_id, l.call_id, l.first, l.answer, greatest(l.first * 1000, coalesce(max(greatest(o.first * 1000 + 2, coalesce(o.answer, o.first) * 1000 + 1)), 0)) AS place
+  FROM l LEFT JOIN n USING (conv_id, call_id) LEFT JOIN l o ON o.conv_id = n.conv_id AND o.call_id = n.need AND o.first IS NOT NULL
+  WHERE l.first IS NOT NULL GROUP BY 1, 2, 3, 4),
+x AS (
+  SELECT e.*, p.first, p.answer, CASE WHEN kind = 'call' AND turn = p.first THEN p.place WHEN kind = 'result' AND p.first IS NOT NULL THEN greatest(turn * 1000, p.place + 1) ELSE turn * 1000 END AS place,
+         CASE WHEN kind <> 'call' THEN '' WHEN name = 'nope' THEN 'unknown tool' WHEN k = 1 THEN 'type of turn' WHEN k = 2 THEN 'missing prompt' WHEN k = 3 THEN 'unknown mood' ELSE '' END AS problems
+  FROM e LEFT JOIN p USING (conv_id, call_id))
+SELECT conv_id, turn, kind, call_id,
+       CASE WHEN kind = 'call' AND turn <> first THEN 'duplicate' WHEN problems <> '' THEN 'invalid' WHEN kind = 'call' AND answer IS NULL THEN 'unanswered' WHEN kind = 'result' AND first IS NULL THEN 'orphan' ELSE 'ok' END AS status,
+       problems, place // 1000 AS order_turn, CAST(place % 1000 AS INTEGER) AS order_depth,
+       CASE kind WHEN 'call' THEN '{"arguments":{' || CASE k WHEN 3 THEN '"mood":"x",' WHEN 4 THEN '"after":"$result:c' || conv_id || '-' || (turn + 2) || '",' ELSE '' END
+                                  || CASE k WHEN 2 THEN '' ELSE '"prompt":' || quoted || ',' END || '"turn":' || CASE k WHEN 1 THEN '"' || turn || '"' ELSE CAST(turn AS VARCHAR) END
+                                  || '},"id":"' || call_id || '","name":"' || name || '","type":"call"}'
+                 WHEN 'result' THEN '{"content":' || quoted || ',"id":"' || call_id || '","type":"result"}'
+                 ELSE '{"content":' || quoted || ',"role":"' || role || '","type":"message"}' END AS json
+FROM x"""

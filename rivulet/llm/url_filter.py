@@ -24,10 +24,14 @@ RULES = (
     ("block", "net", "/fr/"),
 )
 
-# The vocabulary. A strict term rejects alone; soft terms only together.
-STRICT = ("porn", "xxx", "sex-cams", "hentai", "casino-bonus", "spam-farm", "malware", "warez", "phishing")
-SOFT = ("adult", "bet", "bonus", "casino", "cheap", "click", "coupon", "crack", "dating", "escort", "free", "loan", "nude", "pills", "poker", "prize", "replica", "sexy", "spam", "torrent", "viagra", "win")
-SOFT_LIMIT = 2
+# The vocabulary, terms with their weights. A term of weight 1 or more is strict and rejects alone; others are soft and reject only together.
+VOCABULARY = {
+    "porn": 1.0, "xxx": 1.0, "sex-cams": 1.0, "hentai": 1.0, "casino-bonus": 1.0, "spam-farm": 1.0, "malware": 1.0, "warez": 1.0, "phishing": 1.0, "camgirls": 1.0, "keygen": 1.0, "ransomware": 1.0,
+    "adult": 0.6, "bet": 0.5, "betting": 0.6, "bonus": 0.5, "casino": 0.7, "cheap": 0.5, "click": 0.5, "coupon": 0.5, "crack": 0.7, "dating": 0.6, "escort": 0.7, "free": 0.5, "jackpot": 0.6, "loan": 0.5, "lottery": 0.6, "nude": 0.7,
+    "payday": 0.5, "pills": 0.6, "poker": 0.6, "prize": 0.5, "replica": 0.6, "sexy": 0.7, "slots": 0.6, "spam": 0.6, "torrent": 0.7, "viagra": 0.7, "win": 0.5,
+}
+#: Distinct soft terms, and their summed weight, from which a url is rejected.
+SOFT_LIMIT, SOFT_WEIGHT = 2, 1.0
 
 ADDED = T.StructType(
     [
@@ -39,11 +43,10 @@ ADDED = T.StructType(
 )
 
 
-def _automaton(strict: tuple[str, ...], soft: tuple[str, ...]) -> ahocorasick.Automaton:
+def _automaton(vocabulary: dict[str, float]) -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
-    for kind, terms in ((0, soft), (1, strict)):
-        for term in terms:
-            found.add_word(term, (kind, term))
+    for term, weight in vocabulary.items():
+        found.add_word(term, (int(weight >= 1), term, weight))
     found.make_automaton()
     return found
 
@@ -53,21 +56,21 @@ def _edge(url: str, at: int) -> bool:
     return not (0 <= at < len(url) and url[at] in "abcdefghijklmnopqrstuvwxyz0123456789")
 
 
-def count_terms(df: DataFrame, url: str = "url", strict: tuple[str, ...] = STRICT, soft: tuple[str, ...] = SOFT, strict_weight: float = 1.0, soft_weight: float = 0.5) -> DataFrame:
-    """``df`` with strict_hits, soft_hits, soft_distinct and the weight of the url (A-Z lower-cased) in one automaton pass."""
+def count_terms(df: DataFrame, url: str = "url", vocabulary: dict[str, float] = VOCABULARY) -> DataFrame:
+    """``df`` with strict_hits, soft_hits, soft_distinct and the summed weight of the url's distinct terms (A-Z lower-cased) in one automaton pass."""
     kept = [c for c in df.columns if c not in ADDED.fieldNames()]
     schema = T.StructType([df.schema[c] for c in kept] + ADDED.fields)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-        machine = _automaton(strict, soft)
+        machine = _automaton(vocabulary) if vocabulary else None
         for batch in batches:
             rows: list[tuple[int, int, int, float]] = []
             for text in batch.column(url).to_pylist():
                 low = (text or "").translate(table)
-                hits = [(kind, term) for end, (kind, term) in machine.iter(low) if _edge(low, end - len(term)) and _edge(low, end + 1)] if low else []
-                n_strict, n_soft, distinct = sum(k for k, _ in hits), sum(1 - k for k, _ in hits), len({t for k, t in hits if not k})
-                rows.append((n_strict, n_soft, distinct, n_strict * strict_weight + distinct * soft_weight))
+                hits = [h for end, h in machine.iter(low) if _edge(low, end - len(h[1])) and _edge(low, end + 1)] if low and machine else []
+                strict, distinct = sum(h[0] for h in hits), set(hits)
+                rows.append((strict, len(hits) - strict, sum(1 - h[0] for h in distinct), round(sum(h[2] for h in distinct), 6)))
             columns = list(zip(*rows, strict=True)) if rows else [()] * 4
             kinds = (pa.int32(), pa.int32(), pa.int32(), pa.float64())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *(pa.array(list(x), k) for x, k in zip(columns, kinds, strict=True))], names=[*kept, *ADDED.fieldNames()])
@@ -75,19 +78,19 @@ def count_terms(df: DataFrame, url: str = "url", strict: tuple[str, ...] = STRIC
     return df.select(*kept).mapInArrow(scan, schema)
 
 
-def judge(df: DataFrame, url: str = "url", rules: tuple[tuple[str, str, str], ...] = RULES, soft_limit: int = SOFT_LIMIT, **vocabulary) -> DataFrame:
-    """Adds host, path, rule and verdict. The longest fitting host rule decides, else the vocabulary: one strict hit or ``soft_limit`` distinct soft hits block."""
+def judge(df: DataFrame, url: str = "url", rules: tuple[tuple[str, str, str], ...] = RULES, soft_limit: int = SOFT_LIMIT, soft_weight: float = SOFT_WEIGHT, vocabulary: dict[str, float] = VOCABULARY) -> DataFrame:
+    """Adds host, path, rule and verdict. The longest fitting host rule decides, else the vocabulary: one strict hit blocks, or ``soft_limit`` distinct soft ones that weigh ``soft_weight``."""
     address = F.coalesce(F.col(url), F.lit(""))
     has = F.instr(address, "://") > 0
     rest = F.when(has, F.expr(f"substring(`{url}`, instr(`{url}`, '://') + 3)")).otherwise("")
     host = F.translate(F.regexp_extract(rest, r"^([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     path = F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
-    df = count_terms(df, url, **vocabulary).withColumns({"host": host, "path": path})
+    df = count_terms(df, url, vocabulary).withColumns({"host": host, "path": path})
     rule, action = F.lit(None).cast("string"), F.lit(None).cast("string")
     for verdict, name, start in sorted(rules, key=lambda r: len(r[1] + r[2])):  # the longest is laid over the others
         fits = ((F.col("host") == name) | F.endswith(F.col("host"), F.lit(f".{name}"))) & F.startswith(F.col("path"), F.lit(start))
         rule, action = F.when(fits, name + start).otherwise(rule), F.when(fits, verdict).otherwise(action)
-    method = F.when((F.col("strict_hits") > 0) | (F.col("soft_distinct") >= soft_limit), "block").otherwise("allow")
+    method = F.when((F.col("strict_hits") > 0) | ((F.col("soft_distinct") >= soft_limit) & (F.col("weight") >= soft_weight)), "block").otherwise("allow")
     return df.withColumns({"rule": rule, "verdict": F.coalesce(action, method)})
 
 
@@ -95,7 +98,7 @@ def op1_url_filter(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
     pages = table(spark, "pages", sf_dir).select("page_id", "url")
-    return judge(pages).select("page_id", "host", "path", "rule", "verdict", "strict_hits", "soft_distinct")
+    return judge(pages).select("page_id", "host", "path", "rule", "verdict", "strict_hits", "soft_distinct", "weight")
 
 
 def _sql() -> str:
@@ -116,13 +119,14 @@ b AS (
          regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
   FROM a),
 c AS (
-  SELECT *, CAST({" + ".join(count(t.replace("-", "--")) for t in STRICT)} AS INTEGER) AS strict_hits,
-         CAST({" + ".join(f"CAST({hit(t)} AS INTEGER)" for t in SOFT)} AS INTEGER) AS soft_distinct,
+  SELECT *, CAST({" + ".join(count(t.replace("-", "--")) for t, w in VOCABULARY.items() if w >= 1)} AS INTEGER) AS strict_hits,
+         CAST({" + ".join(f"CAST({hit(t)} AS INTEGER)" for t, w in VOCABULARY.items() if w < 1)} AS INTEGER) AS soft_distinct,
+         round({" + ".join(f"CAST({hit(t)} AS INTEGER) * {w}::DOUBLE" for t, w in VOCABULARY.items())}, 6) AS weight,
          CASE {rule} END AS rule, CASE {action} END AS action
   FROM b)
 SELECT page_id, host, path, rule,
-       coalesce(action, CASE WHEN strict_hits > 0 OR soft_distinct >= {SOFT_LIMIT} THEN 'block' ELSE 'allow' END) AS verdict,
-       strict_hits, soft_distinct
+       coalesce(action, CASE WHEN strict_hits > 0 OR (soft_distinct >= {SOFT_LIMIT} AND weight >= {SOFT_WEIGHT}) THEN 'block' ELSE 'allow' END) AS verdict,
+       strict_hits, soft_distinct, weight
 FROM c"""
 
 
