@@ -244,6 +244,15 @@ def json_of_reply(c: Column) -> Column:
     return F.when(F.try_parse_json(body).isNotNull(), body)
 
 
+#: Characters from which a segment is a report's matter, not a name.
+MATTER_LENGTH = 55
+
+
+def is_link(c: Column, speech: tuple[str, ...] = ("قال", "يقول", "قلت", "فقال")) -> Column:
+    """Whether a segment of a chain can be a name: neither as long as matter nor opened by a word of speech."""
+    return (F.length(c) <= MATTER_LENGTH) & ~normalize(c).rlike(rf"^(?:{'|'.join(speech)})(?![\p{{L}}])")
+
+
 def any_contains(df: DataFrame, columns: list[str], parts: list[str]) -> DataFrame:
     """Rows of which some column contains its part, without regard to case."""
     return df.where(reduce(lambda a, b: a | b, [F.contains(F.lower(c), F.lit(p.lower())) for c, p in zip(columns, parts, strict=True)]))

@@ -180,7 +180,6 @@ def irsal(chains: DataFrame, chain_id: str = "chain_id", segments: str = "segmen
 
 # Sects that make a reliable person a non-partisan one.
 OTHER_SECTS = ("عامي", "فطحي", "واقفي", "زيدي")
-MATN_LENGTH = 55
 
 
 def grade(resolved: DataFrame, chain_id: str = "chain_id") -> DataFrame:
@@ -188,7 +187,7 @@ def grade(resolved: DataFrame, chain_id: str = "chain_id") -> DataFrame:
 
     Segments longer than a name or that hold speech are no links (P9).
     """
-    kept = resolved.where((F.length("name") <= MATN_LENGTH) & ~tx.normalize(F.col("name")).rlike(rf"^(?:{'|'.join(SPEECH)})(?![\p{{L}}])"))
+    kept = resolved.where(tx.is_link(F.col("name"), SPEECH))
     status = F.col("status")
     sect = F.lit(False)
     for s in OTHER_SECTS:

@@ -122,7 +122,7 @@ def store_split(df: DataFrame, path: str, part: str, most_chars: int = 200) -> N
     """JSON by part, and CSV with cut texts."""
     df.write.mode("overwrite").partitionBy(part).json(f"{path}/json")
     cut = [F.substring(c, 1, most_chars).alias(c) if k == "string" else F.col(c) for c, k in df.dtypes if not k.startswith(("array", "map", "struct"))]
-    df.select(*cut).write.mode("overwrite").option("header", True).csv(f"{path}/csv")
+    df.select(*cut).write.mode("overwrite").option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(f"{path}/csv")
 
 
 def next_key(df: DataFrame, key: str) -> DataFrame:

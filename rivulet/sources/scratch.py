@@ -85,3 +85,10 @@ def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner remove the shuffle files and broadcasts of finished phases, whose frames are no longer referenced."""
     gc.collect()
     spark._jvm.System.gc()
+
+
+def scratch_path(spark: SparkSession) -> str:
+    """A new path below the shared folder for files that a caller writes; it goes at exit."""
+    path = f"{shared_folder(spark)}/rivulet-{uuid.uuid4().hex}"
+    _tables[path] = spark
+    return path
