@@ -256,6 +256,35 @@ def test_toxicity(spark, docs):
     assert toxicity.score(docs.limit(0), toxicity.Model()).count() == 0
 
 
+def test_toxicity_scores_against_plain_loops(spark):
+    import math
+    import random
+    import re
+
+    rng = random.Random(5)
+    words = ["clown", "clowns", "stupid", "stupidly", "fine", "day", "übel", "a", "stu"]
+    weights = {"clown": 2.5, "clo-": 0.5, "stup-": 1.25, "stupid": 1.0, "übel": 3.0, "fine": -1.0, "stu-": 0.25}
+    rows = [(i, "".join(rng.choice(words) + rng.choice([" ", " ", " ", ". ", "! ", "\n", "?? "]) for _ in range(rng.randrange(14)))) for i in range(60)] + [(60, None), (61, "... !"), (62, "Clown CLOWN clown")]
+
+    def plain(text):
+        keep, each = 1.0, []
+        for sentence in re.split(r"[.!?\n]", (text or "").lower()):
+            found = set(re.findall(r"\w+", sentence))
+            if found:
+                z = -3.0
+                for w in found:
+                    z += weights.get(w, 0.0) + sum(weights.get(w[:n] + "-", 0.0) for n in (3, 4, 5, 6) if len(w) > n)
+                each.append(1 / (1 + math.exp(-z)))
+                keep *= 1 - each[-1]
+        return (1 - keep if each else 0.0), each
+
+    out = {r.doc_id: r for r in toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), toxicity.Model(-3.0, weights)).collect()}
+    for i, t in rows:
+        score, each = plain(t)
+        assert abs(out[i].score - score) < 1e-9 and out[i].sentences == len(each) and len(out[i].offending) == sum(x >= 0.5 for x in each)
+        assert abs(out[i].worst_score - max(each, default=0.0)) < 1e-9
+
+
 def test_every_offending_sentence_is_listed(spark):
     text = "You are a clown! Fine words here.\nWhat a stupid clown. All is well. So stupid"
     rows = [(1, text), (2, "Fine words here."), (3, None), (4, "İ. A CLOWN")]
@@ -285,6 +314,40 @@ def test_quality(spark, docs):
     assert quality.select(docs.limit(0), labels).count() == 0
 
 
+def test_quality_tails_against_plain_loops(spark):
+    import math
+    import re
+
+    rng = np.random.default_rng(8)
+    model = quality.Model(rng.normal(0, 1, quality.DIMENSIONS + quality.SHAPES), np.array([-0.4, 0.9]))
+    rows = [(0, None), (1, ""), (2, "Good good text, with SIGNS!! and 12 words."), (3, "same same same same"), (4, "%%% ### $$$"), (5, "ÄÖ ß x" * 300)]
+
+    def plain(text):
+        text = text or ""
+        tokens = re.findall(r"\w+|[^\w\s]+", text)
+        codes = [quality._hashed(t) for t in tokens]
+        score = sum(model.weights[c] for c in codes) / (len(codes) + 20)
+        letters = max(1, len(text.replace(" ", "")))
+        shares = (sum(a == b for a, b in zip(codes, codes[1:], strict=False)) / (len(codes) - 1) if len(codes) > 1 else 0.0, sum(c.isupper() for c in text) / letters, sum(c in "!#$%&*|" for c in text) / letters * 4)
+        score += sum(model.weights[quality.DIMENSIONS + 8 * i + min(7, int(x * 8))] for i, x in enumerate(shares))
+        return [1 / (1 + math.exp(t - score)) for t in (-0.4, 0.9)]
+
+    out = {r.doc_id: r for r in quality.score(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    for i, t in rows:
+        tails = plain(t)
+        assert abs(out[i].expected_grade - sum(tails)) < 1e-6 and abs(out[i].tail_probability - tails[0]) < 1e-6
+
+
+def test_equal_texts_get_equal_results_and_ties_are_settled(spark):
+    rows = [(i, "the same plain words here. and more of them.") for i in range(4)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    model = quality.Model(np.zeros(quality.DIMENSIONS + quality.SHAPES), np.array([-0.5, 0.5]))
+    assert len({(r.expected_grade, r.tail_probability) for r in quality.score(frame, model).collect()}) == 1
+    assert len({r.score for r in toxicity.score(frame, toxicity.Model(-1.0, {})).collect()}) == 1
+    tie = language.fit([("aa aa", "x"), ("aa aa", "w")] * 3)
+    assert tie.predict(["aa"])[0][0] == "w"
+
+
 def test_upper_case_is_counted_over_the_whole_text():
     for line in ("A line of just thirty letters.", "Ä line öf jüst thirty Ǆ ǅ 𝐀 Ω."):
         text = line * 1000
