@@ -159,7 +159,7 @@ def given_name(c: Column) -> Column:
     return F.when(F.get(ws, 0) == "عبد", F.concat_ws(" ", F.get(ws, 0), F.get(ws, 1))).otherwise(F.get(ws, 0))
 
 
-# Words that hand a report on, and words that open a section's heading.
+# Words that hand a report on (those with a hamza are never met in the strict form, as in the reference data), and words that open a section's heading.
 HANDING = ("عن", "حدثنا", "حدثني", "أخبرنا", "أخبرني", "قال", "سمعت")
 HEADINGS = ("المعمرون", "المدلس", "الضعفاء", "أصحاب", "ذوي", "الأسناد", "الأسانيد")
 

@@ -68,16 +68,40 @@ def by_count(candidates: DataFrame, least: int) -> DataFrame:
 
 # Letters that copyists confuse.
 CONFUSED = {
-    "ب": "تثن", "ت": "بثن", "ث": "بتس", "ج": "حخ", "ح": "جخ", "خ": "حج", "د": "ذرز", "ذ": "دز", "ر": "دز", "ز": "ذر", "س": "شص", "ش": "سص", "ص": "سشض",
-    "ض": "صط", "ط": "ضظ", "ظ": "طع", "ع": "ظغ", "غ": "عق", "ق": "غك", "ك": "قل", "ل": "كم", "م": "لن", "ن": "مب", "ه": "ةي", "ة": "هي", "ي": "هة",
-}
+    "ب": ["ت", "ث", "ن"],
+    "ت": ["ب", "ث", "ن"],
+    "ث": ["ب", "ت", "س"],
+    "ج": ["ح", "خ"],
+    "ح": ["ج", "خ"],
+    "خ": ["ح", "ج"],
+    "د": ["ذ", "ر", "ز"],
+    "ذ": ["د", "ز"],
+    "ر": ["د", "ز"],
+    "ز": ["ذ", "ر"],
+    "س": ["ش", "ص"],
+    "ش": ["س", "ص"],
+    "ص": ["س", "ش", "ض"],
+    "ض": ["ص", "ط"],
+    "ط": ["ض", "ظ"],
+    "ظ": ["ط", "ع"],
+    "ع": ["ظ", "غ"],
+    "غ": ["ع", "ق"],
+    "ق": ["غ", "ك"],
+    "ك": ["ق", "ل"],
+    "ل": ["ك", "م"],
+    "م": ["ل", "ن"],
+    "ن": ["م", "ب"],
+    "ه": ["ة", "ي"],
+    "ة": ["ه", "ي"],
+    "ي": ["ه", "ة"],
+}
 
 
 def letter_swaps(a: Column, b: Column) -> Column:
     """(place, from, to) of letters that differ by a usual confusion, of names at most two letters apart in length (M4)."""
     chars = lambda c: F.split(tx.normalize(c), "")
     pairs = F.arrays_zip(F.filter(chars(a), lambda x: x != "").alias("x"), F.filter(chars(b), lambda x: x != "").alias("y"))
-    known = F.create_map(*[F.lit(x) for k, v in CONFUSED.items() for x in (k, v)])
+    known = F.create_map(*[F.lit(x) for k, v in CONFUSED.items() for x in (k, "".join(v))])
     rows = F.transform(pairs, lambda p, i: F.struct(i.alias("place"), p["x"].alias("from"), p["y"].alias("to")))
     close = F.abs(F.length(tx.normalize(a)) - F.length(tx.normalize(b))) <= 2
     hits = F.filter(rows, lambda r: (r["from"] != r["to"]) & F.coalesce(F.contains(F.try_element_at(known, r["from"]), r["to"]), F.lit(False)))
