@@ -75,6 +75,12 @@ def for_merge(c: Column) -> Column:
     return one_space(F.regexp_replace(F.translate(bare(F.coalesce(c, F.lit(""))), "أإآ", "ااا"), r"[\p{P}]", " "))
 
 
+def for_search(c: Column) -> Column:
+    """Letters folded and name particles gone, so that only what tells people apart is left."""
+    c = F.translate(F.regexp_replace(F.coalesce(c, F.lit("")), MARKS, ""), "أإآةى", "اااهي")
+    return one_space(F.regexp_replace(c, word("بن|ابن|أبو|ابا|ابي|ال"), ""))
+
+
 def words(c: Column) -> Column:
     """Words of a text; none of an empty one."""
     return F.filter(F.split(c, r"(?U)\s+"), lambda w: w != "")

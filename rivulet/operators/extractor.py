@@ -60,6 +60,17 @@ def extract(df: DataFrame, idx: str, text: str, fields: list[str], client: Clien
     return batches(df.select(idx, text), idx, size).groupBy("batch").applyInPandas(run, schema)
 
 
+def infer_layers(entries: DataFrame, client: Client = offline, size: int = 1) -> DataFrame:
+    """(entry_key, tabaqah, tabaqah_source): layers that a model reads from the texts of entries that have none (L6). Replies that are no layer from 1 to 12 are left out.
+
+    entries: entry_key, idx, name_ar, text, tabaqah; aliases and entries done before are the caller's to leave out.
+    """
+    asked = entries.where(F.col("tabaqah").isNull() & (F.trim(F.coalesce("text", F.lit(""))) != "")).select("entry_key", "idx", prompt([F.col("name_ar"), F.regexp_replace(F.substring("text", 1, 3000), "\\s+", " ")]).alias("q"))
+    found = extract(asked.withColumn("q", F.regexp_replace("q", "\n", ": ")), "idx", "q", ["tabaqah"], client, size)
+    layer = F.col("layer").between(1, 12)
+    return asked.join(found.where("position = 0").select("idx", F.col("tabaqah").try_cast("int").alias("layer")), "idx").where(layer).select("entry_key", F.col("layer").alias("tabaqah"), F.lit("inferred_llm").alias("tabaqah_source"))
+
+
 def entry_keys(df: DataFrame, idx: str) -> DataFrame:
     """Keys of records: the entry's number, and of fused rows a suffix by position (L3)."""
     key = F.when(F.col("position") == 0, F.col(idx).cast("string")).otherwise(F.concat(F.col(idx).cast("string"), F.lit("_overflow_"), F.col("position").cast("string")))

@@ -19,6 +19,14 @@ def gap_severity(gap: Column) -> Column:
     return F.when((gap >= 3) | (gap <= -2), "major").when((gap >= 2) | (gap <= -1), "minor")
 
 
+def gap_note(gap: Column) -> Column:
+    """A gap of layers in words (N38), null where there is none to speak of."""
+    inverted = F.concat(F.lit("طبقة مقلوبة: الشيخ أحدث من الراوي بـ "), F.abs(gap).cast("string"), F.lit(" طبقة"))
+    wide = F.concat(F.lit("فجوة "), gap.cast("string"), F.lit(" طبقات — إرسال أو سقط رواة"))
+    near = F.when(gap == -1, "فجوة طبقة واحدة عكسية — الراوي من طبقة سابقة (محتمل عند الرواة المعمّرين)").when(gap == 2, "فجوة طبقة واحدة — إرسال محتمل")
+    return F.when(gap <= -2, inverted).when(gap > 2, wide).otherwise(near)
+
+
 def last_before(df: DataFrame, by: list[str], order: list[str], value: Column, name: str) -> DataFrame:
     """Adds the last non-null value strictly before each row."""
     w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)

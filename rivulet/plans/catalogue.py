@@ -423,7 +423,7 @@ r{i} AS MATERIALIZED (SELECT key, layer FROM n{i}, d{i - 1} WHERE NOT stop UNION
 
 
 @query(f"WITH e AS MATERIALIZED ({EDGES}), d0 AS (SELECT FALSE AS stop), r0 AS MATERIALIZED (SELECT key, CAST(key % 3 + 5 AS DOUBLE) AS layer FROM ({NODES}) WHERE key % 7 = 0), {', '.join(map(_relax_sql, range(1, RELAXED + 1)))} SELECT key, round(layer, 6) AS value FROM r{RELAXED}")
-def relaxation(t):  # G9
+def relaxation(t):  # G9 A12
     e, layers = _layer_graph(t)
     return ly.relax(e, layers).select("key", F.round("value", 6).alias("value"))
 

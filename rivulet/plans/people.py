@@ -14,7 +14,7 @@ from ..operators import layers as ly
 from ..operators import merge as mg
 from ..operators import resolver as rs
 from ..operators import windows as wn
-from .catalogue import query
+from .catalogue import _round_sql, query
 
 GIVEN = ["علي", "محمد", "احمد", "الحسين", "جعفر", "زرارة", "يونس", "حماد", "سهل", "ابان", "داود"]
 PLACES = ["الكوفي", "القمي", "البصري", "الرازي", "المدني"]
@@ -869,3 +869,49 @@ def cleared_layers(t):  # A26 P1
     e = people(t).withColumn("tabaqah_source", F.when(F.col("src_ord") % 3 == 0, "inferred_network").otherwise("alf_rajul"))
     cleared, counted = an.clear_inferred(e)
     return counted.withColumn("j", F.lit(1)).join(cleared.agg(F.count("tabaqah").alias("kept")).withColumn("j", F.lit(1)), "j").drop("j")
+
+
+SOUGHT = ["أبو عليّ بن محمد", "ابن إسحاق", "فاطمة بنت موسى", "ابا ذر"]
+WANTED = ["ابو علي محمد", "اسحاق", "فاطمه بنت موسي", "ذر"]
+
+
+@query(f"SELECT s_suppkey, {_golden_sql('s_suppkey', '', WANTED)} AS form, CASE WHEN s_suppkey % 9 - 4 <= -2 THEN 'طبقة مقلوبة: الشيخ أحدث من الراوي بـ ' || abs(s_suppkey % 9 - 4) || ' طبقة' WHEN s_suppkey % 9 = 3 THEN 'فجوة طبقة واحدة عكسية — الراوي من طبقة سابقة (محتمل عند الرواة المعمّرين)' WHEN s_suppkey % 9 = 6 THEN 'فجوة طبقة واحدة — إرسال محتمل' WHEN s_suppkey % 9 > 6 THEN 'فجوة ' || (s_suppkey % 9 - 4) || ' طبقات — إرسال أو سقط رواة' END AS note FROM supplier")
+def search_forms(t):  # N5 N38
+    s = F.col("s_suppkey")
+    return t.supplier.select("s_suppkey", tx.for_search(one(SOUGHT, s)).alias("form"), wn.gap_note(s % 9 - 4).alias("note"))
+
+
+BODIES = [("كلام <b>من كبار السادسة</b> ثم <b>فصل</b>", 6, "من كبار السادسة", "senior", ""), ("فهو من صغار الخامسة", 5, "الخامسة", None, ""), ("لا شيء\nيرد بعنوان: زيد بن علي، <i>زيد</i>.\n\nثم", None, None, None, "زيد بن علي,زيد"), ("من الثانية عشرة", 12, "الثانية عشرة", None, "")]
+
+
+@query(f"SELECT s_suppkey, CAST({_golden_sql('s_suppkey', '', [b[1] for b in BODIES])} AS INTEGER) AS layer, {_golden_sql('s_suppkey', '', [b[2] for b in BODIES])} AS detail, {_golden_sql('s_suppkey', '', [b[3] for b in BODIES])} AS sub, {_golden_sql('s_suppkey', '', [b[4] for b in BODIES])} AS alt_names FROM supplier")
+def authority_entries(t):  # X21 O6
+    a = ex.authority(one([b[0] for b in BODIES], F.col("s_suppkey")))
+    return t.supplier.select("s_suppkey", a.alias("a")).select("s_suppkey", "a.layer", "a.detail", "a.sub", F.array_join("a.alt_names", ",").alias("alt_names"))
+
+
+def _three_sql(k: str) -> str:
+    return f"{given_sql(k)} || ' بن ' || {given_sql(f'({k}) // 11')} || ' بن ' || {given_sql(f'({k}) // 121')}"
+
+
+@query(f"""WITH p AS MATERIALIZED (SELECT s_suppkey AS k, {_three_sql("s_suppkey")} AS name, {_three_sql("s_suppkey + 1")} AS teacher_name FROM supplier), u AS (SELECT name, min(k) AS k FROM p GROUP BY 1 HAVING count(*) = 1),
+e AS MATERIALIZED (SELECT DISTINCT 's' || u.k AS teacher, 's' || p.k AS student FROM p JOIN u ON u.name = p.teacher_name),
+a AS MATERIALIZED (SELECT 's' || k AS key, CASE WHEN k % 13 = 0 THEN 's' || (k - 1) ELSE 's' || k END AS canonical, CASE WHEN k % 10 = 0 THEN k % 12 + 1 WHEN k % 17 = 0 THEN 5 END AS layer FROM p),
+s0 AS MATERIALIZED (SELECT key, layer FROM a WHERE key = canonical), {', '.join(map(_round_sql, range(1, 11)))}
+SELECT a.key, CAST(coalesce(o.layer, c.layer) AS INTEGER) AS layer, CASE WHEN o.layer IS NOT NULL THEN 'own' WHEN c.layer IS NOT NULL THEN 'alias' END AS source FROM a LEFT JOIN s10 o ON o.key = a.key LEFT JOIN s10 c ON c.key = a.canonical""")
+def inferred_layers(t):  # G11 G12
+    k = F.col("s_suppkey")
+    name = lambda x: F.concat(given(x), F.lit(" بن "), given(div(x, 11)), F.lit(" بن "), given(div(x, 121)))
+    empty = F.array().cast("array<string>")
+    key = F.concat(F.lit("s"), k.cast("string"))
+    e = t.supplier.select(
+        key.alias("entry_key"),
+        name(k).alias("name_ar"),
+        F.when(k % 13 == 0, F.concat(F.lit("s"), (k - 1).cast("string"))).alias("canonical_entry"),
+        F.when(k % 17 == 0, F.array(F.lit("الصادق (ع)"))).otherwise(empty).alias("narrates_from_imams"),
+        F.array(name(k + 1)).alias("narrates_from_narrators"),
+        empty.alias("narrated_from_by"),
+    )
+    seeds = t.supplier.where(k % 10 == 0).select(key.alias("key"), (k % 12 + 1).cast("int").alias("layer"))
+    titles = t.supplier.sparkSession.createDataFrame(list(TITLES.items()), "title string, layer int")
+    return mg.infer_layers(e, seeds, titles)

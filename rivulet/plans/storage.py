@@ -178,3 +178,23 @@ def link_segments(t):  # P9
     k = F.col("o_orderkey") % 3
     name = F.when(k == 0, "زرارة").when(k == 1, "فقال الرجل").otherwise("كلمة " * 12)
     return t.orders.select("o_orderkey", tx.is_link(name).alias("is_link"))
+
+
+@query("SELECT o_orderpriority || ' | ' || count(*) AS line FROM orders GROUP BY o_orderpriority")
+def stored_report(t):  # S19
+    spark = t.orders.sparkSession
+    path = scratch_path(spark)
+    rd.store_report(t.orders.groupBy("o_orderpriority").agg(F.count("*").alias("n")), path, ["o_orderpriority", "n"], ["o_orderpriority"])
+    return spark.read.text(path).withColumnRenamed("value", "line")
+
+
+def _layer_of(prompt: str) -> str:
+    """A client that stands for a model: the number of letters of each entry's last word."""
+    return json.dumps([{"tabaqah": len(line.split()[-1])} for line in prompt.splitlines() if line.startswith("# ")])
+
+
+@query("""SELECT 'n' || n_nationkey AS entry_key, CAST(length(n_name) - length(rtrim(n_name)) + length(list_last(string_split(n_name, ' '))) AS INTEGER) AS tabaqah, 'inferred_llm' AS tabaqah_source FROM nation WHERE n_nationkey % 4 > 0 AND length(list_last(string_split(n_name, ' '))) BETWEEN 1 AND 12""")
+def model_layers(t):  # L6
+    k = F.col("n_nationkey")
+    e = t.nation.select(F.concat(F.lit("n"), k.cast("string")).alias("entry_key"), k.cast("int").alias("idx"), F.lit("x").alias("name_ar"), F.concat(F.lit("a text on "), F.col("n_name")).alias("text"), F.when(k % 4 == 0, 3).alias("tabaqah"))
+    return xt.infer_layers(e, _layer_of, size=4)

@@ -125,6 +125,11 @@ def store_split(df: DataFrame, path: str, part: str, most_chars: int = 200) -> N
     df.select(*cut).write.mode("overwrite").option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(f"{path}/csv")
 
 
+def store_report(df: DataFrame, path: str, columns: list[str], order: list[str]) -> None:
+    """A report as one text file of lines, in order (S19); reports are small by their kind."""
+    df.orderBy(*order).select(F.concat_ws(" | ", *[F.col(c).cast("string") for c in columns])).coalesce(1).write.mode("overwrite").text(path)
+
+
 def next_key(df: DataFrame, key: str) -> DataFrame:
     """The next free number of a text key."""
     return df.agg((F.coalesce(F.max(F.col(key).try_cast("long")), F.lit(0)) + 1).cast("string").alias(key))
