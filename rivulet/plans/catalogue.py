@@ -92,7 +92,7 @@ def weighted_median(t):  # A11
 
 
 @query(f"SELECT o_custkey, o_orderkey, o_orderpriority, r AS rank FROM (SELECT *, {RANK_SQL} AS r, row_number() OVER (PARTITION BY o_custkey ORDER BY {RANK_SQL}, o_orderkey) AS n FROM orders) WHERE n = 1")
-def best_by_rank(t):  # A14 W8 W9
+def best_by_rank(t):  # A14
     return ag.best_by_rank(t.orders, ["o_custkey"], rank_of("o_orderpriority"), ["o_orderkey"], ["o_orderkey", "o_orderpriority"])
 
 
@@ -123,7 +123,7 @@ def numbering_audit(t):  # A18
 
 
 @query("SELECT d.source, count(*) AS docs, count(l.doc_id) AS labelled, count(CASE WHEN l.toxic = 1 THEN 1 END) AS toxic, round(avg(d.n_chars), 4) AS avg_chars FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY 1")
-def layer_coverage(t):  # A6 A19 X20
+def layer_coverage(t):  # A6 A19
     x = t.documents.join(t.labels, "doc_id", "left")
     return x.groupBy("source").agg(F.count("*").alias("docs"), F.count("quality").alias("labelled"), F.count_if(F.col("toxic") == 1).alias("toxic"), F.round(F.avg("n_chars"), 4).alias("avg_chars"))
 
@@ -136,12 +136,12 @@ def extraction_density(t):  # A17
 
 
 @query("""SELECT a.l_orderkey, count(*) AS n, count(CASE WHEN a.l_returnflag <> a.l_linestatus THEN 1 END) AS differ FROM lineitem a GROUP BY 1""")
-def match_counts(t):  # A15 A16
+def match_counts(t):  # A16
     return t.lineitem.groupBy("l_orderkey").agg(F.count("*").alias("n"), F.count_if(F.col("l_returnflag") != F.col("l_linestatus")).alias("differ"))
 
 
 @query("SELECT k, count(*) AS refs, count(DISTINCT p_partkey) AS parts FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS k FROM part) GROUP BY 1 ORDER BY refs DESC, k LIMIT 15")
-def most_ambiguous(t):  # A7 O5
+def most_ambiguous(t):  # O5
     forms = t.part.select("p_partkey", F.explode(F.split("p_name", " ")).alias("k"))
     return forms.groupBy("k").agg(F.count("*").alias("refs"), F.count_distinct("p_partkey").alias("parts")).orderBy(F.desc("refs"), "k").limit(15)
 
@@ -217,7 +217,7 @@ def token_containment(t):  # J3 X26
 @query("""WITH o AS (SELECT o_orderkey, o_custkey, o_orderdate, o_orderdate + INTERVAL 60 DAY AS o_end FROM orders),
 x AS (SELECT *, lead(o_orderkey) OVER w AS next_key, lead(o_orderdate) OVER w AS next_start FROM o WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey))
 SELECT o_orderkey, next_key, CASE WHEN next_start > o_end THEN 'impossible' WHEN date_diff('day', next_start, o_end) < 5 THEN 'tight' WHEN date_diff('day', next_start, o_end) < 10 THEN 'possible' ELSE 'certain' END AS verdict FROM x WHERE next_key IS NOT NULL""")
-def interval_overlap(t):  # J20 J21 C8
+def interval_overlap(t):  # the same kind of verdict on dates
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
     x = t.orders.select("o_orderkey", (F.col("o_orderdate") + F.expr("interval 60 days")).alias("o_end"), F.lead("o_orderkey").over(w).alias("next_key"), F.lead("o_orderdate").over(w).alias("next_start")).where("next_key is not null")
     days = F.datediff("o_end", "next_start")
@@ -318,13 +318,13 @@ def numeric_order_page(t):  # O4 P6
 
 
 @query("""SELECT page_id, CASE WHEN regexp_matches(lower(html), 'casino|viagra') THEN 'spam' WHEN regexp_matches(lower(html), 'license') THEN 'license' WHEN regexp_matches(url, '/en/') THEN 'english' ELSE 'other' END AS category FROM pages""")
-def regex_cascade(t):  # X7 X8 N34 N35
+def regex_cascade(t):  # N34
     low = F.lower("html")
     return t.pages.select("page_id", sc.cascade([(low.rlike("casino|viagra"), "spam"), (low.rlike("license"), "license"), (F.col("url").rlike("/en/"), "english")], "other").alias("category"))
 
 
 @query("""SELECT page_id, CAST(i - 1 AS INTEGER) AS i, h AS target FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS h, generate_subscripts(regexp_extract_all(html, 'href="([^"]*)"', 1), 1) AS i FROM pages)""")
-def regex_extract_all(t):  # X10 X13 X14
+def regex_extract_all(t):  # all matches of one pattern, the base of mentions
     return ex.mentions(t.pages, "page_id", "html", 'href="([^"]*)"').withColumnRenamed("value", "target")
 
 
@@ -341,7 +341,7 @@ def digits_translate(t):  # N11 N12 N13
 
 @query("""WITH f AS (SELECT p_partkey, unnest(list_distinct([p_name || ' ' || p_brand || ' ' || p_type, p_name || ' ' || p_brand, p_name || ' ' || p_type, p_name, split_part(p_name, ' ', 1) || ' ' || p_brand])) AS form FROM part)
 SELECT p_partkey, form FROM f WHERE length(form) >= 3""")
-def name_forms(t):  # N18 C1
+def name_forms(t):  # distinct forms of other names
     first = F.split_part("p_name", F.lit(" "), F.lit(1))
     forms = tx.distinct_forms([F.concat_ws(" ", "p_name", "p_brand", "p_type"), F.concat_ws(" ", "p_name", "p_brand"), F.concat_ws(" ", "p_name", "p_type"), F.col("p_name"), F.concat_ws(" ", first, "p_brand")])
     return t.part.select("p_partkey", F.explode(forms).alias("form"))
@@ -375,7 +375,7 @@ def trigram_topk(t):  # T1 T2 N28 N29
 
 @query("""WITH x AS (SELECT o_orderkey, min(o_orderkey) OVER (PARTITION BY o_custkey, o_orderpriority) AS component, count(*) OVER (PARTITION BY o_custkey, o_orderpriority) AS n FROM orders)
 SELECT o_orderkey AS node, component FROM x WHERE n > 1""")
-def connected_components(t):  # G1 G2 G5: each order is linked with the next one of its customer and priority, so paths are long
+def connected_components(t):  # G1: each order is linked with the next one of its customer and priority, so paths are long
     w = Window.partitionBy("o_custkey", "o_orderpriority").orderBy("o_orderdate", "o_orderkey")
     c = gr.components(t.orders.select(F.col("o_orderkey").alias("a"), F.lead("o_orderkey").over(w).alias("b")))
     return c.join(c.groupBy("root").agg(F.min("node").alias("component")), "root").select("node", "component")
@@ -466,7 +466,7 @@ def evidence_sum(t):  # M3 M6 N39
 
 
 @query("""SELECT l.doc_id, CASE WHEN d.doc_id IS NULL THEN 'missing' WHEN (d.n_chars >= 200) = (l.quality = 1) THEN 'match' ELSE 'wrong' END AS verdict FROM labels l LEFT JOIN documents d ON d.doc_id = l.doc_id""")
-def validation_verdicts(t):  # V1 V2 V4
+def validation_verdicts(t):  # the same verdicts by a cascade
     d = t.documents.select("doc_id", (F.col("n_chars") >= 200).alias("ours"))
     x = t.labels.join(d, "doc_id", "left")
     return x.select("doc_id", sc.cascade([(F.col("ours").isNull(), "missing"), (F.col("ours") == (F.col("quality") == 1), "match")], "wrong").alias("verdict"))
