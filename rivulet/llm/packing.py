@@ -38,8 +38,8 @@ SWEEPS = 60
 _odd_space = re.compile(r"[\x1c-\x1f\x85\u180e\u200b\ufeff]")
 #: Runs of signs, which the tokenizer takes as one piece.
 _signs = re.compile(r"(?:[^\w\s]|_)+")
-#: Words and pieces that are remembered; the memory starts anew when they are more.
-REMEMBERED = 400_000
+#: Words and pieces of one generation of the memory. When there are more, a new one begins, which takes over from the last one what it meets again.
+REMEMBERED = 250_000
 
 
 class Encoder:
@@ -50,6 +50,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that end a word
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -63,22 +64,25 @@ class Encoder:
             return None  # white space, lower case or special tokens might differ
         return unicodedata.normalize("NFC", text).lower().split()
 
+    def recalled(self, words: set[str]) -> set[str]:
+        """The words that must be learned; what the generation before knows of the others is taken over."""
+        again = words & self.before.keys()
+        self.known.update(zip(again, map(self.before.__getitem__, again), strict=True))
+        return words - again
+
     def learn(self, new: set[str]) -> None:
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
+        plain = set(filter(str.isalpha, new))
         # With apostrophes the tokenizer's rule is another, so such words are encoded whole.
-        cut = {w: [w] if w.isalpha() or "'" in w else _signs.sub(r" \g<0> ", w).split() for w in new}
-        parts = set().union(*cut.values()) - self.known.keys()
-        letters = sorted(p for p in parts if p.isalpha())
+        cut = {w: [w] if "'" in w else _signs.sub(r" \g<0> ", w).split() for w in new - plain}
+        parts = self.recalled(set().union(*cut.values()) - self.known.keys() - plain)
+        letters = [*plain, *filter(str.isalpha, parts)]
         if letters:  # in one call: the ends tell them apart
-            ids = np.array(self.tokenizer.encode(" ".join(letters), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(letters)], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) == len(letters) and ends[-1] == len(ids):
-                data, at = ids.tobytes(), 0
-                for w, c in zip(letters, (ends * 4).tolist(), strict=True):
-                    self.known[w] = data[at:c]
-                    at = c
-        for p in parts:
+                data, stop = ids.tobytes(), (ends * 4).tolist()
+                self.known.update(zip(letters, [data[a:b] for a, b in zip([0, *stop], stop, strict=False)], strict=True))
+        for p in (*plain, *parts):
             if p not in self.known:
                 self.known[p] = self.one(p)
         for w, own in cut.items():
@@ -90,8 +94,9 @@ class Encoder:
         new = set().union(*filter(None, each)) - self.known.keys()
         if new:
             if len(self.known) + len(new) > REMEMBERED:
+                self.before, self.known = self.known, {}
                 new = set().union(*filter(None, each))
-            self.learn(new)
+            self.learn(self.recalled(new))
         return [self.one(t) if p is None else b"".join(map(self.known.__getitem__, p)) for t, p in zip(texts, each, strict=True)]
 
 
