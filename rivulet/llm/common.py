@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import begin_stage, drop, release, shared_folder, written  # noqa: F401
@@ -112,11 +112,26 @@ def rows_of(batches: Iterator[pa.RecordBatch], most_chars: int = 4_000_000) -> I
                 yield batch.slice(int(a), int(b - a))
 
 
+#: Characters of all texts that a training sample may hold together; it is cut behind them, in the order of the ids' hashes.
+SAMPLE_CHARS = 100_000_000
+
+
+def bounded_sample(rows: DataFrame, id_col: str, text_col: str, most_chars: int = SAMPLE_CHARS) -> list:
+    """The rows of a sample, for the driver: of equal ids the one whose text sorts first, and no more texts than ``most_chars`` hold. Other columns are the first of their id."""
+    others = [c for c in rows.columns if c not in (id_col, text_col)]
+    once = written(rows.groupBy(id_col).agg(F.min(F.struct(F.coalesce(text_col, F.lit("")).alias(text_col), *others)).alias("r")).select(id_col, F.length(f"r.{text_col}").alias("__n"), "r.*"))
+    upto = F.sum("__n").over(Window.orderBy(F.xxhash64(id_col), id_col))  # over the sample's rows, which per-class bounds keep few
+    kept = once.select(id_col, upto.alias("__upto")).where(F.col("__upto") <= most_chars).select(id_col)
+    out = once.join(kept, id_col, "left_semi").select(*rows.columns).collect()
+    drop(once)
+    return out
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label: str | Column, per_class: int) -> tuple[list[tuple[str, int]], dict[int, float]]:
     """[(text, label)] of about ``per_class`` labelled documents of each class, chosen by hash of the id, and how many labelled documents one stands for.
 
     ``label`` is an integer column or expression of ``labels``; of several labels of a document the highest counts.
-    Classes are few; the driver receives at most about ``per_class`` texts of each.
+    Classes are few; the driver receives at most about ``per_class`` texts of each, and SAMPLE_CHARS characters together.
     """
     label = F.col(label) if isinstance(label, str) else label
     graded = labels.select(F.col(id_col).alias("__id"), label.cast("int").alias("__label")).dropna().groupBy("__id").agg(F.max("__label").alias("__label"))
@@ -128,7 +143,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
         share = F.when(F.col("__label") == k, int(min(1.0, per_class / n) * (1 << 20))).otherwise(share)
     chosen = graded.where(bucket(F.col("__id"), 1 << 20) < share)
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(chosen), "__id").select("__id", "__text", "__label")
-    rows = sorted(((r[0], r[1] or "", r[2]) for r in rows.collect()), key=lambda r: (r[0], r[1]))
+    rows = sorted((tuple(r) for r in bounded_sample(rows, "__id", "__text")), key=lambda r: (r[0], r[1]))
     got: dict[int, int] = {}
     for r in rows:
         got[r[2]] = got.get(r[2], 0) + 1

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket, crc_mod, mix64, released, rows_of, table
+from .common import bounded_sample, bucket, crc_mod, mix64, released, rows_of, table
 
 ORDER = 4
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -199,8 +199,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     share = F.lit(0)
     for lang, n in sorted(counts.items()):
         share = F.when(F.col(lang_col) == lang, int(min(1.0, per_language / n) * (1 << 20))).otherwise(share)
-    rows = known.where(bucket(F.col(id_col), 1 << 20) < share).select(id_col, text_col, lang_col).collect()
-    return fit([(r[1], r[2]) for r in sorted(rows, key=lambda r: (str(r[0]), r[1] or ""))])
+    rows = bounded_sample(known.where(bucket(F.col(id_col), 1 << 20) < share).select(id_col, text_col, lang_col), id_col, text_col)
+    return fit([(r[1], r[2]) for r in sorted(rows, key=lambda r: (str(r[0]), r[1]))])
 
 
 def predict(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
