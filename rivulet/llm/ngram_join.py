@@ -11,8 +11,8 @@ its first tokens (of which linked sets of that kind share one), so that an empty
 found in two steps:
 
 1. Each cell's members are compared with one of them, the one that shares most cells (one row a member, never all pairs of a cell).
-2. Cells whose other members are not yet all connected are joined by R-trees, in blocks of bounded size. Pairs that
-   the links of step 1 connect are skipped, for they cannot change a component.
+2. Cells whose other members are not yet all connected are joined by R-trees, in blocks of bounded size; of small cells the few pairs
+   are listed, each once however many cells show it. Pairs that the links of step 1 connect are skipped, for they cannot change a component.
 
 Pairs that survive the bound are verified on the whole sets. Copies with equal sets are one node throughout.
 
@@ -41,6 +41,8 @@ FIRST, RATIO = 10, 1.5
 SPARE = 2
 BLOCK = 512
 LEAF = 16
+#: Members of a cell, but for its hub, whose pairs are listed (28 at most); larger cells take the trees.
+SMALL = 8
 #: Rows of a task that joins blocks by trees.
 TREE_ROWS = 5000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -327,7 +329,11 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     root = components(links)
 
     # Step 2: cells with members of several components.
-    member = cells.where("others > 1").select("key", "sig").join(root.toDF("sig", "to"), "sig", "left").select("key", "sig", F.coalesce("to", "sig").alias("root")).distinct()
+    rooted = written(cells.where("others > 1").select("key", "others", "sig").join(root.toDF("sig", "to"), "sig", "left").select("key", "others", "sig", F.coalesce("to", "sig").alias("root")))
+    few = rooted.where(F.col("others") <= SMALL)
+    listed = few.select("key", F.col("sig").alias("a"), F.col("root").alias("ra")).join(few.select("key", F.col("sig").alias("b"), F.col("root").alias("rb")), "key").where("a < b and ra <> rb").select("a", "b").distinct()
+    early = written(bounded(listed, vec, percent))
+    member = rooted.where(F.col("others") > SMALL).select("key", "sig", "root").distinct()
     mixed = member.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("m"), F.bit_xor(F.xxhash64("sig")).alias("all")).where("r0 < r1")
     mixed = mixed.groupBy("m", "all").agg(F.min("key").alias("key")).select("key", "m")  # cells with the same members are one
     member = written(member.join(mixed, "key"))
@@ -339,8 +345,8 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sides = tasks.select("key", "blk", "blk2", F.explode(F.array(F.lit(0), F.lit(1))).alias("side")).withColumn("own", F.when(F.col("side") == 0, F.col("blk")).otherwise(F.col("blk2")))
     sides = sides.select("key", "own", "side", F.xxhash64("key", "blk", "blk2").alias("g"))
     rows = sides.join(member.withColumnRenamed("blk", "own"), ["key", "own"]).select("g", "side", "sig", "root").join(vec, "sig")
-    late = written(tree_pairs(rows, percent, max(spark.sparkContext.defaultParallelism, math.ceil(member.count() * 2 / TREE_ROWS))).where("a <> b").distinct())
-    drop(cells, member)
+    late = written(tree_pairs(rows, percent, max(spark.sparkContext.defaultParallelism, math.ceil(member.count() * 2 / TREE_ROWS))).where("a <> b").union(early).distinct())
+    drop(cells, member, rooted, early)
     if late.limit(1).count():
         more = verified(docs, text_col, pts, late, k, percent)
         final = components(links.union(more))
