@@ -5,8 +5,14 @@ Nothing here broadcasts by hint: Spark's own size threshold and adaptive executi
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 def band_join(left: DataFrame, right: DataFrame, left_num: str, right_num: str, width: int) -> DataFrame:
@@ -58,16 +64,67 @@ def containment_join(queries: DataFrame, forms: DataFrame, query_id: str, query_
     return met.select(F.col("__q").alias(query_id), F.col("__f").alias(form_id))
 
 
+#: Tokens and number of the queries that one scan of the candidates holds; larger query sets take several scans.
+HELD_TOKENS, HELD_QUERIES = 20_000, 500
+#: Numbers of the dense block of candidates and tokens that a task multiplies at a time.
+BLOCK_CELLS = 4_000_000
+
+
+def shared_tokens(queries: DataFrame, candidates: DataFrame, query_id: str, query_tokens: str, cand_tokens: str, least: int = 1) -> DataFrame:
+    """The candidates' other columns with ``query_id`` and ``overlap`` for each row pair that shares at least ``least`` distinct tokens.
+
+    A frequent token would pair all its queries and candidates in a join. So blocks of queries go to the tasks, which count by a product of two 0/1 matrices; only pairs leave a task.
+    """
+    hashed = lambda c: F.transform(F.array_distinct(F.coalesce(c, F.array().cast("array<string>"))), lambda x: F.xxhash64(x))
+    asked = queries.select(F.col(query_id).alias("q"), hashed(F.col(query_tokens)).alias("h")).where("size(h) > 0")
+    tokens, number = asked.agg(F.sum(F.size("h")), F.count("*")).first()
+    blocks = max(1, -(-(tokens or 0) // HELD_TOKENS), -(-number // HELD_QUERIES))
+    block = F.pmod(F.xxhash64("q", "h"), F.lit(blocks))
+    others = [c for c in candidates.columns if c != cand_tokens]
+    body = candidates.select(*others, hashed(F.col(cand_tokens)).alias("__h"))
+    q_type, spark = queries.schema[query_id].dataType, queries.sparkSession
+    schema = T.StructType([candidates.schema[c] for c in others] + [T.StructField(query_id, q_type), T.StructField("overlap", T.LongType())])
+
+    def scan(sent):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            keys, sets, vocabulary = sent.value
+            matrix = np.zeros((len(vocabulary), len(keys)), np.float32)
+            for j, own in enumerate(sets):
+                matrix[np.searchsorted(vocabulary, own), j] = 1
+            step = max(1, BLOCK_CELLS // max(1, len(vocabulary)))
+            for whole in batches:
+                for batch in (whole.slice(i, step) for i in range(0, whole.num_rows, step)):
+                    lists = batch.column(len(others))
+                    flat = lists.flatten().to_numpy(zero_copy_only=False)
+                    row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+                    at = np.minimum(np.searchsorted(vocabulary, flat), len(vocabulary) - 1)
+                    hit = vocabulary[at] == flat
+                    block = np.zeros((batch.num_rows, len(vocabulary)), np.float32)
+                    block[row[hit], at[hit]] = 1
+                    both = np.rint(block @ matrix).astype(np.int64)
+                    rows, cols = np.nonzero(both >= least)
+                    yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(rows)) for i in range(len(others))), pa.array([keys[j] for j in cols.tolist()], to_arrow_type(q_type)), pa.array(both[rows, cols])], names=[f.name for f in schema])
+
+        return run
+
+    out = None
+    for i in range(blocks):
+        rows = asked.where(block == i).collect()
+        if not rows:
+            continue
+        sets = [np.array(r[1], np.int64) for r in rows]
+        found = body.mapInArrow(scan(spark.sparkContext.broadcast(([r[0] for r in rows], sets, np.unique(np.concatenate(sets))))), schema)
+        out = found if out is None else out.union(found)
+    return spark.createDataFrame([], schema) if out is None else out
+
+
 def overlap_topk(queries: DataFrame, candidates: DataFrame, query_id: str, query_tokens: str, cand_id: str, cand_tokens: str, k: int, least: int = 1, keep: Column | None = None) -> DataFrame:
-    """The k candidates of each query that share most distinct tokens (J10, J11), ties by id; ``keep`` filters on columns of both sides."""
-    q = queries.withColumn("__t", F.explode(F.array_distinct(query_tokens)))
-    c = candidates.withColumn("__t", F.explode(F.array_distinct(cand_tokens)))
-    met = q.join(c, "__t")
+    """The k candidates of each query that share most distinct tokens (J10, J11), ties by id; ``keep`` filters on columns of both sides. Ids are unique on each side."""
+    met = shared_tokens(queries, candidates, query_id, query_tokens, cand_tokens, max(1, least))
     if keep is not None:
-        met = met.where(keep)
-    shared = met.groupBy(query_id, cand_id).agg(F.count("*").alias("overlap")).where(F.col("overlap") >= least)
+        met = met.join(queries.drop(query_tokens), query_id).where(keep)
     w = Window.partitionBy(query_id).orderBy(F.desc("overlap"), cand_id)
-    return shared.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return met.select(query_id, cand_id, "overlap").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def only_in_left(left: DataFrame, right: DataFrame, on) -> DataFrame:
