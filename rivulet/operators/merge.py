@@ -1,4 +1,4 @@
-"""Merging two sources of entries: overrides, validated identity links, clusters, merged statuses and layer pipelines."""
+"""Merging two sources of entries: overrides, validated identity links, clusters, merged statuses and layer pipelines."""
 
 from __future__ import annotations
 
@@ -117,25 +117,6 @@ def infer_layers(entries: DataFrame, seeds: DataFrame, titles: DataFrame, rounds
     return layers.to_aliases(own.select("key", "canonical"), own.select("key", "layer"))
 
 
-def monotone_match(wanted: DataFrame, headers: DataFrame, group: str, order: str, key: str, place: str) -> DataFrame:
-    """(group, order, place): each wanted key takes the first header of its key behind the last match, else the first at all (X25). The state runs through a group's rows, so a group is one task."""
-    kind = lambda df, c: df.schema[c].dataType.simpleString()
-    schema = f"{group} {kind(wanted, group)}, {order} {kind(wanted, order)}, {place} {kind(headers, place)}"
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        at = {k: sorted(v) for k, v in right.groupby(key)[place]}
-        out, last = [], None
-        for g, o, k in left.sort_values(order)[[group, order, key]].itertuples(index=False):
-            found = at.get(k)
-            if found:
-                hit = next((p for p in found if last is None or p > last), found[0])
-                out.append((g, o, hit))
-                last = hit
-        return pd.DataFrame(out, columns=[group, order, place])
-
-    return wanted.groupBy(group).cogroup(headers.groupBy(group)).applyInPandas(run, schema)
-
-
 def old_keys(entries: DataFrame) -> DataFrame:
     """One row: whether all keys that are numbers are written in Eastern digits, the older format (V3)."""
     eastern, plain = F.col("entry_key").rlike(f"[{tx.EASTERN}]"), F.col("entry_key").rlike("^[0-9]+$")

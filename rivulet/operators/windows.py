@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def neighbours(df: DataFrame, by: list[str], order: list[str], value: str) -> DataFrame:
@@ -62,32 +60,8 @@ def next_valid(df: DataFrame, by: list[str], order: list[str], valid: Column, na
     return df.withColumn(name, F.first(valid, ignorenulls=True).over(w))
 
 
-def repair_numbers(df: DataFrame, by: str, order: str, number: str, highest: int = 15617, next_highest: int = 16500, reach: int = 9) -> DataFrame:
-    """Repairs 0 and too large numbers from the repaired previous and the next valid one (W5), in the order of rows: each repair feeds the next.
-
-    With both neighbours it is previous + 1, or previous itself where the next is just that; with one neighbour it is one step from it.
-    """
-    schema = T.StructType([*df.schema.fields, T.StructField("repaired", T.LongType())])
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order, kind="stable")
-        values, out, prev = rows[number].fillna(0).astype(int).tolist(), [], None
-        for i, v in enumerate(values):
-            if v <= 0 or v > highest:
-                nxt = next((x for x in values[i + 1 : i + 1 + reach] if 0 < x <= next_highest), None)
-                if prev is not None:
-                    v = prev if nxt == prev + 1 else prev + 1
-                elif nxt is not None:
-                    v = max(1, nxt - 1)
-            out.append(v)
-            prev = v
-        return rows.assign(repaired=out)
-
-    return df.groupBy(by).applyInPandas(run, schema)
-
-
 def assemble(lines: DataFrame, file: str, line_no: str, text: str, header: Column, stop: Column | None = None) -> DataFrame:
-    """Entries of line streams (X4, X5, X9, S9): a header starts one, following lines belong to it, a stop line ends it. (file, entry, n_lines, text)."""
+    """Entries of line streams (X4, X5, X9), for many short files; ``scan.assemble`` takes files of any length. A header starts one, following lines belong to it, a stop line ends it. (file, entry, n_lines, text)."""
     w = Window.partitionBy(file).orderBy(line_no)
     marked = lines.withColumn("__h", F.coalesce(header, F.lit(False)).cast("int")).withColumn("__s", F.coalesce(stop, F.lit(False)).cast("int") if stop is not None else F.lit(0))
     marked = marked.withColumn("entry", F.sum("__h").over(w)).withColumn("__dead", F.max("__s").over(Window.partitionBy(file, "entry").orderBy(line_no)))

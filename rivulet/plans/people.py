@@ -13,6 +13,7 @@ from ..operators import extract as ex
 from ..operators import layers as ly
 from ..operators import merge as mg
 from ..operators import resolver as rs
+from ..operators import scan
 from ..operators import windows as wn
 from .catalogue import _round_sql, query
 
@@ -750,7 +751,7 @@ def unfolded_trees(t):  # S13
 def monotone_matches(t):  # X25
     w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
     rows = t.orders.select(F.col("o_custkey").alias("g"), F.row_number().over(w).cast("long").alias("o"), F.col("o_orderpriority").alias("k"))
-    return mg.monotone_match(rows, rows.select("g", (F.col("o") * 10).alias("place"), "k"), "g", "o", "k", "place")
+    return scan.monotone_match(rows, rows.select("g", (F.col("o") * 10).alias("place"), "k"), "g", "o", "k", "place")
 
 
 @query("""WITH x AS (SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders) SELECT o_custkey, i, 100 + i AS repaired FROM x""")
@@ -759,7 +760,7 @@ def repaired_numbers(t):  # W5: each fourth number is lost, the ends of a custom
     x = t.orders.select("o_custkey", F.row_number().over(w.orderBy("o_orderkey")).alias("i"), F.count("*").over(w).alias("n"))
     broken = (F.col("i") % 4 == 0) & (F.col("i") < F.col("n"))
     x = x.withColumn("number", F.when(broken, 0).otherwise(100 + F.col("i")).cast("int"))
-    return wn.repair_numbers(x, "o_custkey", "i", "number").select("o_custkey", "i", "repaired")
+    return scan.repair_numbers(x, ["o_custkey"], ["i"], "number").select("o_custkey", "i", "repaired")
 
 
 # --- Whole chains and two books

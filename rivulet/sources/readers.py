@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,9 +48,18 @@ def optional(read: Callable[[], DataFrame], spark: SparkSession, schema) -> Data
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no, line) of text files (S9), ready for ``windows.assemble``."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.split("value", "\r?\n").alias("l"))
-    return whole.select("file", F.posexplode("l").alias("line_no", "line"))
+    """(file, line_no, line) of text files (S9), numbered from 0, ready for ``scan.assemble``.
+
+    Large files are read by many tasks: lines are counted by split, and a line's number is its place in the split behind the lines of the splits before.
+    Only one row a split is moved. A last line end starts no further line.
+    """
+    split = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    rows = spark.read.text(path).select(split.alias("at"), F.monotonically_increasing_id().alias("id"), F.col("value").alias("line"))
+    counts = rows.groupBy("at").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("at.file").orderBy("at.start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    base = counts.select(F.col("at").alias("of"), (before - F.col("first")).alias("shift"))
+    numbered = rows.join(base, F.col("at") == F.col("of"))
+    return numbered.select(F.col("at.file").alias("file"), (F.col("id") + F.col("shift")).alias("line_no"), "line")
 
 
 def binary(spark: SparkSession, path: str, extract: Callable[[bytes], str]) -> DataFrame:

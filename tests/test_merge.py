@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from rivulet.operators import merge
+from rivulet.operators import merge, scan
 from rivulet.sources.readers import ENTRY
 
 
@@ -46,7 +46,7 @@ def test_overrides_and_layers(spark, people):
 def test_monotone_matching_and_trees(spark):
     wanted = spark.createDataFrame([("g", i, k) for i, k in enumerate(["a", "b", "a", "c", "a"])], "g string, o int, k string")
     headers = spark.createDataFrame([("g", p, k) for p, k in [(10, "a"), (20, "b"), (30, "a")]], "g string, p int, k string")
-    assert [tuple(r) for r in merge.monotone_match(wanted, headers, "g", "o", "k", "p").orderBy("o").collect()] == [("g", 0, 10), ("g", 1, 20), ("g", 2, 30), ("g", 4, 10)]
+    assert [tuple(r) for r in scan.monotone_match(wanted, headers, "g", "o", "k", "p").orderBy("o").collect()] == [("g", 0, 10), ("g", 1, 20), ("g", 2, 30), ("g", 4, 10)]
     tree = spark.createDataFrame([(1, '[{"text": "x", "children": [{"text": "y"}]}, {"text": " "}]'), (2, None)], "k int, t string")
     assert [tuple(r) for r in merge.unfold(tree, "k", "t").orderBy("pos").collect()] == [(1, 0, "x"), (1, 1, "y")]
     keys = spark.createDataFrame([("١",), ("x",)], "entry_key string")

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rivulet.operators import aggregates as ag
-from rivulet.operators import chain, evidence_rules, extract, extractor, graph, joins, layers, resolver, scoring, similarity, windows
+from rivulet.operators import chain, evidence_rules, extract, extractor, graph, joins, layers, resolver, scan, scoring, similarity, windows
 
 
 def rows(df):
@@ -33,9 +33,9 @@ def test_containment_and_cascade(spark):
 
 def test_islands_repair_and_assembly(spark):
     df = spark.createDataFrame([("f", i, n) for i, n in enumerate([5, 0, 7, 0, 0, 10, 99999, 0])], "f string, i int, n int")
-    assert [r.repaired for r in windows.repair_numbers(df, "f", "i", "n").orderBy("i").collect()] == [5, 6, 7, 8, 9, 10, 11, 12]
+    assert [r.repaired for r in scan.repair_numbers(df, ["f"], ["i"], "n").orderBy("i").collect()] == [5, 6, 7, 8, 9, 10, 11, 12]
     tied = spark.createDataFrame([("f", i, n) for i, n in enumerate([0, 4, 0, 5])], "f string, i int, n int")
-    assert [r.repaired for r in windows.repair_numbers(tied, "f", "i", "n").orderBy("i").collect()] == [3, 4, 4, 5]
+    assert [r.repaired for r in scan.repair_numbers(tied, ["f"], ["i"], "n").orderBy("i").collect()] == [3, 4, 4, 5]
     text = spark.createDataFrame([("f", i, x) for i, x in enumerate(["junk", "1 - A", "more", "END", "lost", "2 - B"])], "f string, i int, x string")
     got = windows.assemble(text, "f", "i", "x", F.col("x").rlike("^[0-9]+ - "), F.col("x") == "END")
     assert rows(got) == [("f", 1, 2, "1 - A\nmore"), ("f", 2, 1, "2 - B")]
