@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audio, chat_format, decontaminate, language, ngram_join, packing, quality, substring_dedup, toxicity, url_filter
+from . import audio, chat_format, decontaminate, language, mixing, ngram_join, packing, quality, spelling, substring_dedup, toxicity, url_filter, yinyang
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -15,10 +15,16 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_chat_format": chat_format.op9_chat_format,
     "op10_quality_classifier": quality.op10_quality_classifier,
+    "op11_centroid_clustering": yinyang.op11_centroid_clustering,
+    "op12_spelling_variants": spelling.op12_spelling_variants,
+    "op13_source_mixing": mixing.op13_source_mixing,
 }
 
 SQL = {
     "op1_url_filter": url_filter.SQL,
     "op6_ngram_jaccard_join": ngram_join.SQL,
     "op9_chat_format": chat_format.SQL,
+    "op11_centroid_clustering": yinyang.SQL,
+    "op12_spelling_variants": spelling.SQL,
+    "op13_source_mixing": mixing.SQL,
 }
