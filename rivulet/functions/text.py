@@ -61,7 +61,7 @@ def normalize_strict(c: Column) -> Column:
 
 def without_article(c: Column) -> Column:
     """Normalised, and the article gone from words of more than four letters."""
-    ws = F.transform(words(normalize(c)), lambda w: F.when(F.startswith(w, F.lit("ال")) & (F.length(w) > 4), F.substring(w, 3, 1000)).otherwise(w))
+    ws = F.transform(words(normalize(c)), lambda w: F.when(F.startswith(w, F.lit("ال")) & (F.length(w) > 4), F.substr(w, F.lit(3))).otherwise(w))
     return F.array_join(ws, " ")
 
 
@@ -219,7 +219,7 @@ def main_text(body: Column, full: Column, markers: tuple[str, ...]) -> Column:
     for m in reversed(markers):
         head = F.substring(full, F.lit(1), F.ceil(F.length(full) * 0.6).cast("int"))
         at = F.length(head) - F.instr(F.reverse(head), m[::-1]) - len(m) + 2
-        out = F.when(F.instr(head, m) > 0, strip(F.substring(full, at + len(m), F.lit(1_000_000)))).otherwise(out)
+        out = F.when(F.instr(head, m) > 0, strip(F.substr(full, at + len(m)))).otherwise(out)
     return F.when(F.length(body) > 20, body).otherwise(out)
 
 

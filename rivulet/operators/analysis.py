@@ -25,7 +25,7 @@ def estimate_layers(names: DataFrame, index: DataFrame, entries: DataFrame, titl
     The weighted median of a candidate's votes is its layer; the median of the candidates', weighted by their reports, is the name's.
     """
     n = names.select("name", tx.normalize(F.col("name")).alias("form")).distinct()
-    other = F.when(F.startswith("form", F.lit("ال")) & (F.length(F.split_part("form", F.lit(" "), F.lit(1))) > 2), F.substring("form", 3, 1000)).otherwise(F.concat(F.lit("ال"), "form"))
+    other = F.when(F.startswith("form", F.lit("ال")) & (F.length(F.split_part("form", F.lit(" "), F.lit(1))) > 2), F.substr("form", F.lit(3))).otherwise(F.concat(F.lit("ال"), "form"))
     asked = n.where("form <> ''").select("name", F.explode(F.array("form", other)).alias("form"))
     met = asked.join(index.select("form", "entry_key"), "form").select("name", "entry_key").distinct()
     known = entries.select("entry_key", "src_ord", "tabaqah", "hadith_count", "narrates_from_imams", "narrates_from_narrators")
@@ -61,7 +61,8 @@ def analyse_chains(chains: DataFrame, index: DataFrame, entries: DataFrame, virt
     links = written(links.withColumns({"next_layer": F.lead(F.coalesce("v_layer", "guess")).over(w), "prev_name": F.lag("name").over(w), "next_name": F.lead("name").over(w)}))
     people = entries.select("entry_key", F.col("tabaqah").alias("found"), "father", "grandfather")
     last, out = None, []
-    for p in range((links.agg(F.max("pos")).first()[0] or -1) + 1):
+    longest = links.agg(F.max("pos")).first()[0]
+    for p in range(0 if longest is None else longest + 1):
         now = links.where(F.col("pos") == p)
         if last is None:
             now = now.withColumns({"prev_layer": F.lit(None).cast("double"), "dad": F.lit(None).cast("string"), "granddad": F.lit(None).cast("string")})

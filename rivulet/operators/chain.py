@@ -228,25 +228,11 @@ def fathers(resolved: DataFrame, chain_id: str = "chain_id") -> DataFrame:
     return resolved.withColumn("__a", anchor).withColumn("asked", asked).drop("__a")
 
 
-def analyse(chains: DataFrame, step, schema: str, chain_id: str = "chain_id") -> DataFrame:
-    """The exact left fold of a chain (C7): ``step(previous layer, row) -> row`` per link, in order, chains kept apart; for rules that need the link before resolved first."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        layer, out = None, []
-        for row in rows.sort_values("pos").to_dict("records"):
-            done = step(layer, row)
-            layer = done.get("tabaqah")
-            out.append(done)
-        return pd.DataFrame(out)
-
-    return chains.groupBy(chain_id).applyInPandas(run, schema)
-
-
 KINDS = (("punct", r"[،,؛;:.]"), ("connector", "|".join(CONNECTORS)), ("speech", "|".join(SPEECH)), ("group", r"عدة\s+من\s+اصحابنا|جماعة"), ("father", "ابيه|جده|ابوه"), ("honorific", HONORIFICS))
 
 
 def tokenize(chains: DataFrame, chain_id: str, text: str) -> DataFrame:
-    """(chain_id, pos, kind, token) by a recursive-descent reading (C6): runs of words between other tokens are one name."""
+    """(chain_id, pos, kind, token) by a lexer: runs of words between other tokens are one name. ``grammar.segments`` reads chains by their grammar."""
     import re
 
     kinds = [(k, re.compile(rf"(?:{p})(?=\s|$|[،,؛;:.])" if k not in ("punct", "honorific") else p)) for k, p in KINDS]

@@ -6,11 +6,12 @@ join and one aggregate; its result is a table in the shared folder, so plans sta
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.scratch import drop, written
 from .aggregates import grouped_upper_median
+from .dictionary import longest_title
 
 LOWEST, HIGHEST = 1, 12
 SPREAD = 3
@@ -88,8 +89,9 @@ def to_aliases(aliases: DataFrame, layers: DataFrame) -> DataFrame:
 
 
 def seeds_from_references(refs: DataFrame, titles: DataFrame, key: str = "key", name: str = "name") -> DataFrame:
-    """(key, layer, confidence) from named authorities (G7): each distinct title votes its layer, high with two or more."""
-    hits = refs.join(titles, F.contains(F.col(name), F.col("title"))).withColumn("__r", F.row_number().over(Window.partitionBy(key, name).orderBy(F.desc(F.length("title")), "title"))).where("__r = 1")
+    """(key, layer, confidence) from named authorities (G7): each distinct title votes its layer, high with two or more. Of the titles in a name the longest counts."""
+    names = refs.select(F.col(name).alias("__name")).where("__name is not null").distinct()
+    hits = refs.join(longest_title(names.withColumn("__text", F.col("__name")), "__name", "__text", titles), F.col(name) == F.col("__name"))
     each = hits.select(key, F.col("layer").alias("vote"), "title").distinct()
     median = grouped_upper_median(each, [key], "vote")
     n = each.groupBy(key).agg(F.count_distinct("title").alias("n"))

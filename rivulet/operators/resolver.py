@@ -39,7 +39,7 @@ def build_index(entries: DataFrame, canonical: DataFrame | None = None) -> DataF
 
 
 def _toggle(w: Column) -> Column:
-    return F.when(F.startswith(w, F.lit("ال")), F.substring(w, 3, 1000)).otherwise(F.concat(F.lit("ال"), w))
+    return F.when(F.startswith(w, F.lit("ال")), F.substr(w, F.lit(3))).otherwise(F.concat(F.lit("ال"), w))
 
 
 def variants(name: Column) -> Column:
@@ -47,9 +47,9 @@ def variants(name: Column) -> Column:
     ws = tx.words(name)
     n = F.size(ws)
     join = lambda a: F.array_join(a, " ")
-    first = F.when(n >= 1, join(F.concat(F.array(_toggle(F.get(ws, 0))), F.slice(ws, 2, 1000))))
+    first = F.when(n >= 1, join(F.concat(F.array(_toggle(F.get(ws, 0))), F.slice(ws, 2, F.greatest(n, F.lit(1))))))
     son = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.when(F.get(ws, i - 1).isin("بن", "ابن") & (i < n), join(F.transform(ws, lambda w, j: F.when(j == i, _toggle(w)).otherwise(w)))))
-    head = F.when((n >= 3) & F.get(ws, 0).isin(*KUNYA_HEADS), join(F.slice(ws, 3, 1000)))
+    head = F.when((n >= 3) & F.get(ws, 0).isin(*KUNYA_HEADS), join(F.slice(ws, 3, F.greatest(n, F.lit(1)))))
     tail = F.when(n >= 3, join(F.slice(ws, F.lit(1), F.greatest(n - 1, F.lit(1)))))
     pairs = lambda kind, arr: F.transform(F.filter(arr, lambda x: x.isNotNull()), lambda x: F.struct(F.lit(kind).alias("source"), x.alias("form")))
     return F.concat(pairs(1, F.array(name)), pairs(2, F.array(first)), pairs(3, son), pairs(4, F.array(head)), pairs(6, F.array(tail)))

@@ -269,5 +269,7 @@ def test_analysed_chains(spark):
     assert got[2, 0][2] is None and got[2, 1][4] == "mursal" and got[2, 2][0] is None and len(out) == 7
     # Behind layer 6 and before nobody of known layer: 4 to 6; behind layer 5 and before the authority of layer 4: 4 to 5.
     assert (out[1, 1].low, out[1, 1].high) == (4.0, 6.0) and (out[1, 2].low, out[1, 2].high) == (4.0, 5.0)
+    lone = {r.chain_id: r.entry_key for r in analysis.analyse_chains(chains.select("chain_id", F.slice("names", 1, 1).alias("names")), index, entries, fixed, {"الباقر": 4}).collect()}
+    assert lone[1] == "1"  # a chain of one link is resolved as any other
     guess = {r.name: r.layer for r in analysis.estimate_layers(chains.select(F.explode("names").alias("name")), index, entries, {"الباقر": 4}).collect()}
     assert guess == {"بكر بن صالح": 6.0}
