@@ -112,18 +112,27 @@ def rows_of(batches: Iterator[pa.RecordBatch], most_chars: int = 4_000_000) -> I
                 yield batch.slice(int(a), int(b - a))
 
 
-#: Characters of all texts that a training sample may hold together; it is cut behind them, in the order of the ids' hashes.
+#: Characters of all texts that a training sample may hold together, shared equally by its classes.
 SAMPLE_CHARS = 100_000_000
+#: Ids of a sample up to which it is broadcast.
+SENT = 200_000
 
 
-def bounded_sample(rows: DataFrame, id_col: str, text_col: str, most_chars: int = SAMPLE_CHARS) -> list:
-    """The rows of a sample, for the driver: of equal ids the one whose text sorts first, and no more texts than ``most_chars`` hold. Other columns are the first of their id."""
+def bounded_sample(rows: DataFrame, id_col: str, text_col: str, class_col: str, most_chars: int = SAMPLE_CHARS) -> list:
+    """The rows of a sample, for the driver: of equal ids the one whose text sorts first, and of each class no more texts than its share of ``most_chars`` holds, shorter ones first.
+
+    So one very long text leaves only itself out. A class of which no text fits is an error.
+    """
     others = [c for c in rows.columns if c not in (id_col, text_col)]
     once = written(rows.groupBy(id_col).agg(F.min(F.struct(F.coalesce(text_col, F.lit("")).alias(text_col), *others)).alias("r")).select(id_col, F.length(f"r.{text_col}").alias("__n"), "r.*"))
-    upto = F.sum("__n").over(Window.orderBy(F.xxhash64(id_col), id_col))  # over the sample's rows, which per-class bounds keep few
-    kept = once.select(id_col, upto.alias("__upto")).where(F.col("__upto") <= most_chars).select(id_col)
-    out = once.join(kept, id_col, "left_semi").select(*rows.columns).collect()
+    upto = F.sum("__n").over(Window.partitionBy(class_col).orderBy("__n", F.xxhash64(id_col), id_col))  # over the sample's rows, which per-class bounds keep few
+    fits = once.select(id_col, class_col, upto.alias("__upto"))
+    classes = {r[0] for r in once.select(class_col).distinct().collect()}
+    kept = fits.where(F.col("__upto") <= most_chars // max(1, len(classes)))
+    out = once.join(kept.select(id_col), id_col, "left_semi").select(*rows.columns).collect()
     drop(once)
+    if lacking := classes - {r[class_col] for r in out}:
+        raise ValueError(f"no text of these classes fits into {most_chars} characters: {sorted(lacking, key=str)}")
     return out
 
 
@@ -142,8 +151,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     for k, n in counts.items():
         share = F.when(F.col("__label") == k, int(min(1.0, per_class / n) * (1 << 20))).otherwise(share)
     chosen = graded.where(bucket(F.col("__id"), 1 << 20) < share)
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(chosen), "__id").select("__id", "__text", "__label")
-    rows = sorted((tuple(r) for r in bounded_sample(rows, "__id", "__text")), key=lambda r: (r[0], r[1]))
+    expected = sum(min(per_class, n) for n in counts.values())
+    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(chosen) if expected <= SENT else chosen, "__id").select("__id", "__text", "__label")
+    rows = sorted((tuple(r) for r in bounded_sample(rows, "__id", "__text", "__label")), key=lambda r: (r[0], r[1]))
     got: dict[int, int] = {}
     for r in rows:
         got[r[2]] = got.get(r[2], 0) + 1

@@ -193,13 +193,13 @@ def fit(rows: list[tuple[str, str]]) -> Models:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Models:
-    """Models of a bounded, deterministic sample of the documents with a language, chosen by hash of the id."""
+    """Models of a bounded, deterministic sample of the documents with a language, chosen by hash of the id. Languages are few: each has a model, and the driver holds all of them."""
     known = docs.where(F.col(lang_col).isNotNull())
     counts = {r[0]: r[1] for r in known.groupBy(lang_col).count().collect()}
     share = F.lit(0)
     for lang, n in sorted(counts.items()):
         share = F.when(F.col(lang_col) == lang, int(min(1.0, per_language / n) * (1 << 20))).otherwise(share)
-    rows = bounded_sample(known.where(bucket(F.col(id_col), 1 << 20) < share).select(id_col, text_col, lang_col), id_col, text_col)
+    rows = bounded_sample(known.where(bucket(F.col(id_col), 1 << 20) < share).select(id_col, text_col, lang_col), id_col, text_col, lang_col)
     return fit([(r[1], r[2]) for r in sorted(rows, key=lambda r: (str(r[0]), r[1]))])
 
 

@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
@@ -311,8 +311,8 @@ def verified(docs: DataFrame, text_col: str, pts: DataFrame, pairs: DataFrame, k
     return links
 
 
-def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """(id, n_shingles, component_id) of every row; component_id is the smallest id that links of Jaccard >= percent/100 reach."""
+def _rooted(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
+    """(id, th, n, root) of every row, stored: rows of one root are reached by links of Jaccard >= percent/100; those without shingles have none."""
     spark = docs.sparkSession
     if not 50 <= percent <= 99:
         raise ValueError("percent must lie between 50 and 99")
@@ -354,22 +354,40 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         root = final
     drop(star, late, vec)
 
-    # Rows are joined to roots and these to their least ids on tables, so that Spark can split the rows of a large group.
-    linked = written(pts.select("id", "n", "sig").join(root.toDF("sig", "to"), "sig", "left").select("id", "n", F.coalesce("to", "sig").alias("root")))
-    least = written(linked.where("root is not null").groupBy("root").agg(F.min("id").alias("component_id")))
+    # Rows are joined to roots on tables, so that Spark can split the rows of a large group.
+    linked = written(pts.select("id", "th", "n", "sig").join(root.toDF("sig", "to"), "sig", "left").select("id", "th", "n", F.coalesce("to", "sig").alias("root")))
     drop(pts, root, links)
+    return linked
+
+
+def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+    """(id, n_shingles, component_id) of every row; component_id is the smallest id that links of Jaccard >= percent/100 reach."""
+    linked = _rooted(docs, id_col, text_col, k, percent)
+    least = written(linked.where("root is not null").groupBy("root").agg(F.min("id").alias("component_id")))
     own = linked.where("root is null").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
     found = linked.where("root is not null").join(least, "root").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
     return found.union(own)
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each group of near copies: the one with the smallest id (rows that repeat it stay one)."""
-    groups = jaccard_groups(docs, id_col, text_col, k, percent)
-    lost = groups.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__id")).distinct()
-    left = docs.join(lost, docs[id_col] == lost["__id"], "left_anti")
-    once = Window.partitionBy(id_col, F.xxhash64(text_col)).orderBy(F.lit(1))
-    return left.withColumn("__n", F.row_number().over(once)).where("__n = 1").drop("__n")
+    """``docs`` with one row of each group of near copies: that of the smallest id, nulls last, and of rows with one id that of the smallest text hash.
+
+    Ids need not be unique: rows are told apart by id and text, so an unrelated row with the id of a copy stays. Rows that agree in both are copies, of which one stays, whatever
+    their other columns hold. Rows without words are no copies of anything and all stay.
+    """
+    linked = _rooted(docs, id_col, text_col, k, percent).where("root is not null")
+    who = F.struct(F.col("id").isNull().alias("none"), "id", "th")
+    best = written(linked.groupBy("root").agg(F.min(who).alias("first")))
+    # Of each group the first row is looked for; of that row's id and text one row may stay, of the others none.
+    fate = linked.join(best, "root").groupBy("id", "th").agg(F.bool_and((F.col("th") == F.col("first.th")) & F.col("id").eqNullSafe(F.col("first.id"))).alias("stays"), F.count("*").alias("n"))
+    fate = written(fate.where("not stays or n > 1").select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("stays").alias("__stays")))
+    of = docs[id_col].eqNullSafe(fate["__id"]) & (F.xxhash64(docs[text_col]) == fate["__th"])
+    words = F.coalesce(docs[text_col].rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    left = docs.join(fate, of & words, "left_anti")
+    if not fate.where("__stays").limit(1).count():
+        return left
+    several = docs.join(fate.where("__stays"), of & words).drop("__id", "__stays").dropDuplicates([id_col, "__th"])
+    return left.unionByName(several.select(*docs.columns))
 
 
 def op6_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

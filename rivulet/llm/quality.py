@@ -135,9 +135,12 @@ def grade_of(quality: str = "quality", toxic: str = "toxic") -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", grade: Column | None = None, per_grade: int = PER_GRADE) -> Model:
-    """A model of a bounded, deterministic sample of the rated documents."""
+    """A model of a bounded, deterministic sample of the rated documents. Grades count from 0; there are as many as the highest asks for, three at least."""
     rows, shares = labelled_sample(docs, labels, id_col, text_col, grade_of() if grade is None else grade, per_grade)
-    return fit([r[0] for r in rows], np.array([r[1] for r in rows], int), shares)
+    grades = np.array([r[1] for r in rows], int)
+    if grades.min(initial=0) < 0:
+        raise ValueError("grades count from 0")
+    return fit([r[0] for r in rows], grades, shares, max(3, int(grades.max(initial=0)) + 1))
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", grade_col: str = "expected_grade", tail_col: str = "tail_probability") -> DataFrame:

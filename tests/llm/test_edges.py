@@ -34,6 +34,15 @@ def test_url_filter(spark):
     assert url_filter.judge(frame).count() == len(rows) and url_filter.judge(frame.limit(0)).count() == 0
 
 
+def test_url_weights_decide(spark):
+    frame = spark.createDataFrame([(1, "http://x.org/free-click"), (2, "http://x.org/poker-casino"), (3, "http://x.org/free-click-cheap-win"), (4, "http://x.org/poker-poker")], "page_id long, url string")
+    got = {r.page_id: (r.soft_distinct, r.verdict) for r in url_filter.judge(frame).collect()}
+    assert got == {1: (2, "allow"), 2: (2, "block"), 3: (4, "block"), 4: (1, "allow")}
+    terms = spark.createDataFrame([("Free", 0.6), ("free", 0.2), ("click", 0.5), ("", 1.0), (None, 1.0), ("river", None)], "term string, weight double")
+    own = url_filter.vocabulary_of(terms)
+    assert own == {"free": 0.6, "click": 0.5} and [r.verdict for r in url_filter.judge(frame, vocabulary=own).orderBy("page_id").collect()] == ["block", "allow", "block", "allow"]
+
+
 def test_substring_dedup(docs):
     out = [(r.doc_id, r.text, r.removed) for r in substring_dedup.dedup(docs).collect()]
     assert len(out) == len(ROWS) and (2, None, 0) in out and (3, "", 0) in out and (4, " \n\t ", 0) in out
@@ -171,6 +180,56 @@ def test_jaccard_edges(docs):
     assert sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == [1, 2, 3, 4, 5, 6, 7] and kept.columns == docs.columns
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_one_row_of_each_group_stays_with_any_ids(spark, seed):
+    rng = np.random.default_rng(seed)
+    base = [" ".join(rng.choice(WORDS, 40)) for _ in range(6)]
+    texts = [None, "", " "] + [f"{b} {x}" for b in base for x in ("one", "two", "one")] + [" ".join(rng.choice(WORDS, 30)) for _ in range(5)]
+    rows = [(None if x == 0 else int(x), texts[int(t)]) for x, t in zip(rng.integers(0, 6, 60), rng.integers(0, len(texts), 60), strict=True)]
+    got = [tuple(r) for r in ngram_join.keep_first(spark.createDataFrame(rows, "doc_id long, text string"), k=3, percent=80).collect()]
+    numbered = [(i, t) for i, (_, t) in enumerate(rows)]  # with ids of their own the groups are known
+    group = {i: c for i, _, c in brute_force_groups(numbered, 3, 80)}
+    wordless = [r for r in rows if not (r[1] or "").split()]
+    assert sorted((r for r in got if not (r[1] or "").split()), key=repr) == sorted(wordless, key=repr)
+    stays = {}
+    for i, r in enumerate(rows):
+        if (r[1] or "").split():
+            stays.setdefault(group[i], []).append(r)
+    found = [r for r in got if (r[1] or "").split()]
+    assert len(found) == len(stays)
+    for members in stays.values():
+        own = [r for r in found if r in members]
+        assert len(own) == 1 and (own[0][0] is None, own[0][0] or 0) == min((i is None, i or 0) for i, _ in members)
+
+
+def test_unrelated_rows_with_the_id_of_a_copy_stay(spark):
+    a, b = " ".join(WORDS), " ".join(reversed(WORDS))
+    rows = [(1, a), (2, a + " more"), (2, b)]
+    assert sorted(tuple(r) for r in ngram_join.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == [(1, a), (2, b)]
+
+
+def test_samples_leave_out_only_what_does_not_fit(spark):
+    from rivulet.llm.common import bounded_sample
+
+    rows = [(i, "x" * 20, i % 2) for i in range(20)] + [(99, "y" * 2000, 0)]
+    frame = spark.createDataFrame(rows, "i long, t string, c int")
+    assert sorted(r.i for r in bounded_sample(frame, "i", "t", "c", 1500)) == list(range(20))
+    with pytest.raises(ValueError, match="no text"):
+        bounded_sample(frame.where("i >= 99 or c = 1"), "i", "t", "c", 1500)
+
+
+def test_grades_beyond_three(spark):
+    rows = [(i, f"{WORDS[i % 5]} " * 30) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 5 as int) as g")
+    model = quality.train(docs, labels, grade=F.col("g"))
+    assert len(model.thresholds) == 4 and (np.diff(model.thresholds) > 0).all()
+    out = {r.doc_id: r.expected_grade for r in quality.score(docs, model).collect()}
+    assert out[4] > out[2] > out[0]
+    with pytest.raises(ValueError, match="count from 0"):
+        quality.train(docs, labels, grade=F.col("g") - 1)
+
+
 @pytest.mark.parametrize(("k", "percent"), [(1, 80), (3, 90)])
 def test_jaccard_against_brute_force(spark, k, percent):
     import random
