@@ -11,7 +11,7 @@ from ..operators import probe as pb
 from ..operators import recovery as rc
 from ..operators import scribal as sb
 from .catalogue import query
-from .people import LINK, _content_sql, _lines, _name_sql, div, given, given_sql, people
+from .people import LINK, _lines, _name_sql, div, given, given_sql
 
 JOINTS = [" عن ", "، حدثنا ", " قال حدثني ", " بإسناده عن "]
 #: Told, kind and segment by the supplier's number; a null stands for the link's name.
