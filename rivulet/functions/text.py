@@ -244,10 +244,14 @@ def plausible_year(c: Column) -> Column:
 
 
 def json_of_reply(c: Column) -> Column:
-    """The JSON object or array of a model's reply, without thoughts and code fences (N41); null if it does not parse."""
+    """The JSON object or array of a model's reply, without thoughts and code fences and with what follows it peeled off (N41); null if nothing parses."""
     c = F.regexp_replace(F.regexp_replace(c, r"(?s)<think>.*?</think>", ""), r"```(?:json)?", "")
-    body = F.regexp_extract(c, r"(?s)([\[{].*[\]}])", 1)
-    return F.when(F.try_parse_json(body).isNotNull(), body)
+    pieces = F.regexp_extract_all(F.regexp_extract(c, r"(?s)([\[{].*)", 1), F.lit(r"(?s)([^\]}]*[\]}])"), F.lit(1))
+    # The text up to each closing bracket, longest first.
+    upto = lambda p: F.transform(F.sequence(F.size(p), F.lit(1), F.lit(-1)), lambda i: F.array_join(F.slice(p, F.lit(1), i), ""))
+    # Spark's parser stops behind the first value, so the text must also be one item of an array and one value of an object.
+    whole = lambda x: F.try_parse_json(F.concat(F.lit("["), x, F.lit(",0]"))).isNotNull() & F.try_parse_json(F.concat(F.lit('{"a":'), x, F.lit(',"b":0}'))).isNotNull()
+    return bound(pieces, lambda p: F.when(F.size(p) > 0, F.get(F.filter(upto(p), whole), 0)))
 
 
 #: Characters from which a segment is a report's matter, not a name.

@@ -282,80 +282,7 @@ def grade_confusion(t):  # N35 A15 V4
     return ev.confusion(pairs, "ours", "theirs").withColumn("share", F.round("share", 6))
 
 
-# --- Extraction. The texts are fixed, so the SQL states what each of them must give.
-
-
-def _golden_sql(key: str, table: str, values: list) -> str:
-    """key and the expected value, by the place of the text."""
-    cases = " ".join(f"WHEN {i} THEN {'NULL' if v is None else v if isinstance(v, (int, float)) else repr(v)}" for i, v in enumerate(values))
-    return f"CASE {key} % {len(values)} {cases} END"
-
-
-VERDICTS = [
-    ("كان ثقة عين في الحديث", "thiqah"), ("رجل - ثقة - له كتاب", "thiqah"), ("لم تثبت وثاقته وهو ثقة", "unspecified"), ("متحد مع زيد بن علي الثقة الآتي", "thiqah"), ("ضعيف جدا", "daif"),
-    ("في طريق الصدوق اليه ضعيف ", "unspecified"), ("رجل ضعيف .", "daif"), ("هو موثق", "muwaththaq"), ("جليل القدر", "mamduh"), ("من الحسان", "hasan"), ("حاله - حسن .", "hasan"), ("كناه أبو حسن ", "unspecified"),
-    ("مجهول الحال", "majhul"), ("له كتاب", "unspecified"), ("روى في تفسير القمي فهو ثقة", "thiqah"), ("ممدوح", "mamduh"),
-]
-
-
-@query(f"SELECT c_custkey, {_golden_sql('c_custkey', 'customer', [v for _, v in VERDICTS])} AS verdict FROM customer")
-def entry_verdicts(t):  # X7 X8
-    return t.customer.select("c_custkey", ex.verdict(one([x for x, _ in VERDICTS], F.col("c_custkey"))).alias("verdict"))
-
-
-FACTS = [
-    ("له كتاب روى ٢٥ رواية في الكافي", True, 25, None, "الكافي"), ("طريق الصدوق اليه صحيح وله أصل", True, None, "sahih", ""), ("طريقه. ضعيف من لا يحضره الفقيه والتهذيب", False, None, None, "التهذيب,الفقيه"),
-    ("طريق الشيخ اليه ضعيف، روى 0 رواية", False, None, "daif", ""), ("كامل الزيارات وتفسير القمي", False, None, None, "كامل الزيارات,تفسير القمي"),
-]
-LINES = [
-    ("1 - محمد بن علي بن الحسين", "علي", "الحسين"), ("2 - زيد بن عمر بن سعد: كوفي", None, "سعد"), ("3 - احمد بن محمد بن عيسى", "خالد", None), ("4 - بلا نسب", None, None), ("5 - سعد بن عبد الله بن ابي خلف.", "عبد الله", "ابي خلف"),
-]
-TALKS = [
-    ("روى عن زرارة بن اعين ومحمد بن مسلم. وروى عنه حماد", "زرارة بن اعين,محمد بن مسلم", "", "حماد"), ("روى عن الباقر في الكافي", "", "الباقر", ""), ("وروى عنه يونس والرضا، ثم مات", "", "", "يونس"),
-    ("روى عن الكشي", "", "", ""), ("روى عن ابان عن جعفر", "ابان", "", ""),
-]
-
-
-@query(f"""SELECT p_partkey, {_golden_sql("p_partkey", "part", [str(f[1]).lower() for f in FACTS])}::BOOLEAN AS has_book, CAST({_golden_sql("p_partkey", "part", [f[2] for f in FACTS])} AS INTEGER) AS hadith_count, {_golden_sql("p_partkey", "part", [f[3] for f in FACTS])} AS tariq_status, {_golden_sql("p_partkey", "part", [f[4] for f in FACTS])} AS books,
-{_golden_sql("p_partkey", "part", [x[2] for x in LINES])} AS grandfather, {_golden_sql("p_partkey", "part", [x[1] for x in TALKS])} AS teachers, {_golden_sql("p_partkey", "part", [x[2] for x in TALKS])} AS authorities, {_golden_sql("p_partkey", "part", [x[3] for x in TALKS])} AS students FROM part""")
-def entry_facts(t):  # X12 X13 X14
-    k = F.col("p_partkey")
-    joined = lambda c: F.array_join(c, ",")
-    x = t.part.select("p_partkey", ex.facts(one([f[0] for f in FACTS], k)).alias("f"), ex.connections(one([f[0] for f in TALKS], k)).alias("c"), ex.grandfather(one([f[0] for f in LINES], k), one([f[1] or "" for f in LINES], k)).alias("grandfather"))
-    return x.select("p_partkey", "f.has_book", "f.hadith_count", "f.tariq_status", joined(F.col("f.books")).alias("books"), "grandfather", *[joined(F.col(f"c.{n}")).alias(n) for n in ("teachers", "authorities", "students")])
-
-
-REFERENCES = [
-    ("متحد مع زيد بن علي الثقة الآتي 77", [(77, "identical", "زيد بن علي", "thiqah")]), ("تقدم في احمد المجهول 12 والمتقدم 5", [(12, "cross_ref", "احمد", "majhul"), (5, "reference", None, None)]),
-    ("متحد مع لاحقه الضعيف", [(1, "identical", None, "daif")]), ("متحد مع سابقه", [(-1, "identical", None, None)]), ("لا شيء", []), ("الآتي ٣٤ والمتقدم 34", [(34, "reference", None, None)]),
-]
-
-
-@query(
-    "WITH k AS (SELECT s_suppkey AS k FROM supplier), r AS ("
-    + " UNION ALL ".join(f"SELECT k, CAST({'k + ' + str(n) if abs(n) == 1 else n} AS BIGINT) AS target, '{kind}' AS kind, {'NULL' if name is None else repr(name)} AS target_name, {'NULL' if hint is None else repr(hint)} AS hint FROM k WHERE k % {len(REFERENCES)} = {i}" for i, (_, rows) in enumerate(REFERENCES) for n, kind, name, hint in rows)
-    + ") SELECT * FROM r"
-)
-def cross_references(t):  # X10
-    x = t.supplier.select(F.col("s_suppkey").alias("k"), one([x for x, _ in REFERENCES], F.col("s_suppkey")).alias("text"))
-    return ex.cross_references(x, "k", "text")
-
-
-LIVES = [
-    ("توفي سنة 148 وله 65 سنة", 83, 148, "certain"), ("مات في سنة (٢٢٠هـ)", None, 220, "likely"), ("قتل سنة 61", None, 61, "likely"), ("استشهد سنة 700", None, None, None), ("تُوفِّي سنة 90 وعمره 20 سنة", None, 90, "likely"), ("لا تاريخ", None, None, None),
-]
-_low, _high = (f"(ARRAY{[y[i] for y in ex.LAYER_YEARS]})[c_custkey % 12 + 1]" for i in (0, 1))
-
-
-@query(f"""WITH x AS (SELECT c_custkey, CASE WHEN c_custkey % 5 > 0 THEN c_custkey % 12 + 1 END AS layer, CAST({_golden_sql("c_custkey", "", [x[1] for x in LIVES])} AS INTEGER) AS birth, CAST({_golden_sql("c_custkey", "", [x[2] for x in LIVES])} AS INTEGER) AS death, {_golden_sql("c_custkey", "", [x[3] for x in LIVES])} AS sure, {_low} AS low, {_high} AS high FROM customer)
-SELECT c_custkey, birth, death, CASE WHEN layer IS NOT NULL AND birth IS NULL THEN greatest(low - 60, 1) || '-' || greatest(high - 10, 1) END AS born, CASE WHEN layer IS NOT NULL AND death IS NULL THEN low || '-' || least(high + 30, 500) END AS died,
-coalesce(sure, CASE WHEN layer IS NOT NULL THEN 'windowed' ELSE 'unknown' END) AS confidence FROM x""")
-def lifetimes(t):  # X17 X18 X19 X20
-    k = F.col("c_custkey")
-    life = ex.lifetime_fields(one([x[0] for x in LIVES], k), F.when(k % 5 > 0, k % 12 + 1))
-    shown = lambda w: F.when(F.col(w).isNotNull(), F.concat_ws("-", F.col(f"{w}.low").cast("string"), F.col(f"{w}.high").cast("string")))
-    x = t.customer.select("c_custkey", life.alias("l")).select("c_custkey", "l.*")
-    return x.select("c_custkey", "birth", "death", shown("birth_window").alias("born"), shown("death_window").alias("died"), "confidence")
+# --- Extraction
 
 
 @query("""WITH x AS (SELECT s_suppkey AS k, s_suppkey % 40 AS n3 FROM supplier) SELECT n3, array_to_string(list_sort(list(k)), ',') AS idxs FROM x GROUP BY 1""")
@@ -368,16 +295,6 @@ def batch_neighbours(t):  # X11
     return ex.neighbours_of_batch(t.part.select(F.col("p_partkey").alias("idx")), t.lineitem.where("l_quantity = 50").select(F.col("l_partkey").cast("long").alias("idx")).distinct())
 
 
-HEADS = [("12 - 13 - ١٤ - آدم أبو الحسين :روى", "12,13,١٤", "آدم أبو الحسين"), ("7 - زيد - كوفي", "", "زيد"), ("بلا رقم", "", "بلا رقم")]
-
-
-@query(f"SELECT s_suppkey, {_golden_sql('s_suppkey', '', [h[1] for h in HEADS])} AS numbers, {_golden_sql('s_suppkey', '', [h[2] for h in HEADS])} AS name FROM supplier")
-def entry_heads(t):  # X1 X3
-    text = one([h[0] for h in HEADS], F.col("s_suppkey"))
-    n = ex.edition_numbers(text)
-    return t.supplier.select("s_suppkey", F.array_join(F.array_compact(F.array(n["n1"], n["n2"], n["n3"])), ",").alias("numbers"), ex.name_of(text).alias("name"))
-
-
 @query(f"""WITH x AS (SELECT p_partkey AS k, [p_name, {normal_sql("'أ' || p_brand")}] AS old, p_type, 'ا' || p_brand AS same FROM part)
 SELECT k, array_to_string([p_name_] || [second] || CASE WHEN p_type IN (p_name_, second) THEN [] ELSE [p_type] END, ',') AS names, CASE WHEN k % 2 = 0 THEN p_type ELSE 'kept' END AS filled, 'safe' AS locked FROM (SELECT *, old[1] AS p_name_, old[2] AS second FROM x)""")
 def merged_fields(t):  # X15 X16 P10
@@ -387,14 +304,6 @@ def merged_fields(t):  # X15 X16 P10
     return x.select("k", F.array_join(ex.merge_lists(F.col("old"), F.col("new")), ",").alias("names"), "filled", "locked")
 
 
-REPORTS = [("12 - احمد بن محمد، عن زرارة، عن ابي عبد الله (ع) قال: الحلال بين", "احمد بن محمد، عن زرارة، عن ابي عبد الله (ع)"), ("محمد بن يحيى عن احمد بن محمد قال سمعته يقول", "محمد بن يحيى عن احمد بن محمد"), ("كلام بلا سند", "كلام بلا سند")]
-
-
-@query(f"SELECT s_suppkey, {_golden_sql('s_suppkey', '', [r[1] for r in REPORTS])} AS chain FROM supplier")
-def chain_parts(t):  # X28
-    return t.supplier.select("s_suppkey", ex.chain_part(one([r[0] for r in REPORTS], F.col("s_suppkey")), ("ابي عبد الله", "ابي جعفر")).alias("chain"))
-
-
 # --- Chains: an order's lines are the links of one chain, its suppliers the people
 
 
@@ -471,16 +380,30 @@ def chain_integrity(t):  # M5 M7
     return ev.integrity(_annotated(t).withColumn("resolved", F.col("s") % 6 > 0))
 
 
-SEGMENTS = ["زرارة", "رجل", "عن بعض شيوخه", "عمن ذكره", "غير واحد من اصحابنا", "محمد بن مسلم"]
-FOUND = [None, ("MURSAL", "critical"), ("MURSAL", "major"), ("MURSAL", "critical"), ("MUBHAM", "minor"), None]
-IRSAL_SQL = f"""x AS (SELECT chain_id, pos, {_golden_sql("s", "", [f and f[0] for f in FOUND])} AS kind, {_golden_sql("s", "", [f and f[1] for f in FOUND])} AS severity FROM ({LINK})),
+#: Segments: names, and the openings of anonymous links with and without their leading word and with words behind them. The SQL reads them by its own patterns.
+SEGMENTS = ["زرارة", "محمد بن مسلم", "ابان", "يونس بن حماد", "رجلة"] + [f"{head}{body.rstrip('$').removeprefix('عن ')}{tail}" for body, _, _ in ch.ANONYMOUS for head in ("عن ", "") for tail in ("", " من قم")]
+
+
+def _irsal_case(field: int) -> str:
+    """The type or severity of the first pattern in order that a segment begins with; a closing $ wants the segment to end there."""
+    when = []
+    for pattern in ch.ANONYMOUS:
+        body = pattern[0].removeprefix("عن ")
+        closed = body.endswith("$")
+        body = body.rstrip("$")
+        rest = f"regexp_replace(seg, '^عن ', '')" if pattern[0].startswith("عن ") else "seg"
+        when.append(f"WHEN {rest} = '{body}'" + ("" if closed else f" OR starts_with({rest}, '{body} ')") + f" THEN '{pattern[field]}'")
+    return f"CASE {' '.join(when)} END"
+
+
+IRSAL_SQL = f"""x AS (SELECT chain_id, pos, {_irsal_case(1)} AS kind, {_irsal_case(2)} AS severity FROM (SELECT *, {one_sql(SEGMENTS, "s + pos * 7")} AS seg FROM ({LINK}))),
 y AS (SELECT *, kind = 'MURSAL' AND (lag(kind) OVER v IS NOT NULL OR lead(kind) OVER v IS NOT NULL) AS up FROM x WINDOW v AS (PARTITION BY chain_id ORDER BY pos)),
 z AS (SELECT chain_id, pos, CASE WHEN up THEN 'MUDAL' ELSE kind END AS kind, CASE WHEN up THEN 'critical' ELSE severity END AS severity FROM y),
 irsal AS (SELECT chain_id, count(kind) > 0 AS has_irsal, arg_min(kind, (CASE severity WHEN 'critical' THEN 0 WHEN 'major' THEN 1 ELSE 2 END, pos)) FILTER (kind IS NOT NULL) AS irsal_type, coalesce(string_agg(pos || ':' || kind || ':' || severity, ',' ORDER BY pos) FILTER (kind IS NOT NULL), '') AS findings FROM z GROUP BY 1)"""
 
 
 def _irsal(t) -> DataFrame:
-    seg = _lines(t).groupBy("chain_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", one(SEGMENTS, F.col("s")).alias("x")))), lambda y: y["x"]).alias("segments"))
+    seg = _lines(t).groupBy("chain_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", one(SEGMENTS, F.col("s") + F.col("pos") * 7).alias("x")))), lambda y: y["x"]).alias("segments"))
     return ch.irsal(seg)
 
 
@@ -652,9 +575,16 @@ def authority_layers(t):  # G7 A9
     return ly.seeds_from_references(refs, titles)
 
 
-@query(f"SELECT bool_and(NOT regexp_matches(key, '^[0-9]+$')) AND FALSE AS old_format FROM ({ENTRY_SQL})")
+_KEYS = {"eastern": "translate(CAST(s_suppkey AS VARCHAR), '0123456789', '٠١٢٣٤٥٦٧٨٩')", "mixed": "CASE WHEN s_suppkey % 3 = 0 THEN translate(CAST(s_suppkey AS VARCHAR), '0123456789', '٠١٢٣٤٥٦٧٨٩') ELSE CAST(s_suppkey AS VARCHAR) END", "named": "'k' || s_suppkey"}
+
+
+@query(" UNION ALL ".join(f"SELECT '{n}' AS keys, bool_or(regexp_matches(k, '[٠-٩]')) AND NOT bool_or(regexp_matches(k, '^[0-9]+$')) AS old_format FROM (SELECT {x} AS k FROM supplier)" for n, x in _KEYS.items()))
 def key_format(t):  # V3
-    return mg.old_keys(people(t))
+    s = F.col("s_suppkey")
+    plain, eastern = s.cast("string"), F.translate(s.cast("string"), tx.WESTERN, tx.EASTERN)
+    keys = {"eastern": eastern, "mixed": F.when(s % 3 == 0, eastern).otherwise(plain), "named": F.concat(F.lit("k"), plain)}
+    out = [mg.old_keys(t.supplier.select(c.alias("entry_key"))).select(F.lit(n).alias("keys"), "old_format") for n, c in keys.items()]
+    return out[0].union(out[1]).union(out[2])
 
 
 # --- Rules and validation
@@ -689,26 +619,6 @@ def identified_by(t):  # M1 M2 J21
     return out[0].union(out[1]).union(out[2]).union(out[3]).union(out[4])
 
 
-SWAPS = [("زيد", "زبد", ""), ("جابر", "حابر", "0:ج:ح"), ("سعد", "شغد", "0:س:ش,1:ع:غ"), ("علي", "علي", ""), ("محمد", "محمد بن سعد", ""), ("طلحة", "ظلحه", "0:ط:ظ,3:ة:ه")]
-
-
-@query(f"SELECT s_suppkey, {_golden_sql('s_suppkey', '', [x[2] for x in SWAPS])} AS swaps FROM supplier")
-def letter_swaps(t):  # M4
-    s = F.col("s_suppkey")
-    found = ev.letter_swaps(one([x[0] for x in SWAPS], s), one([x[1] for x in SWAPS], s))
-    return t.supplier.select("s_suppkey", F.array_join(F.transform(found, lambda x: F.concat_ws(":", x["place"].cast("string"), x["from"], x["to"])), ",").alias("swaps"))
-
-
-@query(f"""WITH x AS (SELECT chain_id, pos, name, CASE WHEN s % 7 = 0 THEN 'رجل' ELSE name END AS other FROM ({LINK}))
-SELECT chain_id, coalesce(string_agg(pos || ':' || name || '>' || other, ',' ORDER BY pos) FILTER (name <> other), '') AS diffs FROM x GROUP BY 1""")
-def version_diffs(t):  # W10 M9
-    x = _lines(t).withColumn("other", F.when(F.col("s") % 7 == 0, "رجل").otherwise(F.col("name")))
-    both = x.groupBy("chain_id").agg(F.array_sort(F.collect_list(F.struct("pos", "name", "other"))).alias("l"))
-    pick = lambda c: F.transform("l", lambda y: y[c])
-    diff = ev.version_diff(pick("name"), pick("other"))
-    return both.select("chain_id", F.array_join(F.transform(diff, lambda d: F.concat(d["place"].cast("string"), F.lit(":"), d["first"], F.lit(">"), d["second"])), ",").alias("diffs"))
-
-
 @query(f"""WITH e AS ({ENTRY_SQL}), good AS (SELECT DISTINCT {_name_sql("s_suppkey", "s_suppkey + 1")} AS n FROM supplier WHERE s_suppkey % 3 > 0),
 v AS (SELECT key, 'imam' AS kind, 3.0 AS w FROM e WHERE k % 8 = 0 UNION ALL SELECT key, 'consensus', 2.5 FROM e WHERE k % 20 = 0 UNION ALL SELECT key, 'principle', 2.0 FROM e WHERE len(list_intersect(students_of, ['محمد بن احمد'])) > 0 UNION ALL SELECT key, 'count', 1.5 FROM e WHERE hadith_count >= 100
 UNION ALL SELECT key, 'teachers', 2.0 FROM e WHERE teachers_of[1] IN (SELECT n FROM good) UNION ALL SELECT key, 'students', 1.5 FROM e WHERE students_of[1] IN (SELECT n FROM good)), s AS (SELECT key, count(DISTINCT kind) AS kinds, CAST(sum(w) AS DOUBLE) AS total FROM v GROUP BY 1)
@@ -766,16 +676,6 @@ def repaired_numbers(t):  # W5: each fourth number is lost, the ends of a custom
 # --- Whole chains and two books
 
 
-TOLD = ["عن ابو جعفر", "حدثني أبو عليّ", "أبو الحسين", "قال ابن ابي عمير"]
-TITLED = ["أصحاب الصادق", "زيد بن علي", "باب: الالف", "الضعفاء"]
-
-
-@query(f"SELECT s_suppkey, {_golden_sql('s_suppkey', '', ['ابو جعفر', 'ابو علي', 'ابو الحسين', 'ابن ابي عمير'])} AS by_name, s_suppkey % 4 <> 1 AS heading FROM supplier")
-def by_names(t):  # N17 N21
-    s = F.col("s_suppkey")
-    return t.supplier.select("s_suppkey", tx.by_name(one(TOLD, s)).alias("by_name"), tx.is_heading(one(TITLED, s)).alias("heading"))
-
-
 ESTIMATE_SQL = f"""{INDEX_SQL},
 first_of AS (SELECT form, arg_min(e.tabaqah, e.k) AS layer FROM i JOIN e USING (entry_key) GROUP BY 1),
 votes AS (SELECT entry_key, 5 AS v, 2.0 AS w FROM e WHERE len(imams) > 0 UNION ALL SELECT entry_key, layer + 1, 1.0 FROM (SELECT entry_key, unnest(teachers_of) AS form FROM e) JOIN first_of USING (form)),
@@ -872,25 +772,6 @@ def cleared_layers(t):  # A26 P1
     return counted.withColumn("j", F.lit(1)).join(cleared.agg(F.count("tabaqah").alias("kept")).withColumn("j", F.lit(1)), "j").drop("j")
 
 
-SOUGHT = ["أبو عليّ بن محمد", "ابن إسحاق", "فاطمة بنت موسى", "ابا ذر"]
-WANTED = ["ابو علي محمد", "اسحاق", "فاطمه بنت موسي", "ذر"]
-
-
-@query(f"SELECT s_suppkey, {_golden_sql('s_suppkey', '', WANTED)} AS form, CASE WHEN s_suppkey % 9 - 4 <= -2 THEN 'طبقة مقلوبة: الشيخ أحدث من الراوي بـ ' || abs(s_suppkey % 9 - 4) || ' طبقة' WHEN s_suppkey % 9 = 3 THEN 'فجوة طبقة واحدة عكسية — الراوي من طبقة سابقة (محتمل عند الرواة المعمّرين)' WHEN s_suppkey % 9 = 6 THEN 'فجوة طبقة واحدة — إرسال محتمل' WHEN s_suppkey % 9 > 6 THEN 'فجوة ' || (s_suppkey % 9 - 4) || ' طبقات — إرسال أو سقط رواة' END AS note FROM supplier")
-def search_forms(t):  # N5 N38
-    s = F.col("s_suppkey")
-    return t.supplier.select("s_suppkey", tx.for_search(one(SOUGHT, s)).alias("form"), wn.gap_note(s % 9 - 4).alias("note"))
-
-
-BODIES = [("كلام <b>من كبار السادسة</b> ثم <b>فصل</b>", 6, "من كبار السادسة", "senior", ""), ("فهو من صغار الخامسة", 5, "الخامسة", None, ""), ("لا شيء\nيرد بعنوان: زيد بن علي، <i>زيد</i>.\n\nثم", None, None, None, "زيد بن علي,زيد"), ("من الثانية عشرة", 12, "الثانية عشرة", None, "")]
-
-
-@query(f"SELECT s_suppkey, CAST({_golden_sql('s_suppkey', '', [b[1] for b in BODIES])} AS INTEGER) AS layer, {_golden_sql('s_suppkey', '', [b[2] for b in BODIES])} AS detail, {_golden_sql('s_suppkey', '', [b[3] for b in BODIES])} AS sub, {_golden_sql('s_suppkey', '', [b[4] for b in BODIES])} AS alt_names FROM supplier")
-def authority_entries(t):  # X21 O6
-    a = ex.authority(one([b[0] for b in BODIES], F.col("s_suppkey")))
-    return t.supplier.select("s_suppkey", a.alias("a")).select("s_suppkey", "a.layer", "a.detail", "a.sub", F.array_join("a.alt_names", ",").alias("alt_names"))
-
-
 def _three_sql(k: str) -> str:
     return f"{given_sql(k)} || ' بن ' || {given_sql(f'({k}) // 11')} || ' بن ' || {given_sql(f'({k}) // 121')}"
 
