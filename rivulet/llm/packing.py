@@ -38,29 +38,38 @@ SWEEPS = 60
 _odd_space = re.compile(r"[\x1c-\x1f\x85\u180e\u200b\ufeff]")
 #: Runs of signs, which the tokenizer takes as one piece.
 _signs = re.compile(r"(?:[^\w\s]|_)+")
+#: Text on which words put together must give what the whole gives; else a tokenizer is one of another kind, and texts are encoded whole.
+PROBE = "The Quick brown-fox's 42nd Jump: \u00c9t\u00e9 na\u00efve don't we'll (a,b) 3.14 \u0631\u062c\u0644 x_y \u4e2d\u6587 e\u0301 !? it's\tend\n"
 #: Words and pieces of one generation of the memory. When there are more, a new one begins, which takes over from the last one what it meets again.
 REMEMBERED = 250_000
 
 
 class Encoder:
-    """Texts to ids as little-endian uint32. The tokenizer never joins what white space parts, nor letters, digits and signs, so each word with its signs is put together once and remembered."""
+    """Texts to ids as little-endian uint32. A tokenizer of word ends never joins what white space parts, nor letters, digits and signs, so each word with its signs is put together once and remembered.
+
+    Words of letters alone, in canonical form and lower case, need neither its normaliser nor its pattern of splits, only white space to part them.
+    """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.letters = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.letters.normalizer = normalizers.Sequence([])
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that end a word
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.whole = False
+        self.whole = self.encode([PROBE]) != [self.one(PROBE)]
 
     def one(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def words(self, text: str) -> list[str] | None:
         """What white space parts, or None if only the whole text is sure."""
-        if _odd_space.search(text) or "\u03a3" in text or "\u0130" in text or "<|" in text:
+        if self.whole or _odd_space.search(text) or "\u03a3" in text or "\u0130" in text or "<|" in text:
             return None  # white space, lower case or special tokens might differ
         return unicodedata.normalize("NFC", text).lower().split()
 
@@ -77,7 +86,7 @@ class Encoder:
         parts = self.recalled(set().union(*cut.values()) - self.known.keys() - plain)
         letters = [*plain, *filter(str.isalpha, parts)]
         if letters:  # in one call: the ends tell them apart
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(letters)], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(self.letters.encode_batch_fast([" ".join(letters)], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) == len(letters) and ends[-1] == len(ids):
                 data, stop = ids.tobytes(), (ends * 4).tolist()
@@ -214,7 +223,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, eos: int = 1, id_c
     tokens = written(tokenised(docs, id_col, text_col, tokenizer, window, eos))
     rows = tokens.count()
     salts = max(1, math.ceil(rows / RANKED))
-    rest = tokens.select("id", "n", "rest", (F.col("n") % window).alias("len"), F.pmod(F.xxhash64("id"), F.lit(salts)).alias("salt")).where("len > 0")
+    rest = tokens.select("id", "n", "rest", (F.col("n") % window).alias("len"), F.pmod(F.xxhash64("id", "rest"), F.lit(salts)).alias("salt")).where("len > 0")
     count = rest.groupBy("len", "salt").agg(F.count("*").alias("c"))
     hist = np.zeros(window, np.int64)
     for length, c in count.groupBy("len").agg(F.sum("c")).collect():  # at most window - 1 rows

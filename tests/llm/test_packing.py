@@ -73,3 +73,32 @@ def test_repeated_rows_and_empty_table(spark):
     out = packing.pack(frame, PATH, 8).collect()
     assert sum(r.length for r in out) == 20
     assert packing.pack(frame.limit(0), PATH).count() == 0
+
+
+def test_other_tokenizers_encode_whole_texts():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    other, plain = packing.Encoder(path), Tokenizer.from_file(path)
+    texts = ["Two words", " Leading space, Ünïcode.", "", None, "a\n\nb"]
+    assert other.whole and not packing.Encoder(PATH).whole
+    assert [np.frombuffer(x, "<u4").tolist() for x in other.encode(texts)] == [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_repeat_counts_are_a_least_squares_solution(seed):
+    """Where x > 0 the gradient is nought, elsewhere it points out of bounds: so it is for no other x, as the problem is convex."""
+    rng = np.random.default_rng(seed)
+    hist = np.bincount(rng.integers(1, 32, 400), minlength=32)
+    parts = packing.combinations(hist, 32)
+    a = np.zeros((len(hist), len(parts)))
+    for j, p in enumerate(parts):
+        for length, copies in p.items():
+            a[length, j] = copies
+    x = packing.solve(parts, hist)
+    slope = a.T @ (a @ x - hist)
+    assert (x >= 0).all() and (slope > -0.5).all() and np.abs(slope[x > 0.05]).max() < 0.5
+    best = np.zeros(len(parts))  # another way: projected gradient steps
+    step = 1 / np.linalg.norm(a, 2) ** 2
+    for _ in range(20_000):
+        best = np.maximum(0, best - step * (a.T @ (a @ best - hist)))
+    error = lambda y: ((a @ y - hist) ** 2).sum()
+    assert error(x) <= error(best) * 1.01 + 1
