@@ -527,4 +527,4 @@ def session_window(t):
     return t.events.groupBy("user_id", F.session_window("ts", "30 minutes").alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), "n")
 
 
-from . import names, people, storage, streams, texts  # noqa: E402, F401  their queries join the same tables
+from . import library, names, people, storage, streams, texts  # noqa: E402, F401  their queries join the same tables

@@ -99,8 +99,8 @@ def equal_name(df: DataFrame, column: str, name: str, normal: Callable[[Column],
 
 
 def pick_random(df: DataFrame, n: int, seed: int, key: str) -> DataFrame:
-    """n rows that a seed picks (O7): the order is a hash of the key, so it holds on any cluster."""
-    return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(n)
+    """n rows that a seed picks (O7): the order is the md5 of seed and key, so it holds on any cluster."""
+    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit(""))).cast("binary")), key).limit(n)
 
 
 def pending(df: DataFrame, done: DataFrame, key: str) -> DataFrame:
@@ -127,6 +127,30 @@ def store_version(df: DataFrame, path: str, version: int) -> str:
     return to
 
 
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """The versions that ``store_version`` wrote whole, oldest first; one that a failed write left behind is none."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(where):
+        return []
+    found = [s.getPath() for s in fs.listStatus(where) if s.getPath().getName().startswith("version=")]
+    whole = [p for p in found if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return sorted(int(p.getName().split("=")[1]) for p in whole)
+
+
+def read_version(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The table as it was in a version, else in the newest."""
+    known = versions(spark, path)
+    if not known or (version is not None and version not in known):
+        raise ValueError(f"no version {version} below {path}: {known}")
+    return spark.read.parquet(f"{path}/version={known[-1] if version is None else version:06d}")
+
+
+def restore(spark: SparkSession, path: str, version: int) -> str:
+    """An old version written again as the newest; nothing is lost."""
+    return store_version(read_version(spark, path, version), path, versions(spark, path)[-1] + 1)
+
+
 def store_split(df: DataFrame, path: str, part: str, most_chars: int = 200) -> None:
     """JSON by part, and CSV with cut texts."""
     df.write.mode("overwrite").partitionBy(part).json(f"{path}/json")
