@@ -26,6 +26,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -152,7 +153,7 @@ def points(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) ->
             keys, of = cell_keys(h, ends, percent)
             order = np.argsort(of, kind="stable")
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum(np.r_[0, np.bincount(of, minlength=rows)]), pa.int32()), pa.array(keys[order], pa.int64()))
-            columns = [pa.array(n, pa.int64()), pa.array(signatures(h, owner, n), pa.int64(), mask=none), pa.array([None if x else v.tobytes() for x, v in zip(none.tolist(), vec, strict=True)], pa.binary()), lists]
+            columns = [pa.array(n, pa.int64()), pa.array(signatures(h, owner, n), pa.int64(), mask=none), pa.array([None if x else v for x, v in zip(none.tolist(), _packed(vec), strict=True)], pa.binary()), lists]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["id", "th", "n", "sig", "vec", "keys"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
@@ -190,8 +191,23 @@ class CountTree:
         return self.order[at]
 
 
+def _packed(vec: np.ndarray) -> list[bytes]:
+    """Count vectors in 4, 8 or 16 bits a count, as their largest one needs."""
+    top = vec.max(axis=1, initial=0).tolist()
+    half, byte = (vec[:, 0::2] | vec[:, 1::2] << 4).astype(np.uint8), vec.astype(np.uint8)
+    return [half[i].tobytes() if t < 16 else byte[i].tobytes() if t < 256 else vec[i].tobytes() for i, t in enumerate(top)]
+
+
 def _vectors(col: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(col.to_pylist()), "<u2").reshape(-1, GROUPS).astype(np.int64)
+    data = col.to_pylist()
+    size, out = np.array([len(x) for x in data], np.int64), np.empty((len(data), GROUPS), np.int64)
+    for n in np.unique(size).tolist():
+        at = np.flatnonzero(size == n)
+        raw = np.frombuffer(b"".join(data[i] for i in at.tolist()), "<u2" if n == 2 * GROUPS else np.uint8).reshape(len(at), -1)
+        if n == GROUPS // 2:
+            raw = np.stack([raw & 15, raw >> 4], axis=2).reshape(len(at), GROUPS)
+        out[at] = raw
+    return out
 
 
 def tree_pairs(rows: DataFrame, percent: int, tasks: int) -> DataFrame:
@@ -381,12 +397,20 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Of each group the first row is looked for; of that row's id and text one row may stay, of the others none.
     fate = linked.join(best, "root").groupBy("id", "th").agg(F.bool_and((F.col("th") == F.col("first.th")) & F.col("id").eqNullSafe(F.col("first.id"))).alias("stays"), F.count("*").alias("n"))
     fate = written(fate.where("not stays or n > 1").select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("stays").alias("__stays")))
-    of = docs[id_col].eqNullSafe(fate["__id"]) & (F.xxhash64(docs[text_col]) == fate["__th"])
-    words = F.coalesce(docs[text_col].rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    left = docs.join(fate, of & words, "left_anti")
+    # Only rows whose text may be one of these are joined, so the other texts are not moved.
+    sent = docs.sparkSession.sparkContext.broadcast(key_filter(fate, "__th", 64))
+
+    @F.pandas_udf("boolean")
+    def likely(th: pd.Series) -> pd.Series:
+        return pd.Series(passes(sent.value, th.to_numpy(np.int64)))
+
+    marked = docs.withColumn("__like", likely(F.xxhash64(text_col)) & F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
+    others, some = marked.where("not __like").select(*docs.columns), marked.where("__like").select(*docs.columns)
+    of = some[id_col].eqNullSafe(fate["__id"]) & (F.xxhash64(some[text_col]) == fate["__th"])
+    left = others.unionByName(some.join(fate, of, "left_anti"))
     if not fate.where("__stays").limit(1).count():
         return left
-    several = docs.join(fate.where("__stays"), of & words).drop("__id", "__stays").dropDuplicates([id_col, "__th"])
+    several = some.join(fate.where("__stays"), of).drop("__id", "__stays").dropDuplicates([id_col, "__th"])
     return left.unionByName(several.select(*docs.columns))
 
 

@@ -202,6 +202,16 @@ def test_one_row_of_each_group_stays_with_any_ids(spark, seed):
         assert len(own) == 1 and (own[0][0] is None, own[0][0] or 0) == min((i is None, i or 0) for i, _ in members)
 
 
+def test_packed_counts_come_back():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    vec = np.concatenate([rng.integers(0, top, (7, ngram_join.GROUPS)) for top in (2, 16, 17, 256, 300, 65536)]).astype("<u2")
+    packed = ngram_join._packed(vec)
+    assert (ngram_join._vectors(pa.array(packed, pa.binary())) == vec).all() and {len(x) for x in packed} == {128, 256, 512}
+    assert ngram_join._vectors(pa.array([], pa.binary())).shape == (0, ngram_join.GROUPS)
+
+
 def test_unrelated_rows_with_the_id_of_a_copy_stay(spark):
     a, b = " ".join(WORDS), " ".join(reversed(WORDS))
     rows = [(1, a), (2, a + " more"), (2, b)]
