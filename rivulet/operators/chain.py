@@ -35,7 +35,12 @@ REWRITES = (
     (r"[،,؛;:.\n]+", "|"),
 )
 # Given names and by-names before which "and" begins another person.
-BESIDE = "محمد احمد علي حسن حسين الحسين عبد موسى يونس صفوان زرارة بريد حريز جعفر الفضل الفضيل الحسن العباس يحيى عمر عمرو سعد صالح عيسى سليمان داود ابراهيم هشام حنان اسماعيل الريان ابن علا جميل حماد بكير حميد سهل فضل نضر عبيد معاوية خالد زيد".split()
+BESIDE = (
+    "محمد", "احمد", "علي", "حسن", "حسين", "الحسين", "عبد", "موسى", "يونس", "صفوان", "زرارة", "بريد",
+    "حريز", "جعفر", "الفضل", "الفضيل", "الحسن", "العباس", "يحيى", "عمر", "عمرو", "سعد", "صالح", "عيسى",
+    "سليمان", "داود", "ابراهيم", "هشام", "حنان", "اسماعيل", "الريان", "ابن", "علا", "جميل", "حماد", "بكير",
+    "حميد", "سهل", "فضل", "نضر", "عبيد", "معاوية", "خالد", "زيد",
+)
 BESIDE_ALONE = ("الحجال", "ابو علي الاشعري", "ابي علي الاشعري", "ابي ايوب", "ابو ايوب", "عبد الله", "ابو العباس", "ابي العباس", "حماد", "جميل", "الرزاز", "ابن محبوب", "ابن رئاب", "ابن فضال", "ابن سنان", "ابن عمار", "ابن مسلم", "ابن بكير", "ابن ابي عمير", "ابن المغيرة")
 GROUPS_OF = r"(?:عدة|جماعة|غير\s+واحد)\s+من\s+اصحابنا"
 # What is cut from a name's end and start, in order.
@@ -47,7 +52,11 @@ STARTS = ((r"^لل", "ال"), (r"^(?:سالت|قلت|جده|اخيه)\s+(?=\S)",
 # Where one segment holds two links.
 TWO = ((r"\s+عمن\s+(?:رواه|ذكره).*$", "|عمن رواه"), (r"^(ابيه|ابوه)\s+و\s+", "$1|"), (r"^ابيه\s+(?=(?:محمد|احمد|علي|حسن|عيسى|يحيى|موسى)\s+بن\s)", "ابيه|"))
 # Words that no name holds, of reports that run on into their matter; and segments that are none.
-MATTER = "الحلال الحرام قيامة النار فاجاب فقلت اكان شهادتهم شهادتهن ايمانهم شمائلهم الفقاع يطلق تعتد تبيت الجفر ربك الجري المارماهي الطافي الطحال الهدهد الزمير الحرير البنفسج اريد الفهود".split()
+MATTER = (
+    "الحلال", "الحرام", "قيامة", "النار", "فاجاب", "فقلت", "اكان", "شهادتهم", "شهادتهن", "ايمانهم", "شمائلهم", "الفقاع",
+    "يطلق", "تعتد", "تبيت", "الجفر", "ربك", "الجري", "المارماهي", "الطافي", "الطحال", "الهدهد", "الزمير", "الحرير",
+    "البنفسج", "اريد", "الفهود",
+)
 MATTER_PHRASES = ("الف مسال", "عز و?جل", "عز و جل", "رايك في", "قد علمه", "يقول من رايي", "توفى زوجها", "حيث شاء", "لا باس", "المراة تموت", "تزوج امراة", "قد روي فيه", "الحمام يفرخ", "يتزوج الطير", "يسال ابا", "يسلم في", "سباع الطير", "طيبة نفس", "يلتمس التجارة", "بعض موالي")
 NO_NAMES = ("ذلك", "بيتها", "بيته", "فقال", "نعم", "لا", "رجاله", "رجله", "ابائك", "اباءك")
 NO_STARTS = rf"^(?:مسال[ةه]|رجلا|رجل|ذلك|الرجل\s+(?:يسلم|يسال|يريد)){_END}"

@@ -237,7 +237,11 @@ class Repair(Machine):
         return k, [], Steps(lows, offsets, 1, self.run(rows, None)[1])
 
 
-def repair_numbers(df: DataFrame, by: list[str], order: list[str], number: str, highest: int = 15617, next_highest: int = 16500, reach: int = 9, rows: int = ROWS) -> DataFrame:
+# The greatest number of an entry, and the greatest that a number behind may have.
+HIGHEST, NEXT_HIGHEST, REACH = 15617, 16500, 9
+
+
+def repair_numbers(df: DataFrame, by: list[str], order: list[str], number: str, highest: int = HIGHEST, next_highest: int = NEXT_HIGHEST, reach: int = REACH, rows: int = ROWS) -> DataFrame:
     """Repairs 0 and too large numbers from the repaired previous and the next usable one (W5), each repair feeding the next, over groups of any size.
 
     With both neighbours it is previous + 1, or previous itself where the next is just that; with one neighbour it is one step from it.

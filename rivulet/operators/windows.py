@@ -19,6 +19,7 @@ def gap_severity(gap: Column) -> Column:
 
 def gap_note(gap: Column) -> Column:
     """A gap of layers in words (N38), null where there is none to speak of."""
+    # The notes.
     inverted = F.concat(F.lit("طبقة مقلوبة: الشيخ أحدث من الراوي بـ "), F.abs(gap).cast("string"), F.lit(" طبقة"))
     wide = F.concat(F.lit("فجوة "), gap.cast("string"), F.lit(" طبقات — إرسال أو سقط رواة"))
     near = F.when(gap == -1, "فجوة طبقة واحدة عكسية — الراوي من طبقة سابقة (محتمل عند الرواة المعمّرين)").when(gap == 2, "فجوة طبقة واحدة — إرسال محتمل")
