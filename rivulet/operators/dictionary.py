@@ -7,7 +7,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,6 +33,8 @@ def mentions(texts: DataFrame, key: str, text: str, terms: DataFrame, term: str
     kind = texts.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick  # only tasks need it
+
         machine = ahocorasick.Automaton()
         for t in sent.value:
             machine.add_word(t, t)
