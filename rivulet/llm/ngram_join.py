@@ -40,7 +40,8 @@ GROUPS = 256
 FIRST, RATIO = 10, 1.5
 #: Cell groups of a set for each one whose content is a key.
 SPARE = 2
-BLOCK = 512
+#: Members of a block that a task joins with itself or another one: a few MB of counts.
+BLOCK = 2048
 LEAF = 16
 #: Members of a cell, but for its hub, whose pairs are listed (28 at most); larger cells take the trees.
 SMALL = 8
@@ -211,17 +212,20 @@ def _vectors(col: pa.Array) -> np.ndarray:
 
 
 def tree_pairs(rows: DataFrame, percent: int, tasks: int) -> DataFrame:
-    """Pairs (a, b) between both sides of each task g that the trees' bound allows, but for rows of one root."""
+    """Pairs (a, b) between both sides of each task g that the trees' bound allows, but for rows of one root. Rows of side 2 are both sides of their task."""
     rows = rows.select("g", "side", "sig", "root", "n", "vec").repartition(tasks, "g").sortWithinPartitions("g", "side")
 
     def join(part: pa.RecordBatch) -> list[tuple[int, int]]:
-        cut = int(np.count_nonzero(part.column(1).to_numpy() == 0))
+        side = part.column(1).to_numpy()
+        cut, own = int(np.count_nonzero(side == 0)), bool(side[-1] == 2)
         sig, root, n = (part.column(c).to_numpy() for c in (2, 3, 4))
-        if not 0 < cut < len(sig):
+        if own:
+            cut = len(sig)
+        elif not 0 < cut < len(sig):
             return []
         vec = _vectors(part.column(5))
         tree, found = CountTree(vec[:cut], n[:cut]), set()
-        for i in range(cut, len(sig)):
+        for i in range(0 if own else cut, len(sig)):
             hit = tree.search(vec[i], int(n[i]), percent)
             found.update((min(int(sig[i]), x), max(int(sig[i]), x)) for x in sig[hit[root[hit] != root[i]]].tolist())
         return sorted(found)
@@ -358,7 +362,7 @@ def _rooted(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -
     member = written(member.join(part, ["key", "root"]).select("key", "sig", "root", block.alias("blk")))
     blocks = member.groupBy("key", "blk").agg(F.count("*").alias("c")).select("key", "blk")
     tasks = blocks.join(blocks.withColumnRenamed("blk", "blk2"), "key").where("blk <= blk2 and not (blk.r is not null and blk2.r is not null and blk.r = blk2.r)")
-    sides = tasks.select("key", "blk", "blk2", F.explode(F.array(F.lit(0), F.lit(1))).alias("side")).withColumn("own", F.when(F.col("side") == 0, F.col("blk")).otherwise(F.col("blk2")))
+    sides = tasks.select("key", "blk", "blk2", F.explode(F.when(F.col("blk").eqNullSafe(F.col("blk2")), F.array(F.lit(2))).otherwise(F.array(F.lit(0), F.lit(1)))).alias("side")).withColumn("own", F.when(F.col("side") == 1, F.col("blk2")).otherwise(F.col("blk")))
     sides = sides.select("key", "own", "side", F.xxhash64("key", "blk", "blk2").alias("g"))
     rows = sides.join(member.withColumnRenamed("blk", "own"), ["key", "own"]).select("g", "side", "sig", "root").join(vec, "sig")
     late = written(tree_pairs(rows, percent, max(spark.sparkContext.defaultParallelism, math.ceil(member.count() * 2 / TREE_ROWS))).where("a <> b").union(early).distinct())
