@@ -16,7 +16,7 @@ import math
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,12 +40,48 @@ _odd_space = re.compile(r"[\x1c-\x1f\x85\u180e\u200b\ufeff]")
 _signs = re.compile(r"(?:[^\w\s]|_)+")
 #: Text on which words put together must give what the whole gives; else a tokenizer is one of another kind, and texts are encoded whole.
 PROBE = "The Quick brown-fox's 42nd Jump: \u00c9t\u00e9 na\u00efve don't we'll (a,b) 3.14 \u0631\u062c\u0644 x_y \u4e2d\u6587 e\u0301 !? it's\tend\n"
-#: Words and pieces of one generation of the memory. When there are more, a new one begins, which takes over from the last one what it meets again.
+#: Runs and words of one generation of the memory. When there are more, a new one begins, which takes over from the last one what it meets again.
 REMEMBERED = 250_000
 
 
+SPACE, SIGN, LETTER, OTHER = range(4)
+
+
+@cache
+def _kinds() -> np.ndarray:
+    """Of each byte of UTF-8: white space, a sign, part of a word, or one whose word is left whole (apostrophes, and characters whose first byte does not tell letters from signs)."""
+    out = np.full(256, OTHER, np.uint8)
+    out[:128] = [SPACE if chr(i).isspace() else LETTER if chr(i).isalnum() else SIGN for i in range(128)]
+    out[0x80:0xC0] = LETTER  # what follows a first byte
+    out[0xC3:0xCA] = out[0xD0:0xD2] = LETTER  # Latin letters, but for two signs, and Cyrillic ones
+    out[ord("'")] = OTHER
+    return out
+
+
+def pieces(texts: list[bytes]) -> tuple[pa.StringArray, np.ndarray, np.ndarray]:
+    """(runs of white space, signs or letters and digits, and whole words that hold another character; the first run of each text and the one after its last). The texts are in lower case."""
+    size = np.array([len(t) for t in texts], np.int64)
+    joined = b"\n".join(texts)
+    data = np.frombuffer(joined, np.uint8)
+    kind = _kinds()[data]
+    if b"\xc3\x97" in joined or b"\xc3\xb7" in joined:
+        kind[1:][(data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7))] = OTHER
+    start = np.flatnonzero(np.r_[True, kind[1:] != kind[:-1]][: len(data)])
+    own = kind[start]
+    if (own == OTHER).any():
+        space = own == SPACE
+        word = np.cumsum(space | np.r_[True, space[:-1]])
+        whole = np.zeros(len(start) + 1, bool)
+        whole[word[own == OTHER]] = True
+        start = start[~(whole[word] & (np.r_[0, word[:-1]] == word))]
+    runs = pa.StringArray.from_buffers(len(start), pa.py_buffer(np.r_[start, len(data)].astype(np.int32)), pa.py_buffer(joined))
+    begin = np.cumsum(size + 1) - size - 1
+    return runs, np.searchsorted(start, begin), np.searchsorted(start, begin + size)
+
+
 class Encoder:
-    """Texts to ids as little-endian uint32. A tokenizer of word ends never joins what white space parts, nor letters, digits and signs, so each word with its signs is put together once and remembered.
+    """Texts to ids as little-endian uint32. A tokenizer of word ends never joins what white space parts, nor letters, digits and signs, so each of these is encoded once and remembered;
+    a batch of texts looks up each distinct one once.
 
     Words of letters alone, in canonical form and lower case, need neither its normaliser nor its pattern of splits, only white space to part them.
     """
@@ -67,11 +103,11 @@ class Encoder:
     def one(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def words(self, text: str) -> list[str] | None:
-        """What white space parts, or None if only the whole text is sure."""
+    def normal(self, text: str) -> bytes | None:
+        """The text in canonical form and lower case, or None if only the whole text is sure."""
         if self.whole or _odd_space.search(text) or "\u03a3" in text or "\u0130" in text or "<|" in text:
             return None  # white space, lower case or special tokens might differ
-        return unicodedata.normalize("NFC", text).lower().split()
+        return unicodedata.normalize("NFC", text).lower().encode()
 
     def recalled(self, words: set[str]) -> set[str]:
         """The words that must be learned; what the generation before knows of the others is taken over."""
@@ -99,14 +135,23 @@ class Encoder:
                 self.known[w] = b"".join(map(self.known.__getitem__, own))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        each = [self.words(t) if t else [] for t in texts]
-        new = set().union(*filter(None, each)) - self.known.keys()
+        each = [self.normal(t) if t else b"" for t in texts]
+        runs, begin, stop = pieces([t or b"" for t in each])
+        coded = runs.dictionary_encode()
+        there = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        new = set(there) - self.known.keys()
         if new:
             if len(self.known) + len(new) > REMEMBERED:
                 self.before, self.known = self.known, {}
-                new = set().union(*filter(None, each))
+                new = set(there)
             self.learn(self.recalled(new))
-        return [self.one(t) if p is None else b"".join(map(self.known.__getitem__, p)) for t, p in zip(texts, each, strict=True)]
+        ids = [self.known[w] for w in there]
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        of = coded.indices.to_numpy()
+        upto = np.cumsum(np.r_[0, size[of]])
+        place = np.repeat((np.cumsum(size) - size)[of] - upto[:-1], size[of]) + np.arange(upto[-1])
+        data = np.frombuffer(b"".join(ids), "<u4")[place].tobytes()
+        return [self.one(t) if e is None else data[a:b] for t, e, a, b in zip(texts, each, (upto[begin] * 4).tolist(), (upto[stop] * 4).tolist(), strict=True)]
 
 
 @lru_cache(4)
@@ -202,7 +247,7 @@ def tokenised(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, windo
         from pyspark import TaskContext
 
         encoder, end, seen = _encoder(tokenizer), np.array([eos], "<u4").tobytes(), TaskContext.get().partitionId() << 32
-        for batch in rows_of(batches, 1_000_000):
+        for batch in rows_of(batches, 2_000_000):
             n, base, whole, rest = [], [], [], []
             for ids in encoder.encode(batch.column(1).to_pylist()):
                 ids += end

@@ -102,3 +102,15 @@ def test_repeat_counts_are_a_least_squares_solution(seed):
         best = np.maximum(0, best - step * (a.T @ (a @ best - hist)))
     error = lambda y: ((a @ y - hist) ** 2).sum()
     assert error(x) <= error(best) * 1.01 + 1
+
+
+def test_signs_are_parted_before_words_are_learned(monkeypatch):
+    """A word is learned once, whatever signs follow it; words with an apostrophe or a sign outside the common scripts stay whole until then."""
+    encoder, learned = packing.Encoder(PATH), []
+    learn = encoder.learn
+    monkeypatch.setattr(encoder, "learn", lambda new: (learned.extend(w for w in new if not w.isspace()), learn(new)))
+    # The probe of a new encoder has taught it some signs.
+    texts = ["Alpha béta. (alpha), ALPHA! béta_", None, "don't. a—b 3×4 же.", "", "alpha x"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == [whole_ids(t)[:-1] for t in texts]
+    assert sorted(learned) == sorted(["alpha", "béta", "),", "!", "don't.", "a—b", "3×4", "же", "alpha x"])
+    assert encoder.encode([]) == [] and encoder.encode(["", None]) == [b"", b""]
