@@ -40,6 +40,8 @@ GROUPS = 256
 FIRST, RATIO = 10, 1.5
 #: Cell groups of a set for each one whose content is a key.
 SPARE = 2
+#: Last bits of a key that are left out when keys of several sets are looked for.
+KEY_REST = 24
 #: Members of a block that a task joins with itself or another one: a few MB of counts.
 BLOCK = 2048
 LEAF = 16
@@ -256,8 +258,21 @@ def cells_of(pts: DataFrame) -> DataFrame:
 
     Keys of one set are left behind by a filter before anything is joined.
     """
-    several = written(pts.where("sig is not null").select("sig", F.explode("keys").alias("key")).groupBy("key").agg(F.min("sig").alias("low"), F.max("sig").alias("high")).where("low < high").select("key"))
-    sent = pts.sparkSession.sparkContext.broadcast(key_filter(several, "key", 64))
+    spark, some = pts.sparkSession, pts.where("sig is not null")
+    row = F.xxhash64("sig", "id", "th")
+    first = written(some.groupBy("sig").agg(F.min(F.struct("id", "th")).alias("r")).select(F.xxhash64("sig", "r.id", "r.th").alias("row")))
+    once = spark.sparkContext.broadcast(key_filter(first, "row", 64))
+
+    @F.pandas_udf("boolean")
+    def new_set(row: pd.Series) -> pd.Series:
+        return pd.Series(passes(once.value, row.to_numpy(np.int64)))
+
+    # Every set is counted once, and a copy that the filter lets pass again: so a key of several sets has a count of 2 at least. Keys of which the
+    # first bits agree count as one. Both may let more keys pass, never fewer, and what is moved is half as long as whole keys with their sets.
+    counted = some.where(new_set(row)).select(F.explode("keys").alias("key")).groupBy(F.shiftrightunsigned("key", KEY_REST).alias("key")).count()
+    several = written(counted.where("count > 1").select("key"))
+    drop(first)
+    sent = spark.sparkContext.broadcast(key_filter(several, "key", 64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mask, seen = sent.value, set()
@@ -266,7 +281,7 @@ def cells_of(pts: DataFrame) -> DataFrame:
             batch = batch.take(pa.array(new, pa.int64()))
             lists = batch.column(1)
             keys, owner = lists.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
-            hit = passes(mask, keys)
+            hit = passes(mask, (keys.view(np.uint64) >> np.uint64(KEY_REST)).view(np.int64))
             shared = np.bincount(owner[hit], minlength=batch.num_rows)
             yield pa.RecordBatch.from_arrays([pa.array(keys[hit], pa.int64()), batch.column(0).take(pa.array(owner[hit])), pa.array(shared[owner[hit]], pa.int32())], names=["key", "sig", "shared"])
 
@@ -338,6 +353,8 @@ def _rooted(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -
         raise ValueError("percent must lie between 50 and 99")
     pts = written(points(docs, id_col, text_col, k, percent))
     cells = cells_of(pts)
+    keyed, pts = pts, written(pts.drop("keys"))  # the keys are most of the table
+    drop(keyed)
     pairs = written(cells.select(F.col("pivot").alias("a"), F.col("sig").alias("b")).distinct())
     used = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
     vec = written(pts.select("sig", "n", "vec").join(used, "sig").groupBy("sig").agg(F.first("n").alias("n"), F.first("vec").alias("vec")))

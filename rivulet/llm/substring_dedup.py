@@ -153,12 +153,21 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span:
         rows = [(t, 0) if t is None or c is None else without(t, [(x["first"], x["n"]) for x in c]) for t, c in zip(text, which, strict=True)]
         return pd.DataFrame(rows, columns=["text", "removed"])
 
+    # Only rows whose text may be one with cuts are joined, so the other texts are not moved.
+    sent = docs.sparkSession.sparkContext.broadcast(key_filter(cuts, "th", 64))
+
+    @F.pandas_udf("boolean")
+    def likely(th: pd.Series) -> pd.Series:
+        return pd.Series(passes(sent.value, th.to_numpy(np.int64)))
+
     kept = [c for c in docs.columns if c != "removed"]
-    left = docs.select(*kept).withColumn("__th", F.xxhash64(text_col))
+    marked = docs.select(*kept).withColumn("__th", F.xxhash64(text_col)).withColumn("__like", likely("__th"))
+    others = marked.where("not __like").select(*kept, F.lit(0).alias("removed"))
     key = cuts.select(F.col("id").alias("__id"), F.col("th").alias("__cth"), "cuts").withColumnRenamed("cuts", "__cuts")
-    joined = left.join(key, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__cth")), "left")
+    joined = marked.where("__like").join(key, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__cth")), "left")
     out = joined.withColumn("__new", F.when(F.col("__cuts").isNotNull(), shortened(F.col(text_col), F.col("__cuts"))))
-    return out.select(*[F.coalesce("__new.text", text_col).alias(c) if c == text_col else F.col(c) for c in kept], F.coalesce("__new.removed", F.lit(0)).alias("removed"))
+    out = out.select(*[F.coalesce("__new.text", text_col).alias(c) if c == text_col else F.col(c) for c in kept], F.coalesce("__new.removed", F.lit(0)).alias("removed"))
+    return others.unionByName(out)
 
 
 def op2_substring_dedup(spark, sf_dir: str) -> DataFrame:

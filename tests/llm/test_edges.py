@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rivulet.llm import audio, chat_format, decontaminate, language, ngram_join, quality, substring_dedup, toxicity, url_filter
+from rivulet.llm.common import written
 
 from . import brute
 
@@ -587,3 +588,40 @@ def test_long_chains_are_no_cycles(spark):
     out = {r.call_id: (r.status, r.order_turn, r.order_depth) for r in chat_format.link(frame, {"f": {"x": "string?"}}).collect()}
     assert [out[f"k{i}"] for i in range(19)] == [("unanswered", 0, 2 * i) for i in range(19)]
     assert out["p"][0] == out["q"][0] == out["s"][0] == "cycle" and out["r"] == ("unanswered", 6, 0)
+
+
+def shuffled(spark, run) -> int:
+    """Bytes that shuffles wrote while ``run`` ran."""
+    sc, store = spark.sparkContext, spark.sparkContext._jsc.sc().statusStore()
+    total = lambda: sum(e.totalShuffleWrite() for e in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(store.executorList(False)))
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    before = total()
+    run()
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    return total() - before
+
+
+def unrelated(spark, n, words=200):
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(f"w{x}" + "." * (j % 10 == 9) for j, x in enumerate(rng.integers(0, 1 << 30, words).tolist()))) for i in range(n)]
+    return spark.createDataFrame(rows + [(n + i, rows[i][1]) for i in range(3)], "doc_id long, text string").repartition(4)
+
+
+def test_cells_move_less_than_keys_and_sets(spark):
+    pts = written(ngram_join.points(unrelated(spark, 1000), "doc_id", "text", 5, 80))
+    keys = pts.selectExpr("sum(size(keys))").first()[0]
+    assert shuffled(spark, lambda: ngram_join.cells_of(pts)) < 11 * keys
+    assert ngram_join.cells_of(pts).count() == 0  # copies alone make no cell
+
+
+def test_texts_without_cuts_are_not_moved(spark):
+    docs, conf = written(unrelated(spark, 300)), "spark.sql.autoBroadcastJoinThreshold"
+    cuts = written(substring_dedup.repeated_spans(docs))
+    spark.conf.set(conf, "-1")
+    try:
+        found = shuffled(spark, lambda: substring_dedup.repeated_spans(docs).count())
+        moved = shuffled(spark, lambda: substring_dedup.dedup(docs).write.format("noop").mode("overwrite").save())
+        assert cuts.count() == 3 and moved - found < 0.3 * docs.selectExpr("sum(length(text))").first()[0]
+        assert sorted((r.doc_id, r.removed > 0) for r in substring_dedup.dedup(docs).collect()) == [(i, i >= 300) for i in range(303)]
+    finally:
+        spark.conf.unset(conf)
