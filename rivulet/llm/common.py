@@ -5,7 +5,8 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -83,10 +84,30 @@ def tidy() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
-def released(run):
-    """``run`` for mapInArrow, with ``tidy`` at the end of each task."""
+_kept: dict[Hashable, Any] = {}
+
+
+def kept(key: Hashable, make: Callable[[], Any]) -> Any:
+    """What a reused worker keeps from one task to the next under ``key``, made where it is not there. Tasks that do not use it give it back with ``leave``."""
+    if key not in _kept:
+        _kept[key] = make()
+    return _kept[key]
+
+
+def leave(key: Hashable | None = None) -> None:
+    """Gives back what tasks of other operators left in this worker; Spark hands each worker on from stage to stage, and keeps several for each core."""
+    others = [k for k in _kept if k != key]
+    for k in others:
+        del _kept[k]
+    if others:
+        tidy()
+
+
+def released(run, key: Hashable | None = None):
+    """``run`` for mapInArrow, with ``tidy`` at the end of each task. What other operators left in the worker goes before the first batch is read, but for what is kept under ``key``."""
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        leave(key)
         try:
             yield from run(batches)
         finally:

@@ -16,14 +16,14 @@ import math
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import cache, lru_cache
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import released, rows_of, table, written
+from .common import kept, released, rows_of, table, written
 
 #: Rows of one length and salt, which are ranked in one task.
 RANKED = 20_000
@@ -154,11 +154,6 @@ class Encoder:
         return [self.one(t) if e is None else data[a:b] for t, e, a, b in zip(texts, each, (upto[begin] * 4).tolist(), (upto[stop] * 4).tolist(), strict=True)]
 
 
-@lru_cache(4)
-def _encoder(path: str) -> Encoder:
-    return Encoder(path)
-
-
 def combinations(hist: np.ndarray, window: int) -> list[dict[int, int]]:
     """Shallow combinations {length: copies} that fill the window exactly, of lengths that occur."""
     there = set(np.flatnonzero(hist).tolist()) - {0}
@@ -241,12 +236,12 @@ def _slots(chosen: list[tuple[dict[int, int], int]], left: np.ndarray, window: i
 
 def tokenised(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, window: int, eos: int) -> DataFrame:
     """(id, n, base, whole, rest): tokens of each row as ids; ``base`` numbers its whole windows uniquely by task and place."""
-    kind = docs.schema[id_col].dataType.simpleString()
+    kind, key = docs.schema[id_col].dataType.simpleString(), ("encoder", tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, end, seen = _encoder(tokenizer), np.array([eos], "<u4").tobytes(), TaskContext.get().partitionId() << 32
+        encoder, end, seen = kept(key, lambda: Encoder(tokenizer)), np.array([eos], "<u4").tobytes(), TaskContext.get().partitionId() << 32
         for batch in rows_of(batches, 2_000_000):
             n, base, whole, rest = [], [], [], []
             for ids in encoder.encode(batch.column(1).to_pylist()):
@@ -259,7 +254,7 @@ def tokenised(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, windo
                 seen += cut
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(base, pa.int64()), pa.array(whole, pa.binary()), pa.array(rest, pa.binary())], names=["id", "n", "base", "whole", "rest"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(released(run), f"id {kind}, n long, base long, whole binary, rest binary")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(released(run, key), f"id {kind}, n long, base long, whole binary, rest binary")
 
 
 def pack(docs: DataFrame, tokenizer: str, window: int = 2048, eos: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

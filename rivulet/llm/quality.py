@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, labelled_sample, table, tidy
+from .common import Memo, labelled_sample, leave, table, tidy
 
 _token = re.compile(r"\w+|[^\w\s]+")
 DIMENSIONS = 1 << 16
@@ -149,6 +149,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", grade_col: str
 
     @F.pandas_udf("grade double, tail double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        leave()
         memo, model = Memo(_hashed), sent.value
         try:
             for texts in batches:

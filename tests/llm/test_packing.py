@@ -114,3 +114,34 @@ def test_signs_are_parted_before_words_are_learned(monkeypatch):
     assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == [whole_ids(t)[:-1] for t in texts]
     assert sorted(learned) == sorted(["alpha", "béta", "),", "!", "don't.", "a—b", "3×4", "же", "alpha x"])
     assert encoder.encode([]) == [] and encoder.encode(["", None]) == [b"", b""]
+
+
+def test_workers_give_the_tokenizer_back_to_other_operators(spark):
+    """Reused workers keep it from task to task of packing; tasks of other operators find none, and quality leaves none behind."""
+    import gc
+
+    import pyarrow as pa
+
+    from rivulet.llm import quality
+    from rivulet.llm.common import released
+
+    docs = spark.createDataFrame([(i, f"Some words {i}, of a text. " * 5) for i in range(400)], "doc_id long, text string").repartition(32)
+
+    def alive(batches):
+        for _ in batches:
+            pass
+        yield pa.RecordBatch.from_arrays([pa.array([sum(type(x).__name__ == "Encoder" for x in gc.get_objects())], pa.int64())], names=["n"])
+
+    def seen(run):
+        return sum(r.n for r in docs.mapInArrow(run, "n long").collect())
+
+    def tokenise():
+        assert packing.tokenised(docs, "doc_id", "text", PATH, 2048, 1).count() == 400
+
+    tokenise()
+    assert seen(alive) > 0
+    assert seen(released(alive)) == 0 and seen(alive) == 0
+    tokenise()
+    model = quality.fit(["good words", "bad ones"], np.array([2, 0]), {})
+    assert quality.score(docs, model).where("expected_grade >= 0").count() == 400
+    assert seen(alive) == 0
