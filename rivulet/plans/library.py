@@ -96,7 +96,7 @@ def summary_book(t):  # X5: behind the line at which the book begins; pages and
 @query(f"""SELECT CASE WHEN c_custkey // 4 * 4 + c_custkey % 4 < 400 THEN 'no_match' ELSE 'ambiguous' END AS section, CAST(c_custkey AS INTEGER) AS number, CAST(CASE WHEN c_custkey % 6 > 0 THEN c_custkey % 12 + 1 END AS INTEGER) AS layer, {_name_sql("c_custkey", "c_custkey // 11")} AS name FROM customer WHERE c_custkey < 400 OR c_custkey % 2 = 0""")
 def unresolved_names(t):  # X27: two sections in each of four reports
     k = F.col("c_custkey")
-    row = F.concat(F.lit("["), F.lpad(k.cast("string"), 5, " "), F.lit("] T"), F.when(k % 6 > 0, (k % 12 + 1).cast("string")).otherwise("None"), F.lit(" "), name(k, div(k, 11)), F.when((k >= 400) & (k % 2 == 0), " (best match: x)").otherwise(""))
+    row = F.concat(F.lit("["), F.format_string("%5d", k), F.lit("] T"), F.when(k % 6 > 0, (k % 12 + 1).cast("string")).otherwise("None"), F.lit(" "), name(k, div(k, 11)), F.when((k >= 400) & (k % 2 == 0), " (best match: x)").otherwise(""))
     marks = F.when(k < 4, "=== NO CANDIDATES (9) ===").when((k >= 400) & (k < 404), "=== AMBIGUOUS (9) ===")
     return bk.unresolved_report(_pages(t, [marks, row, F.lit("")]))
 
