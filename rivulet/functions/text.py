@@ -137,14 +137,18 @@ def _drop(text: Column, part: Column) -> Column:
 
 def person_forms(name: Column, kunyah: Column, laqab: Column, nisba: Column, father: Column, aliases: Column) -> Column:
     """All forms a chain may use for a person (N18): with and without parts, the first two names, by-names, and aliases."""
-    full, k, q, n, f = (normalize(c) for c in (name, kunyah, laqab, nisba, father))
-    content = F.filter(words(full), lambda w: ~w.isin(*PARTICLES))
-    two = F.when(F.size(content) >= 2, F.concat(F.get(content, 0), F.lit(" بن "), F.get(content, 1)))
+    parts = F.struct(*[normalize(c).alias(a) for a, c in (("full", name), ("k", kunyah), ("q", laqab), ("n", nisba), ("f", father))])
+    return bound(parts, lambda p: _forms(*(p[a] for a in ("full", "k", "q", "n", "f")), aliases))
+
+
+def _forms(full: Column, k: Column, q: Column, n: Column, f: Column, aliases: Column) -> Column:
+    """``person_forms`` of parts that are normalised."""
+    two = bound(F.filter(words(full), lambda w: ~w.isin(*PARTICLES)), lambda c: F.when(F.size(c) >= 2, F.concat(F.get(c, 0), F.lit(" بن "), F.get(c, 1))))
     abi = F.when(F.startswith(k, F.lit("ابو ")), F.replace(k, F.lit("ابو "), F.lit("ابي ")))
     with_part = lambda base, part: F.when((base != "") & (part != ""), F.concat_ws(" ", base, part))
     own = [full, _drop(full, n), _drop(full, q), _drop(_drop(full, n), q), two, F.when(k != "", k), with_part(k, n), with_part(k, q), F.when(f != "", F.concat(F.lit("ابن "), f)), abi, with_part(abi, n), with_part(abi, q)]
-    al = F.coalesce(aliases, F.array().cast("array<string>"))
-    more = F.flatten(F.transform(al, lambda a: F.array(normalize(a), _drop(normalize(a), n))))
+    al = F.transform(F.coalesce(aliases, F.array().cast("array<string>")), normalize)
+    more = F.flatten(F.transform(al, lambda a: F.array(a, _drop(a, n))))
     forms = F.filter(F.concat(F.array_compact(F.array(*own)), more), lambda x: F.length(x) >= 3)
     return F.when(full != "", F.array_distinct(forms)).otherwise(F.array().cast("array<string>"))
 

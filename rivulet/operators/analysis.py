@@ -55,6 +55,7 @@ def analyse_chains(chains: DataFrame, index: DataFrame, entries: DataFrame, virt
     rounds as links in the longest chain. chains: (chain_id, names); virtual: (name, virtual_key, layer) of names that stand for authorities.
     """
     w = Window.partitionBy("chain_id").orderBy("pos")
+    index = index if hasattr(index, "_rivulet_path") else written(index)  # every place reads it
     links = with_virtual(chains.select("chain_id", F.posexplode("names").alias("pos", "name")), virtual).withColumnRenamed("layer", "v_layer")
     guess = written(estimate_layers(links.where("not virtual").select("name"), index, entries, titles))
     links = links.join(guess.withColumnRenamed("layer", "guess"), "name", "left")

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from rivulet.operators import ladder
+from rivulet.operators import ladder, resolver
 from rivulet.plans import library
 
 
@@ -42,3 +42,17 @@ def test_ladder_counts_hot_prefixes(spark):
     got = ladder.match(q, ladder.prefix_index(e), met, expected, none)
     assert {(r.entry_key, r.candidates) for r in got.collect()} == {("e7", 300)}
     assert _moved(spark, got) < 5000
+
+
+def test_queries_that_ask_the_same_are_scored_once(spark):
+    """200 queries of one name, of two layers, and 200 people of that name."""
+    text = lambda x: F.lit(x).alias
+    none = F.array().cast("array<string>")
+    e = spark.range(200).select(F.concat(F.lit("e"), "id").alias("entry_key"), F.col("id").alias("src_ord"), text("علي بن محمد")("name_ar"), *[text("")(c) for c in ("kunyah", "laqab", "nisba")], text("محمد")("father"), *[none.alias(c) for c in ("aliases", "books", "narrates_from_narrators", "narrated_from_by", "narrates_from_imams")], text("hasan")("status"), (F.col("id") % 90).cast("int").alias("hadith_count"), (F.col("id") % 12).cast("double").alias("tabaqah"), text("unique")("identity_confidence"))
+    q = spark.range(200).select(F.col("id").alias("query_id"), text("علي بن محمد")("name"), none.alias("teachers"), none.alias("students"), F.lit(None).cast("string").alias("book"), F.when(F.col("id") % 2 == 0, 3).alias("low"), F.when(F.col("id") % 2 == 0, 5).alias("high"))
+    got = resolver.resolve(q, resolver.build_index(e), e, 2)
+    rows = got.collect()
+    assert len(rows) == 400 and {r.total_candidates for r in rows} == {200}
+    # 89 and 179 have the most reports; 89 and 88 are of layers 5 and 4.
+    assert {(r.query_id % 2, r["rank"], r.entry_key, r.score) for r in rows} == {(1, 1, "e89", 4.891), (1, 2, "e179", 4.891), (0, 1, "e89", 6.391), (0, 2, "e88", 6.39)}
+    assert _moved(spark, got) < 5000
