@@ -9,7 +9,7 @@ from ..functions import text as tx
 from ..sources.scratch import drop, written
 from .aggregates import weighted_median
 from .chain import expected_range
-from .joins import band_join
+from .joins import band_join, shared_tokens
 from .merge import with_virtual
 from .resolver import resolve
 from .scoring import cascade
@@ -125,17 +125,24 @@ def match_numbers(asked: DataFrame, entries: DataFrame, width: int = 2, least: f
 def boosted_overlap(asked: DataFrame, entries: DataFrame, k: int = 25, boost: int = 5) -> DataFrame:
     """(query_id, entry_key, score, rank): entries by shared words of any name, ``boost`` more for each name of the query that stands inside one of theirs.
 
-    asked: (query_id, names); entries: (entry_key, names, ord). A name inside another one shares its words, so all candidates come from the words.
+    asked: (query_id, names); entries: (entry_key, names, ord); keys are unique. A name inside another one shares its words, so all candidates come from the words. The score follows from
+    the names alone: equal lists of names are compared once, and of entries with equal names only the first k can be among the k best. Shared words are counted without joining rows by frequent words.
     """
     normal = lambda c: F.transform(F.filter(c, lambda x: F.coalesce(x, F.lit("")) != ""), lambda x: tx.normalize(x))
     words = lambda c: F.array_distinct(F.flatten(F.transform(c, lambda x: tx.words(x))))
-    q = asked.select("query_id", normal(F.col("names")).alias("qn")).withColumn("qw", words(F.col("qn")))
-    e = entries.select("entry_key", "ord", normal(F.col("names")).alias("en")).withColumn("ew", words(F.col("en")))
-    pairs = q.select("query_id", F.explode("qw").alias("w")).join(e.select("entry_key", F.explode("ew").alias("w")), "w").groupBy("query_id", "entry_key").agg(F.count("*").alias("shared"))
-    both = pairs.join(q.select("query_id", "qn"), "query_id").join(e.select("entry_key", "ord", "en"), "entry_key")
+    named = asked.select("query_id", normal(F.col("names")).alias("qn")).where("qn is not null")
+    # Sorted, for the score doesn't depend on the order of names.
+    q = written(named.withColumn("qn", F.array_sort("qn")))
+    first = top_k(entries.select("entry_key", "ord", F.array_sort(normal(F.col("names"))).alias("en")).where("en is not null"), ["en"], ["ord", "entry_key"], k)
+    e = written(first.groupBy("en").agg(F.array_sort(F.collect_list(F.struct("ord", "entry_key"))).alias("first")))
+    pairs = shared_tokens(q.select("qn").distinct().withColumn("qw", words(F.col("qn"))), e.withColumn("ew", words(F.col("en"))), "qn", "qw", "ew")
     inside = F.size(F.filter("qn", lambda x: F.exists("en", lambda y: F.contains(y, x))))
-    scored = both.withColumn("score", F.col("shared") + boost * inside)
-    return top_k(scored, ["query_id"], [F.desc("score"), "ord", "entry_key"], k).select("query_id", "entry_key", "score", "rank")
+    scored = pairs.select("qn", "first", (F.col("overlap") + boost * inside).alias("score"))
+    # A list of names with a smaller score can't push in between: of the lists only k can hold one of the k best entries, for each has a first one.
+    lists = top_k(scored, ["qn"], [F.desc("score"), "first"], k).drop("rank")
+    each = lists.select("qn", "score", F.explode("first").alias("e")).select("qn", "score", "e.ord", "e.entry_key")
+    best = top_k(each, ["qn"], [F.desc("score"), "ord", "entry_key"], k)
+    return q.join(best, "qn").select("query_id", "entry_key", "score", "rank")
 
 
 # --- Lines, gaps and counters

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from rivulet.operators import ladder, resolver
+from rivulet.operators import analysis, ladder, resolver
 from rivulet.plans import library
 
 
@@ -56,3 +56,14 @@ def test_queries_that_ask_the_same_are_scored_once(spark):
     # 89 and 179 have the most reports; 89 and 88 are of layers 5 and 4.
     assert {(r.query_id % 2, r["rank"], r.entry_key, r.score) for r in rows} == {(1, 1, "e89", 4.891), (1, 2, "e179", 4.891), (0, 1, "e89", 6.391), (0, 2, "e88", 6.39)}
     assert _moved(spark, got) < 5000
+
+
+def test_boosted_overlap_compares_equal_names_once(spark):
+    """A word that all share; 300 queries and 300 entries of two names each."""
+    names = lambda *x: F.array(*map(F.lit, x))
+    q = spark.range(300).select(F.col("id").alias("query_id"), F.when(F.col("id") % 2 == 0, names("علي بن محمد")).otherwise(names("بن", "علي")).alias("names"))
+    e = spark.range(300).select(F.concat(F.lit("e"), "id").alias("entry_key"), F.col("id").alias("ord"), F.when(F.col("id") % 3 == 0, names("علي بن محمد", "زيد")).otherwise(names("بن سهل")).alias("names"))
+    got = analysis.boosted_overlap(q, e, 3)
+    want = {(0, f"e{i}", 8, n) for n, i in enumerate((0, 3, 6), 1)} | {(1, f"e{i}", 12, n) for n, i in enumerate((0, 3, 6), 1)}
+    assert {(r.query_id % 2, r.entry_key, r.score, r["rank"]) for r in got.collect()} == want and got.count() == 900
+    assert _moved(spark, got) < 5000
