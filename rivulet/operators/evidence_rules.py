@@ -19,7 +19,11 @@ def kunya_candidates(asked: DataFrame, entries: DataFrame) -> DataFrame:
     own = entries.select("entry_key", tx.normalize(F.col("kunyah")).alias("k"))
     alias = entries.select("entry_key", F.explode(F.coalesce("aliases", F.array().cast("array<string>"))).alias("a")).select("entry_key", tx.tokens(F.col("a")).alias("w"))
     heads = alias.select("entry_key", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 1, F.lit(1))), lambda n: F.array_join(F.slice("w", F.lit(1), n), " "))).alias("k"))
-    return q.where("k <> ''").join(own.union(heads).distinct(), "k").select("query_id", "entry_key").distinct()
+    # Both sides have each key once, with all keys of their query or entry: a pair is told at its first common key only, so pairs need no shuffle that makes them distinct.
+    once = lambda df, id_col, name: df.where("k <> ''").groupBy(id_col).agg(F.collect_set("k").alias(name)).select(id_col, name, F.explode(name).alias("k"))
+    met = once(q, "query_id", "qs").join(once(own.union(heads), "entry_key", "es"), "k")
+    single = (F.size("qs") == 1) | (F.size("es") == 1)
+    return met.where(single | (F.col("k") == F.array_min(F.array_intersect("qs", "es")))).select("query_id", "entry_key")
 
 
 def kunya_score(scored: DataFrame) -> DataFrame:
