@@ -119,6 +119,7 @@ def near(names: DataFrame, known: DataFrame, most: int = 2) -> DataFrame:
     keys = lambda df: df.withColumn("h", F.explode(F.transform(_left_out(F.col("c"), most), lambda x: F.xxhash64(x))))
     own = names.select("name").distinct().withColumn("c", tx.normalize(F.col("name"))).where("c <> ''")
     k = _names(known).select(F.col("name").alias("other"), "n").withColumn("c", tx.normalize(F.col("other")))
-    met = keys(own).select("name", "c", "h").join(keys(k).select("other", "n", F.col("c").alias("d"), "h"), "h").select("name", "other", "n", "c", "d").distinct()
-    edits = F.levenshtein("c", "d")
-    return met.withColumn("edits", edits).where(F.col("edits").between(1, most)).select("name", "other", "edits", "n")
+    # Never broadcast: Spark estimates the tables without the texts that each name gives, and so would collect them on the driver. Pairs too far apart go before pairs are made distinct.
+    met = keys(own).select("name", "c", "h").hint("merge").join(keys(k).select("other", "n", F.col("c").alias("d"), "h"), "h")
+    met = met.withColumn("edits", F.levenshtein("c", "d", most)).where(F.col("edits").between(1, most))
+    return met.select("name", "other", "edits", "n").distinct()
