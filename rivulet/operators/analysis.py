@@ -11,6 +11,7 @@ from .aggregates import weighted_median
 from .chain import expected_range
 from .joins import band_join, shared_tokens
 from .merge import with_virtual
+from .recovery import asof
 from .resolver import resolve
 from .scoring import cascade
 from .windows import top_k
@@ -104,7 +105,14 @@ def map_summary(summary: DataFrame, main: DataFrame) -> DataFrame:
     """
     s = summary.select("number", tx.for_merge(F.col("name")).alias("n"))
     m = main.select("key", "ord", F.coalesce("number", F.col("key").try_cast("int") + 1).alias("at"), F.col("number").alias("m_number"), tx.for_merge(F.col("name")).alias("m"))
-    named = s.where("n <> ''").join(m, F.col("n") == F.col("m")).groupBy("number").agg(F.min(F.struct(F.coalesce(F.abs(F.col("at") - F.col("number")), F.lit(999999)).alias("d"), "ord", "key")).alias("b")).select("number", F.col("b.key").alias("by_name"))
+    # The nearest number stands next to the row in the order of its name's numbers, so equal names form no pairs.
+    asked = s.where("n <> '' and number is not null").distinct().withColumn("at", F.col("number").cast("long"))
+    placed = m.withColumn("at", F.col("at").cast("long")).groupBy(F.col("m").alias("n"), "at").agg(F.min(F.struct("ord", "key")).alias("o"))
+    beside = asof(asked, placed.where("at is not null"), ["n"], "at", ["o"])
+    # Entries without any place count as far away.
+    lost = placed.where("at is null").select("n", F.struct(F.lit(999999).cast("long").alias("d"), "o.ord", "o.key").alias("lost"))
+    side = lambda x: F.when(F.col(f"{x}_at").isNotNull(), F.struct(F.abs(F.col(f"{x}_at") - F.col("at")).alias("d"), F.col(f"{x}_o.ord").alias("ord"), F.col(f"{x}_o.key").alias("key")))
+    named = beside.join(lost, "n", "left").select("number", F.least(side("before"), side("after"), "lost").alias("b")).groupBy("number").agg(F.min("b").alias("b")).select("number", F.col("b.key").alias("by_name"))
     content = lambda c: F.array_except(tx.words(F.col(c)), F.array(*map(F.lit, COMMON)))
     same = s.join(m, F.col("number") == F.col("m_number")).where(F.arrays_overlap(content("n"), content("m"))).groupBy("number").agg(F.min(F.struct("ord", "key")).alias("b")).select("number", F.col("b.key").alias("by_number"))
     both = s.select("number").distinct().join(named, "number", "left").join(same, "number", "left")
