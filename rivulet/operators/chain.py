@@ -162,29 +162,36 @@ SEVERITY = {"critical": 3, "major": 2, "minor": 1}
 
 def anonymous(segment: Column) -> Column:
     """(type, severity) of the first pattern that a segment begins with, null if none does (C10). The leading word may have been stripped."""
-    n = tx.normalize(segment)
-    out = F.lit(None).cast("struct<kind:string,severity:string>")
-    for p, kind, severity in reversed(ANONYMOUS):
+    heads = []
+    for p, kind, severity in ANONYMOUS:
         body, end = (p[:-1], r"\s*$") if p.endswith("$") else (p, r"(?![\p{L}\p{N}_])")
-        body = body.replace("عن ", r"(?:عن\s+)?", 1).replace(" ", r"\s+")
-        out = F.when(n.rlike(rf"^\s*{body}{end}"), F.struct(F.lit(kind).alias("kind"), F.lit(severity).alias("severity"))).otherwise(out)
-    return out
+        heads.append((body.replace("عن ", r"(?:عن\s+)?", 1).replace(" ", r"\s+") + end, kind, severity))
+
+    def first(n: Column) -> Column:
+        out = F.lit(None).cast("struct<kind:string,severity:string>")
+        for head, kind, severity in reversed(heads):
+            out = F.when(n.rlike(rf"^\s*{head}"), F.struct(F.lit(kind).alias("kind"), F.lit(severity).alias("severity"))).otherwise(out)
+        # Most segments are names: one pattern says so.
+        return F.when(n.rlike(rf"^\s*(?:{'|'.join(head for head, _, _ in heads)})"), out)
+
+    return tx.bound(tx.normalize(segment), first)
 
 
 def irsal(chains: DataFrame, chain_id: str = "chain_id", segments: str = "segments") -> DataFrame:
-    """(chain_id, has_irsal, irsal_type, findings): consecutive anonymous links become MUDAL; the gravest finding names the chain."""
-    w = Window.partitionBy(chain_id).orderBy("pos")
-    rows = chains.select(chain_id, F.posexplode_outer(segments).alias("pos", "segment")).withColumn("f", anonymous(F.col("segment")))
-    beside = F.coalesce(F.lag("f").over(w).isNotNull(), F.lit(False)) | F.coalesce(F.lead("f").over(w).isNotNull(), F.lit(False))
-    rows = rows.withColumn("beside", beside)
-    up = (F.col("f.kind") == "MURSAL") & F.col("beside")
-    kind, severity = F.when(up, "MUDAL").otherwise(F.col("f.kind")), F.when(up, "critical").otherwise(F.col("f.severity"))
-    weight = F.lit(0)
-    for s, v in SEVERITY.items():
-        weight = F.when(severity == s, v).otherwise(weight)
-    found = F.when(F.col("f").isNotNull(), F.struct(F.col("pos").alias("index"), "segment", kind.alias("type"), severity.alias("severity")))
-    folded = rows.withColumns({"found": found, "kind": kind, "weight": weight}).groupBy(chain_id).agg(F.array_sort(F.collect_list("found")).alias("findings"), F.min_by("kind", F.when(F.col("f").isNotNull(), F.struct(-F.col("weight"), F.col("pos")))).alias("irsal_type"))
-    return folded.select(chain_id, (F.size("findings") > 0).alias("has_irsal"), "irsal_type", "findings")
+    """(chain_id, has_irsal, irsal_type, findings): consecutive anonymous links become MUDAL; the gravest finding names the chain (C10, W4). One row a chain, which needs no order of rows."""
+    links = F.transform(F.coalesce(F.col(segments), F.array().cast("array<string>")), lambda s: F.struct(s.alias("segment"), anonymous(s).alias("f")))
+    rows = chains.select(chain_id, links.alias("l"))
+
+    def finding(x: Column, i: Column) -> Column:
+        beside = F.coalesce(F.get(F.col("l"), i - 1)["f"].isNotNull(), F.lit(False)) | F.coalesce(F.get(F.col("l"), i + 1)["f"].isNotNull(), F.lit(False))
+        up = (x["f"]["kind"] == "MURSAL") & beside
+        kind, severity = F.when(up, "MUDAL").otherwise(x["f"]["kind"]), F.when(up, "critical").otherwise(x["f"]["severity"])
+        return F.when(x["f"].isNotNull(), F.struct(i.alias("index"), x["segment"].alias("segment"), kind.alias("type"), severity.alias("severity")))
+
+    found = rows.select(chain_id, F.array_compact(F.transform("l", finding)).alias("findings"))
+    weight = lambda s: F.coalesce(*[F.when(s == name, v) for name, v in SEVERITY.items()], F.lit(0))
+    gravest = F.array_min(F.transform("findings", lambda f: F.struct((-weight(f["severity"])).alias("w"), f["index"].alias("i"), f["type"].alias("t"))))
+    return found.select(chain_id, (F.size("findings") > 0).alias("has_irsal"), gravest["t"].alias("irsal_type"), "findings")
 
 
 # Sects that make a reliable person a non-partisan one.
