@@ -14,17 +14,20 @@ from ..sources.scratch import written
 
 def fillers(gaps: DataFrame, edges: DataFrame, layers: DataFrame, key: str = "gap_id") -> DataFrame:
     """(gap_id, between): persons of the wanted layer whom ``before`` heard and who heard ``after``. gaps: (gap_id, before, after, layer), a null layer allows any; layers: (person, layer)."""
-    e = written(edges.select("teacher", "student").where("teacher is not null and student is not null").distinct())
-    heard = e.groupBy("student").agg(F.count("*").alias("n_heard")).withColumnRenamed("student", "before")
-    taught = e.groupBy("teacher").agg(F.count("*").alias("n_taught")).withColumnRenamed("teacher", "after")
-    known = gaps.select(key, "before", "after", F.col("layer").alias("wanted")).join(heard, "before").join(taught, "after")
+    e = edges.select("teacher", "student").where("teacher is not null and student is not null")
+    # Only students of somebody behind a gap can fill it, and only where somebody before a gap heard them: other edges are neither sorted nor stored. Small tables are stored first, so that Spark knows them to be small.
+    ends, starts = written(gaps.select(F.col("after").alias("teacher")).distinct()), written(gaps.select(F.col("before").alias("student")).distinct())
+    taught = written(e.join(ends, "teacher", "left_semi").select("teacher", "student").distinct()).toDF("after", "between")
+    people = written(taught.select(F.col("between").alias("teacher")).distinct())
+    pairs = written(e.join(people, "teacher", "left_semi").join(starts, "student", "left_semi").select("teacher", "student").distinct()).toDF("between", "before")
+    heard, teaches = pairs.groupBy("before").agg(F.count("*").alias("n_heard")), taught.groupBy("after").agg(F.count("*").alias("n_taught"))
+    known = gaps.select(key, "before", "after", F.col("layer").alias("wanted")).join(teaches, "after").join(heard, "before")
     short = written(known.withColumn("up", F.col("n_heard") <= F.col("n_taught")).drop("n_heard", "n_taught"))
-    pairs = e.toDF("between", "before")
-    by_before = short.where("up").join(pairs, "before").join(e.toDF("after", "between"), ["after", "between"], "left_semi")
-    by_after = short.where("not up").join(e.toDF("after", "between"), "after").join(pairs, ["between", "before"], "left_semi")
+    by_before = short.where("up").join(pairs, "before").join(taught, ["after", "between"], "left_semi")
+    by_after = short.where("not up").join(taught, "after").join(pairs, ["between", "before"], "left_semi")
     columns = [key, "between", "wanted", "before", "after"]
     met = by_before.select(*columns).union(by_after.select(*columns)).where("between <> before and between <> after").distinct()
-    of = layers.select(F.col("person").alias("between"), F.col("layer").alias("own"))
+    of = layers.join(people.toDF("person"), "person", "left_semi").select(F.col("person").alias("between"), F.col("layer").alias("own"))
     return met.join(of, "between", "left").where("wanted is null or own = wanted").select(key, "between")
 
 
