@@ -67,6 +67,8 @@ def relax(edges: DataFrame, seeds: DataFrame, rounds: int = 50, tolerance: float
     """(key, value): seeds are pinned, every other node takes the mean of its votes until the summed change is below ``tolerance`` and no node is new."""
     pinned = seeds.where("layer is not null").select("key", F.col("layer").cast("double").alias("pin"))
     state = written(pinned.select("key", F.col("pin").alias("layer")))
+    edges = written(edges.select("teacher", "student"))  # each round reads them twice
+    pinned = written(pinned)
     for _ in range(rounds):
         mean = votes(edges, state).groupBy("key").agg(F.avg("vote").alias("mean"))
         new = mean.join(pinned, "key", "full_outer").select("key", F.coalesce("pin", "mean").alias("layer"))
@@ -77,6 +79,7 @@ def relax(edges: DataFrame, seeds: DataFrame, rounds: int = 50, tolerance: float
         state._rivulet_path = step._rivulet_path
         if (change or 0.0) < tolerance and not fresh:
             break
+    drop(edges, pinned)
     return state.withColumnRenamed("layer", "value")
 
 

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from rivulet.operators import analysis, chain, dictionary, evidence_rules, ladder, probe, resolver, scribal
+from rivulet.operators import analysis, chain, dictionary, evidence_rules, ladder, layers, probe, resolver, scribal
 from rivulet.plans import library
 
 
@@ -137,3 +137,16 @@ def test_fillers_store_only_edges_that_can_fill(spark):
     finally:
         probe.written = keep
     assert max(stored) <= 2
+
+
+def test_relaxation_reads_its_edges_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d")], "teacher string, student string").mapInArrow(counted, "teacher string, student string")
+    got = layers.relax(edges, spark.createDataFrame([("a", 3), ("d", 6)], "key string, layer int"), rounds=4)
+    assert {r.key: r.value for r in got.collect()} == {"a": 3.0, "b": 4.0, "c": 5.0, "d": 6.0} and seen.value == 3
